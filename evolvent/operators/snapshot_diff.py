@@ -21,7 +21,7 @@ HOT_BUCKET_ROWS = 2_000_000
 #: Hash buckets of the histogram that finds hot ones; it bounds what reaches the driver.
 BUCKETS = 4096
 #: Snapshots up to which the snapshot list is broadcast; beyond that it is joined by exchange.
-BROADCAST_SNAPSHOTS = 250_000
+BROADCAST_SNAPSHOTS = 100_000
 
 
 def set_key(col: str) -> Column:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from evolvent.operators.nested_records import bounds_of_parameters, containers, flat_table, node_table
 from evolvent.operators.orphans import orphan_references, orphan_report
 from evolvent.operators.snapshot_diff import snapshot_changes
 from evolvent.operators.type_hierarchy import type_ancestors, type_trees
@@ -40,10 +42,25 @@ def p4_trees(spark: SparkSession, d: str) -> DataFrame:
     return type_trees(table(spark, d, "type_decl")).select("lib", "ver", "link", "fqn", "root", "depth", "n_descendants", "path")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return bounds_of_parameters(table(spark, d, "api_json"))
+
+
+def p5_methods(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table of methods, each tied to its type's row."""
+    nodes = node_table(table(spark, d, "api_json"), ("type", "method"))
+    types = flat_table(nodes, "type")
+    rows = containers(flat_table(nodes, "method"), types)
+    tied = rows.join(types.select("rec_id", F.col("pre").alias("outer_pre"), "type_path", "type_kind"), ["rec_id", "outer_pre"])
+    return tied.select("rec_id", "type_path", "type_kind", "method_no", "qualified_name", "pre", "post", "parent_pre")
+
+
 QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_report": p3_report,
     "p4_found": p4_found,
     "p4_trees": p4_trees,
+    "p5_found": p5_found,
+    "p5_methods": p5_methods,
 }
