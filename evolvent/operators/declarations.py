@@ -22,8 +22,11 @@ def latest_types(types: DataFrame, *values: str) -> DataFrame:
     return ok.groupBy("lib", "ver", "fqn").agg(best).select("lib", "ver", "fqn", *[F.col(f"b.{v}").alias(v) for v in values])
 
 
-def references(types: DataFrame) -> DataFrame:
-    """``lib, ver, fqn, ref_field, target``: each distinct non-blank reference of the latest state of each type."""
+def references(types: DataFrame, keep_empty: bool = False) -> DataFrame:
+    """``lib, ver, fqn, ref_field, target``: each distinct non-blank reference of the latest state of each type.
+
+    With ``keep_empty`` a type without references has one row, of null ``ref_field`` and ``target``.
+    """
     t = latest_types(types, *REF_FIELDS)
     each = F.flatten(
         F.array(
@@ -41,4 +44,4 @@ def references(types: DataFrame) -> DataFrame:
             lambda x: x["target"].isNotNull(),
         )
     )
-    return t.select("lib", "ver", "fqn", F.explode(named).alias("r")).select("lib", "ver", "fqn", "r.ref_field", "r.target")
+    return t.select("lib", "ver", "fqn", (F.explode_outer if keep_empty else F.explode)(named).alias("r")).select("lib", "ver", "fqn", "r.ref_field", "r.target")

@@ -1,13 +1,23 @@
-"""Hierarchies of the types of each snapshot, along superclasses, interfaces and enclosing types."""
+"""Hierarchies of the types of each snapshot, along superclasses, interfaces and enclosing types.
+
+Snapshots of ordinary size are numbered within the task that holds them (:mod:`forest`), larger ones by the distributed
+rounds of :mod:`hierarchy`; both by the same nested sets, with the same result.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evolvent.operators.declarations import references
+from evolvent.operators.declarations import REF_FIELDS, references
+from evolvent.operators.forest import NestedSets, closure
 from evolvent.operators.hierarchy import hierarchy
 from evolvent.operators.snapshot_diff import fingerprint
+from evolvent.operators.snapshot_graph import GROUP_ROWS, Chunk, by_chunk, split_large
 from evolvent.session import Stages
 
 
@@ -24,13 +34,109 @@ def _graph(types: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return names, edges, nodes
 
 
-def type_ancestors(types: DataFrame) -> DataFrame:
+#: Squares of group sizes that one array closure takes together, which bounds its pairs.
+CLOSURE_PAIRS = 16_000_000
+
+
+def _forests(c: Chunk, link: int) -> tuple[NestedSets, np.ndarray, np.ndarray]:
+    """(numbers of the nodes of groups in which no node has two parents, edges left to close: child and parent)."""
+    n = len(c.group)
+    e = (c.field == link) & (c.parent >= 0)
+    child, parent = c.child[e], c.parent[e]
+    several = np.zeros(int(c.group.max()) + 1 if n else 0, dtype=bool)
+    several[c.group[np.flatnonzero(np.bincount(child, minlength=n) > 1)]] = True
+    one = ~several[c.group[child]]
+    up = np.full(n, -1, dtype=np.int64)
+    up[child[one]] = parent[one]
+    sets = NestedSets(up)
+    rest = ~one | ~sets.ranged[child]
+    return sets, child[rest], parent[rest]
+
+
+def _closures(c: Chunk, child: np.ndarray, parent: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Closures of the edges, of so many groups together as keep the number of pairs in bounds."""
+    g = c.group[child]
+    groups, count = np.unique(g, return_counts=True)
+    part = np.cumsum(np.minimum(4 * count, np.bincount(c.group)[groups]) ** 2) // CLOSURE_PAIRS
+    for p in np.unique(part):
+        e = np.isin(g, groups[part == p])
+        nodes, at = np.unique(np.concatenate([child[e], parent[e]]), return_inverse=True)
+        for a, d, k in closure(len(nodes), at[: e.sum()], at[e.sum() :]):
+            yield nodes[a], nodes[d], k
+
+
+def _ancestor_task(chunks: Iterator[Chunk]) -> Iterator[pa.RecordBatch]:
+    for c in chunks:
+        for i, link in enumerate(REF_FIELDS):
+            sets, child, parent = _forests(c, i)
+            for pairs in (sets.pairs(), _closures(c, child, parent)):
+                for a, d, depth in pairs:
+                    at = pa.array(d)
+                    yield pa.RecordBatch.from_arrays(
+                        [c.lib.take(at), c.ver.take(at), pa.array([link] * len(d), pa.string()), c.fqn.take(pa.array(a)), c.fqn.take(at), pa.array(depth, pa.int32())],
+                        names=["lib", "ver", "link", "ancestor", "descendant", "depth"],
+                    )
+
+
+def _tree_task(chunks: Iterator[Chunk]) -> Iterator[pa.RecordBatch]:
+    names = ["lib", "ver", "link", "fqn", "root", "depth", "lo", "size", "n_descendants", "path"]
+    for c in chunks:
+        fqn = c.fqn.to_pylist()
+        for i, link in enumerate(REF_FIELDS):
+            sets, child, _ = _forests(c, i)
+            used = np.zeros(len(fqn), dtype=bool)
+            e = (c.field == i) & (c.parent >= 0)
+            used[c.child[e]] = used[c.parent[e]] = True
+            looping = np.zeros(len(fqn), dtype=bool)
+            several = np.zeros(len(fqn), dtype=bool)
+            looping[~sets.ranged] = True
+            counts = np.bincount(c.child[e], minlength=len(fqn))
+            several[np.isin(c.group, c.group[counts > 1])] = True
+            show = used & ~looping & ~several
+            path = list(fqn)
+            for level in sets.levels[1:]:
+                for x in level.tolist():
+                    path[x] = f"{path[sets.parent[x]]}/{fqn[x]}"
+            x = np.flatnonzero(show)
+            at = pa.array(x)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    c.lib.take(at), c.ver.take(at), pa.array([link] * len(x), pa.string()), c.fqn.take(at), c.fqn.take(pa.array(sets.root[x])),
+                    pa.array(sets.depth[x], pa.int32()), pa.array(sets.lo[x] - sets.lo[sets.root[x]], pa.int64()), pa.array(sets.size[x], pa.int64()),
+                    pa.array(sets.size[x] - 1, pa.int64()), pa.array([path[j] for j in x.tolist()], pa.string()),
+                ],
+                names=names,
+            )
+
+
+def type_ancestors(types: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``lib, ver, link, ancestor, descendant, depth``: each type and each type it reaches by one or more links.
 
     ``link`` is super_ref, interface_refs or enclosing, each followed by itself, within a snapshot; ``depth`` is the
     least number of links. A type that reaches itself is its own ancestor. Only the latest state of a type counts;
-    blank references and references out of the snapshot are no links; empty tables give no rows.
+    blank references and references out of the snapshot are no links; empty tables give no rows. Snapshots of more than
+    ``group_rows`` rows take the distributed rounds.
+    """
+    small, large = split_large(types, group_rows)
+    schema = "lib string, ver string, link string, ancestor string, descendant string, depth int"
+    out = by_chunk(small, _ancestor_task, schema)
+    return out if large is None else out.unionByName(_distributed_ancestors(large))
+
+
+def type_trees(types: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """``lib, ver, link, fqn, root, depth, lo, size, n_descendants, path`` of every node of an acyclic single-parent tree.
+
+    ``path`` runs from the root to the node, ``/`` between names; ``lo`` and ``size`` are the node's place in its tree's
+    preorder and the length of its range. Nodes on loops, hanging on loops, or of a snapshot whose links give a type
+    several parents have no row here; :func:`type_ancestors` covers them.
     """
+    small, large = split_large(types, group_rows)
+    schema = "lib string, ver string, link string, fqn string, root string, depth int, lo bigint, size bigint, n_descendants bigint, path string"
+    out = by_chunk(small, _tree_task, schema)
+    return out if large is None else out.unionByName(_distributed_trees(large))
+
+
+def _distributed_ancestors(types: DataFrame) -> DataFrame:
     names, edges, nodes = _graph(types)
     pairs, _ = hierarchy(edges, nodes)
     a = names.select("g", F.col("node").alias("ancestor"), F.col("fqn").alias("a_fqn"))
@@ -42,12 +148,7 @@ def type_ancestors(types: DataFrame) -> DataFrame:
     )
 
 
-def type_trees(types: DataFrame) -> DataFrame:
-    """``lib, ver, link, fqn, root, depth, lo, size, n_descendants, path`` of every node of an acyclic single-parent tree.
-
-    ``path`` runs from the root to the node, ``/`` between names. Nodes on loops, hanging on loops, or of a snapshot
-    whose links give a type several parents have no row here; :func:`type_ancestors` covers them.
-    """
+def _distributed_trees(types: DataFrame) -> DataFrame:
     names, edges, nodes = _graph(types)
     pairs, ranged = hierarchy(edges, nodes)
     n = names.select("g", "node", "lib", "ver", "fqn")
