@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,33 +42,30 @@ def word_spans(text: str) -> list[tuple[int, int]]:
     """
     if text.isascii():
         return [m.span() for m in _ASCII_WORD.finditer(text.lower())]
+    nfkc = lambda x: unicodedata.normalize("NFKC", x)
     out: list[str] = []
     start: list[int] = []
     end: list[int] = []
-
-    def emit(piece: str, a: int, b: int) -> None:
-        s = unicodedata.normalize("NFKC", piece.translate(DROPPED)).lower()
-        out.append(s)
-        start.extend([a] * len(s))
-        end.extend([b] * len(s))
-
-    a = 0
-    for i in range(1, len(text)):
-        c = text[i]
-        # A piece may end before an ASCII character: none of them combines with what stands before it.
-        if c < "\x80":
-            emit(text[a:i], a, i) if i - a > 1 or text[a] >= "\x80" else emit(text[a], a, i)
+    a, piece = 0, ""
+
+    def emit(b: int) -> None:
+        done = nfkc(piece).lower()
+        out.append(done)
+        start.extend([a] * len(done))
+        end.extend([b] * len(done))
+
+    for i, c in enumerate(text):
+        if ord(c) in DROPPED:
+            continue
+        # An ASCII character combines with nothing before it, a mark may; what else may shows when both are normalised.
+        if piece and (c < "\x80" or not unicodedata.combining(c) and nfkc(piece + c) == nfkc(piece) + nfkc(c)):
+            emit(i)
+            a, piece = i, ""
+        elif not piece:
             a = i
-    emit(text[a:], a, len(text))
-    whole = "".join(out)
-    spans = [m.span() for m in _WORD.finditer(whole)]
-    return [_narrow(text, start[x], end[y - 1], whole[x:y]) for x, y in spans]
-
-
-def _narrow(text: str, a: int, b: int, word: str) -> tuple[int, int]:
-    """The word's own place within its pieces, where it stands there as it is."""
-    i = text.lower().find(word, a, b) if len(text.lower()) == len(text) else -1
-    return (i, i + len(word)) if i >= 0 else (a, b)
+        piece += c
+    emit(len(text))
+    return [(start[m.start()], end[m.end() - 1]) for m in _WORD.finditer("".join(out))]
 
 
 class Automaton:
@@ -169,9 +167,9 @@ def leaked_passages(
     schema = f"doc {kind.simpleString()}, item bigint, n_words int, start_char int, end_char int"
     d = documents.select(doc_col, doc_text)
     out = None
-    for n, block in enumerate(_blocks(items, item_col, item_text, block_chars)):
+    for block in _blocks(items, item_col, item_text, block_chars):
         sent = spark.sparkContext.broadcast(block)
-        key = hash((id(sent), n, len(block), block[0][0]))
+        key = uuid.uuid4().int
         found = d.mapInArrow(lambda it, sent=sent, key=key: _task(it, sent, key, run, id_type), schema)
         out = found if out is None else out.unionByName(found)
     if out is None:
