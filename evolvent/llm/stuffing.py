@@ -21,6 +21,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,65 +48,93 @@ PRIOR = {
 }
 
 #: A word; scripts written without spaces count by the character.
-_WORD = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]|(?:(?![\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff])[^\W_])+(?:['’][^\W_]+)*")
+_CJK = "\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
+_ASCII_WORD = re.compile(r"[A-Za-z0-9]+(?:'[A-Za-z0-9]+)*")
+_WORD = regex.compile(rf"[{_CJK}]|[\w--[_{_CJK}]]+(?:['’][\w--[_{_CJK}]]+)*", regex.V1)
 _LINK = re.compile(r"https?://[^\s)\"'<>]+|<a\s[^>]*>|</?li>|</a>|\]\(", re.I)
 _BLOCK = re.compile(r"\n\s*\n")
 _CUT = re.compile(r"(?<=[.!?。！？])\s+|\n|(?<=[。！？])")
 _ENDS = re.compile(r"[.!?。！？](?=\s|$|[^\W_a-z])")
-_MARKS = re.compile(r"[,|·•#/;()\[\]<>_*]")
+_MARKS = ",|·•#/;()[]<>_*"
 _PHRASE = re.compile(r"[.!?;,|·•()\n#/。！？、]+|\s[-*]\s")
 #: Characters dropped before anything else. A fixed value.
 _DROPPED = dict.fromkeys([0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x00AD])
 _BLOB = re.compile(r"[^\s<>\"'()]{60,}")
 #: Digits written for letters within a word. Fixed values.
 _LEET = str.maketrans("013457", "oieast")
+_NUMBER = xxhash.xxh64_intdigest("0") - 2**63
 
 
 def _norm(w: str) -> str:
-    w = w.lower()
-    return w.translate(_LEET) if not w.isalpha() and any(c.isalpha() for c in w) and not w.isdigit() and w.isascii() and not w[0].isdigit() else w
+    """A word in lower case; numbers are all one word, digits within a word are read as the letters they stand for."""
+    if w.isdigit():
+        return "0"
+    low = w.lower()
+    return low.translate(_LEET) if low.isascii() and not low.isalpha() and not low[0].isdigit() else low
 
 
-def words(text: str) -> list[str]:
-    """Words in lower case; numbers are all one word, digits within a word are read as the letters they stand for."""
-    return ["0" if w.isdigit() else _norm(w) for w in _WORD.findall(text)]
+class _Words:
+    """What is known of a word as written: its hash in normal form, whether it is a number, whether oddly capitalised."""
 
+    def __init__(self):
+        self.known: dict[str, tuple[int, bool, bool]] = {}
 
-def segments(text: str) -> Iterator[str]:
-    """Pieces of whole lines and sentences of about ``SEGMENT_WORDS`` words, never across a blank line."""
-    for block in _BLOCK.split(text.translate(_DROPPED) if not text.isascii() else text):
-        held, n = [], 0
+    def __getitem__(self, w: str) -> tuple[int, bool, bool]:
+        if (x := self.known.get(w)) is None:
+            if len(self.known) > 500_000:
+                self.known = {}
+            odd = w.isascii() and w.isalpha() and not (w.islower() or w.istitle())
+            x = self.known[w] = (xxhash.xxh64_intdigest(_norm(w)) - 2**63, w.isdigit(), odd)
+        return x
+
+
+def segments(text: str) -> Iterator[tuple[str, list[str]]]:
+    """(text, words as written) of pieces of whole lines and sentences of about ``SEGMENT_WORDS`` words.
+
+    A piece never crosses a blank line; a sentence with more words than that is cut.
+    """
+    ascii_ = text.isascii()
+    word = _ASCII_WORD if ascii_ else _WORD
+    for block in _BLOCK.split(text if ascii_ else text.translate(_DROPPED)):
+        held: list[str] = []
+        have: list[str] = []
         for piece in _CUT.split(block):
             if not piece or piece.isspace():
                 continue
-            w = [m.end() for m in _WORD.finditer(piece)]
-            if n and n + len(w) > SEGMENT_WORDS:
-                yield "\n".join(held)
-                held, n = [], 0
-            start = 0
-            while len(w) > SEGMENT_WORDS:  # no sentence is that long
-                cut = w[SEGMENT_WORDS - 1]
-                yield piece[start:cut]
-                start, w = cut, w[SEGMENT_WORDS:]
-            held.append(piece[start:])
-            n += len(w)
+            w = word.findall(piece)
+            if have and len(have) + len(w) > SEGMENT_WORDS:
+                yield "\n".join(held), have
+                held, have = [], []
+            if len(w) > SEGMENT_WORDS:
+                ends, start = [m.end() for m in word.finditer(piece)], 0
+                while len(w) > SEGMENT_WORDS:
+                    cut = ends[SEGMENT_WORDS - 1]
+                    yield piece[start:cut], w[:SEGMENT_WORDS]
+                    start, w, ends = cut, w[SEGMENT_WORDS:], ends[SEGMENT_WORDS:]
+                piece = piece[start:]
+            held.append(piece)
+            have += w
         if held:
-            yield "\n".join(held)
-
-
-def measures(segment: str, w: list[str]) -> tuple[float, ...]:
-    """repeat, distinct, brief, link, digits, marks, ends, capital, blob of a segment with words ``w``."""
-    n, size = max(1, len(w)), max(1, len(segment))
-    pairs, single = Counter(zip(w, w[1:])), Counter(w)
-    repeat = sum(c for p, c in pairs.items() if c > 1 and p != ("0", "0")) / max(1, len(w) - 1)
-    phrases = [len(_WORD.findall(p)) for p in _PHRASE.split(segment)]
-    brief = sum(k for k in phrases if k < 6) / n
-    link = min(1.0, sum(len(m) for m in _LINK.findall(segment)) / size * 1.5)
-    marks = min(1.0, len(_MARKS.findall(segment)) / n)
+            yield "\n".join(held), have
+
+
+def measures(segment: str, known: list[tuple[int, bool, bool]]) -> tuple[float, ...]:
+    """repeat, distinct, brief, link, digits, marks, ends, capital, blob of a segment, given what is known of its words."""
+    n, size = max(1, len(known)), max(1, len(segment))
+    ids = [k[0] for k in known]
+    pairs = Counter(zip(ids, ids[1:]))
+    pairs.pop((_NUMBER, _NUMBER), None)
+    repeat = sum(c for c in pairs.values() if c > 1) / max(1, len(ids) - 1)
+    brief = min(1.0, sum(k for p in _PHRASE.split(segment) if (k := len(p.split())) < 6) / n)
+    link = 0.0
+    if "://" in segment or "<" in segment or "](" in segment:
+        link = min(1.0, sum(len(m) for m in _LINK.findall(segment)) / size * 1.5)
+    marks = min(1.0, sum(map(segment.count, _MARKS)) / n)
     ends = min(1.0, 10 * len(_ENDS.findall(segment)) / n)
-    capital = sum(1 for x in _WORD.findall(segment) if x.isascii() and x.isalpha() and not (x.islower() or x.istitle())) / n
-    blob = sum(len(m) for m in _BLOB.findall(segment) if "://" not in m) / size
-    return repeat, len(single) / n, brief, link, single["0"] / n, marks, ends, capital, blob
+    blob = 0.0
+    if size > 60 and max(map(len, segment.split()), default=0) >= 60:
+        blob = sum(len(m) for m in _BLOB.findall(segment) if "://" not in m) / size
+    return repeat, len(set(ids)) / n, brief, link, sum(k[1] for k in known) / n, marks, ends, sum(k[2] for k in known) / n, blob
 
 
 def fit(x: np.ndarray, size: np.ndarray, doc: np.ndarray, label: np.ndarray, rounds: int = 600, sharp: float = 10.0) -> np.ndarray:
@@ -130,89 +161,89 @@ def fit(x: np.ndarray, size: np.ndarray, doc: np.ndarray, label: np.ndarray, rou
     return w
 
 
-def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        c: Counter[str] = Counter()
-        for t in b.column(0):
-            if text := t.as_py():
-                for s in segments(text):
-                    c.update(words(s))
-        yield pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.string()), pa.array(list(c.values()), pa.int64())], names=["w", "n"])
-
-
-def _ids(w: list[str], vocabulary: dict[str, int]) -> np.ndarray:
-    get = vocabulary.get
-    return np.fromiter((get(x, 0) for x in w), dtype=np.int64, count=len(w))
+LOOSE_PMI = 1.0
+_BASE = ("repeat", "distinct", "brief", "link", "digits", "marks", "ends", "capital", "blob")
 
 
-def _pair_keys(ids: np.ndarray) -> np.ndarray:
-    return (ids[:-1] << 32) | ids[1:]
+def _segment_rows(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """The one pass over the texts: each segment with the measures of its own and the hashes of its words."""
+    words = _Words()
+    names = ["doc", "seg", "size", *_BASE, "words"]
+    types = [id_type, pa.int32(), pa.int64(), *[pa.float32()] * len(_BASE), pa.list_(pa.int64())]
+    for b in batches:
+        rows: list[tuple] = []
+        for doc, t in zip(b.column(0).to_pylist(), b.column(1)):
+            for no, (s, w) in enumerate(segments(t.as_py() or "")):
+                known = [words[x] for x in w]
+                rows.append((doc, no, len(s), *measures(s, known), [k[0] for k in known]))
+                if len(rows) >= 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+
+def _lookup(sorted_keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each x among the keys, whether it is one of them)."""
+    if not len(sorted_keys):
+        return np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=bool)
+    at = np.minimum(np.searchsorted(sorted_keys, x), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == x
+
+
+def _pairs(words: pa.ListArray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, key) of every pair of neighbouring words, (segment, rare or not) of every word; 0 is the rare word's id."""
+    values = words.flatten().to_numpy(zero_copy_only=False)
+    size = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    at, hit = _lookup(vocabulary, values)
+    ids = np.where(hit, at + 1, 0)
+    seg = np.repeat(np.arange(len(size)), size)
+    inner = seg[:-1] == seg[1:]
+    return seg[:-1][inner], ((ids[:-1] << 32) | ids[1:])[inner], seg, ~hit
 
 
 def _bigrams(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
-    voc = vocabulary.value
     for b in batches:
-        held = [np.empty(0, dtype=np.int64)]
-        for t in b.column(0):
-            if text := t.as_py():
-                held += [_pair_keys(_ids(words(s), voc)) for s in segments(text)]
-        k, n = np.unique(np.concatenate(held), return_counts=True)
+        k, n = np.unique(_pairs(b.column(0), vocabulary.value)[1], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], names=["p", "n"])
 
 
-LOOSE_PMI = 1.0
-_BASE = ("repeat", "distinct", "brief", "link", "digits", "marks", "ends", "capital", "blob")
-
-
-def _segment_rows(batches: Iterator[pa.RecordBatch], vocabulary, hot, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    voc, (keys, pmis) = vocabulary.value, hot.value
+def _pmi_rows(batches: Iterator[pa.RecordBatch], vocabulary, hot) -> Iterator[pa.RecordBatch]:
+    """Each segment's sums over its hot pairs, and the keys of all its other pairs."""
+    keys, pmis = hot.value
     for b in batches:
-        ids: list = []
-        cols: list[tuple] = []
-        rest: list[np.ndarray] = []
-        for doc, t in zip(b.column(0).to_pylist(), b.column(1)):
-            for no, s in enumerate(segments(t.as_py() or "")):
-                w = words(s)
-                i = _ids(w, voc)
-                p = _pair_keys(i) if len(i) > 1 else np.empty(0, dtype=np.int64)
-                at = np.minimum(np.searchsorted(keys, p), max(0, len(keys) - 1))
-                hit = keys[at] == p if len(keys) else np.zeros(len(p), dtype=bool)
-                v = pmis[at[hit]] if len(keys) else np.empty(0)
-                ids.append(doc)
-                rest.append(p[~hit])
-                rare = float((i == 0).mean()) if len(i) else 0.0
-                cols.append((no, len(s), len(p), float(v.sum()), int((v < LOOSE_PMI).sum()), rare, *measures(s, w)))
-        names = ["seg", "size", "pairs", "pmi_sum", "loose_n", "rare", *_BASE]
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), *[pa.float64()] * (1 + len(_BASE))]
-        data = list(zip(*cols)) if cols else [[]] * len(names)
-        sizes = np.cumsum([0, *map(len, rest)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(rest) if rest else np.empty(0, dtype=np.int64)))
-        arrays = [pa.array(ids, id_type), *[pa.array(c, t) for c, t in zip(data, types)], lists]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc", *names, "others"])
-
-
-def pair_pmi(stages: Stages, documents: DataFrame, text_col: str):
-    """(broadcast word ids, table ``p, n, pmi`` of every pair of neighbouring words of the corpus, its total)."""
-    sc = documents.sparkSession.sparkContext
-    text = documents.select(text_col).where(f"{text_col} IS NOT NULL")
-    uni = stages.put(text.mapInArrow(_unigrams, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")), "words")
+        n = b.num_rows
+        seg, p, wseg, rare = _pairs(b.column(b.num_columns - 1), vocabulary.value)
+        at, hit = _lookup(keys, p)
+        v = pmis[at[hit]] if len(keys) else np.empty(0)
+        total = np.bincount(seg[hit], v, n).astype(np.float64)
+        loose = np.bincount(seg[hit], v < LOOSE_PMI, n).astype(np.int64)
+        share = np.bincount(wseg, rare, n).astype(np.float64) / np.maximum(1, np.bincount(wseg, minlength=n))
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(seg[~hit], minlength=n))]).astype(np.int32)
+        others = pa.ListArray.from_arrays(pa.array(offsets), pa.array(p[~hit]))
+        own = [pa.array(np.bincount(seg, minlength=n).astype(np.int64)), pa.array(total), pa.array(loose), pa.array(share), others]
+        yield pa.RecordBatch.from_arrays(
+            [b.column(i) for i in range(b.num_columns - 1)] + own, names=[*b.schema.names[:-1], "pairs", "pmi_sum", "loose_n", "rare", "others"]
+        )
+
+
+def pair_pmi(stages: Stages, segs: DataFrame):
+    """(broadcast sorted word hashes, table ``p, n, pmi`` of every pair of neighbouring words of the corpus, its total)."""
+    sc = segs.sparkSession.sparkContext
+    uni = stages.put(segs.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")), "words")
     total = uni.agg(F.sum("n")).first()[0] or 0
-    often = [r["w"] for r in uni.where(F.col("n") * VOCABULARY >= total).select("w").collect()]  # at most VOCABULARY
-    vocabulary = sc.broadcast({w: i + 1 for i, w in enumerate(sorted(often))})
-    pairs = text.mapInArrow(lambda it: _bigrams(it, vocabulary), "p bigint, n bigint").groupBy("p").agg(F.sum("n").alias("n"))
-    pairs = stages.put(pairs, "pairs")
+    often = uni.where(F.col("n") * VOCABULARY >= total).select("w").toArrow()["w"].to_numpy()  # at most VOCABULARY
+    vocabulary = sc.broadcast(np.sort(often))
+    pairs = segs.select("words").mapInArrow(lambda it: _bigrams(it, vocabulary), "p bigint, n bigint")
+    pairs = stages.put(pairs.groupBy("p").agg(F.sum("n").alias("n")), "pairs")
     n = pairs.agg(F.sum("n")).first()[0] or 0
     # Marginals have one row for each word id: at most VOCABULARY + 1.
-    left = pairs.groupBy(F.shiftright("p", 32).alias("a")).agg(F.sum("n").alias("na"))
-    right = pairs.groupBy(F.col("p").bitwiseAND(F.lit(2**32 - 1)).alias("b")).agg(F.sum("n").alias("nb"))
+    a, b = F.shiftright("p", 32), F.col("p").bitwiseAND(F.lit(2**32 - 1))
+    left = pairs.groupBy(a.alias("a")).agg(F.sum("n").alias("na"))
+    right = pairs.groupBy(b.alias("b")).agg(F.sum("n").alias("nb"))
     pmi = F.log(F.col("n") * float(n) / (F.col("na") * F.col("nb")))
-    table = (
-        pairs.withColumns({"a": F.shiftright("p", 32), "b": F.col("p").bitwiseAND(F.lit(2**32 - 1))})
-        .join(F.broadcast(left), "a")
-        .join(F.broadcast(right), "b")
-        .select("p", "n", pmi.alias("pmi"))
-    )
-    return vocabulary, stages.put(table, "pmi"), n
+    table = pairs.withColumns({"a": a, "b": b}).join(F.broadcast(left), "a").join(F.broadcast(right), "b")
+    return vocabulary, stages.put(table.select("p", "n", pmi.alias("pmi")), "pmi"), n
 
 
 def segment_measures(stages: Stages, documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -220,28 +251,30 @@ def segment_measures(stages: Stages, documents: DataFrame, id_col: str, text_col
     from pyspark.sql.pandas.types import to_arrow_type
 
     sc = documents.sparkSession.sparkContext
-    vocabulary, table, n = pair_pmi(stages, documents, text_col)
+    kind = documents.schema[id_col].dataType
+    id_type = to_arrow_type(kind)
+    base = f"doc {kind.simpleString()}, seg int, size bigint, " + ", ".join(f"{f} float" for f in _BASE)
+    d = documents.select(id_col, text_col).where(f"{text_col} IS NOT NULL AND {id_col} IS NOT NULL")
+    segs = stages.put(d.mapInArrow(lambda it: _segment_rows(it, id_type), f"{base}, words array<bigint>"), "segments")
+    vocabulary, table, n = pair_pmi(stages, segs)
     hot = table.where(F.col("n") * HOT_PAIRS >= n).select("p", "pmi").toArrow()  # at most HOT_PAIRS rows
     keys = hot["p"].to_numpy()
     order = np.argsort(keys)
     sent = sc.broadcast((keys[order], hot["pmi"].to_numpy()[order]))
-    kind = documents.schema[id_col].dataType
-    id_type = to_arrow_type(kind)
-    base = ", ".join(f"{f} double" for f in ("rare", *_BASE))
-    schema = f"doc {kind.simpleString()}, seg int, size bigint, pairs bigint, pmi_sum double, loose_n bigint, {base}, others array<bigint>"
-    d = documents.select(id_col, text_col).where(f"{text_col} IS NOT NULL AND {id_col} IS NOT NULL")
-    segs = stages.put(d.mapInArrow(lambda it: _segment_rows(it, vocabulary, sent, id_type), schema), "segments")
+    schema = f"{base}, pairs bigint, pmi_sum double, loose_n bigint, rare double, others array<bigint>"
+    rows = stages.put(segs.mapInArrow(lambda it: _pmi_rows(it, vocabulary, sent), schema), "rows")
     # Pairs that are not hot: joined with their counts, summed by segment, added to the segment's own sums.
-    rare = (
-        segs.where(F.size("others") > 0)
+    loose = F.when(F.col("pmi") < LOOSE_PMI, 1).otherwise(0).cast("long").alias("loose_n")
+    rest = (
+        rows.where(F.size("others") > 0)
         .select("doc", "seg", F.explode("others").alias("p"))
         .join(table.where(F.col("n") * HOT_PAIRS < n).select("p", "pmi"), "p")
-        .select("doc", "seg", F.col("pmi").alias("pmi_sum"), F.when(F.col("pmi") < LOOSE_PMI, 1).otherwise(0).cast("long").alias("loose_n"))
+        .select("doc", "seg", F.col("pmi").alias("pmi_sum"), loose)
     )
     kept = ("size", "pairs", "rare", *_BASE)
     whole = (
-        segs.drop("others")
-        .unionByName(rare, allowMissingColumns=True)
+        rows.drop("others")
+        .unionByName(rest, allowMissingColumns=True)
         .groupBy("doc", "seg")
         .agg(F.sum("pmi_sum").alias("pmi_sum"), F.sum("loose_n").alias("loose_n"), F.count("size").alias("copies"), *[F.max(c).alias(c) for c in kept])
     )
