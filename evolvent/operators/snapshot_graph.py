@@ -9,7 +9,7 @@ is not gathered in a task: :func:`split_large` hands it to the distributed form
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field as attribute
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,8 @@ def split_large(types: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | No
 class Chunk:
     """Snapshots of a chunk: ``node``-indexed ``lib, ver, fqn`` and reference arrays ``child, field, parent, target``.
 
-    ``parent`` is the node that a reference names in its own snapshot, or -1; ``field`` is an index into ``REF_FIELDS``.
+    ``parent`` is the node that a reference names in its own snapshot, or -1; ``field`` is an index into the names of the
+    reference fields. ``of_node`` and ``of_ref`` hold further columns by node and by reference.
     """
 
     lib: pa.Array
@@ -48,11 +49,16 @@ class Chunk:
     field: np.ndarray
     parent: np.ndarray
     target: pa.Array
+    of_node: dict[str, pa.Array] = attribute(default_factory=dict)
+    of_ref: dict[str, pa.Array] = attribute(default_factory=dict)
 
 
-def _chunk(t: pa.Table) -> Chunk:
-    t = t.combine_chunks()
-    lib, ver, fqn = (t[c].combine_chunks() if isinstance(t[c], pa.ChunkedArray) else t[c] for c in ("lib", "ver", "fqn"))
+def _chunk(t: pa.Table, fields: tuple[str, ...], node_cols: tuple[str, ...], ref_cols: tuple[str, ...]) -> Chunk:
+    def col(name: str) -> pa.Array:
+        c = t[name].combine_chunks()
+        return pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c
+
+    lib, ver, fqn = col("lib"), col("ver"), col("fqn")
     n = len(lib)
     new = np.ones(n, dtype=bool)
     if n > 1:
@@ -64,15 +70,21 @@ def _chunk(t: pa.Table) -> Chunk:
     child = keys.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     first = np.unique(child, return_index=True)[1]
     at = pa.array(first)
-    has = pc.is_valid(t["ref_field"]).combine_chunks()
-    target = t["target"].combine_chunks().filter(has)
+    ref_field = col("ref_field")
+    has = pc.is_valid(ref_field)
+    target = col("target").filter(has)
     where = pc.index_in(pc.binary_join_element_wise(g.filter(has), target, "\x00"), value_set=keys.dictionary)
     parent = pc.fill_null(where, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    field = pc.index_in(t["ref_field"].combine_chunks().filter(has), value_set=pa.array(REF_FIELDS)).to_numpy(zero_copy_only=False)
-    return Chunk(lib.take(at), ver.take(at), fqn.take(at), gid[first], child[has.to_numpy(zero_copy_only=False)], field, parent, target)
+    field = pc.index_in(ref_field.filter(has), value_set=pa.array(fields)).to_numpy(zero_copy_only=False)
+    own = {c: col(c).take(at) for c in node_cols}
+    held = {c: col(c).filter(has) for c in ref_cols}
+    child = child[has.to_numpy(zero_copy_only=False)]
+    return Chunk(lib.take(at), ver.take(at), fqn.take(at), gid[first], child, field, parent, target, own, held)
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+def chunks(
+    batches: Iterator[pa.RecordBatch], fields: tuple[str, ...] = REF_FIELDS, node_cols: tuple[str, ...] = (), ref_cols: tuple[str, ...] = ()
+) -> Iterator[Chunk]:
     """Chunks of whole snapshots from batches sorted by (lib, ver)."""
     held: list[pa.RecordBatch] = []
     n = 0
@@ -86,10 +98,10 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
         last = pc.and_(pc.equal(lib, lib[n - 1]), pc.equal(ver, ver[n - 1])).to_numpy()
         cut = int(np.argmax(last))  # where the last snapshot, which may go on, begins
         if cut:
-            yield _chunk(t.slice(0, cut))
+            yield _chunk(t.slice(0, cut), fields, node_cols, ref_cols)
             held, n = t.slice(cut).to_batches(), n - cut
     if n:
-        yield _chunk(pa.Table.from_batches(held))
+        yield _chunk(pa.Table.from_batches(held), fields, node_cols, ref_cols)
 
 
 def by_chunk(types: DataFrame, task: Callable[[Iterator[Chunk]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
