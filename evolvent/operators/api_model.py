@@ -11,12 +11,15 @@ from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evolvent.functions.refs import package_name, simple_name, target
-from evolvent.functions.typealg import parse, render, substitute
+from evolvent.functions.typealg import Scope, names_of, parse, render, substitute
+from evolvent.functions.typealg import erased as erased_reference
 from evolvent.model import BC_KINDS, DEFAULT_TARGETS, PLATFORM, platform_ancestors
 from evolvent.operators.declarations import latest_types
 from evolvent.operators.forest import closure
@@ -216,6 +219,22 @@ def _signature(name: Column, params: Column, each) -> Column:
     return F.concat(name, F.lit("("), F.array_join(F.transform(params, lambda p: F.concat(each(F.coalesce(p["ref"], F.lit(""))), varargs(p))), ","), F.lit(")"))
 
 
+@F.pandas_udf(T.StructType([T.StructField(c, T.ArrayType(T.StringType())) for c in ("refs", "erased")]))
+def instantiate(x: pd.DataFrame) -> pd.DataFrame:
+    """A member's references with its owner's type variables replaced by the heir's arguments, and their erasures."""
+    read = lambda tps: [(t["name"], list(t["bounds"]) if t["bounds"] is not None else []) for t in tps]
+    out: dict[str, list] = {"refs": [], "erased": []}
+    for r in x.to_dict("records"):
+        own, owner, heir = read(r["tps"]), read(r["type_tps"]), read(r["heir_tps"])
+        names = names_of(own, owner)
+        by = {n: parse(str(a), names_of(heir)) for (n, _), a in zip(owner, r["args"]) if n not in names_of(own)}
+        scope = Scope(own, heir)
+        given = [substitute(parse(str(t), names), by) for t in r["refs"]]
+        out["refs"].append([render(g) for g in given])
+        out["erased"].append([render(erased_reference(scope, g)) for g in given])
+    return pd.DataFrame(out)
+
+
 class ApiModel:
     """Tables of the snapshots of ``types``, ``execs`` and ``fields``; each is written once and read where it is used.
 
@@ -396,49 +415,44 @@ class ApiModel:
         both = own.unionByName(up).join(anc, [*KEY, "owner"], "left").withColumn("anc", F.coalesce("anc", no_list()))
         return self.stages.put(both, "lineage")
 
-    def _effective(self, members: DataFrame, key: str, keep) -> DataFrame:
+    def _inherited(self, members: DataFrame, refs: Column, tps: Column, back: dict[str, Column]) -> DataFrame:
+        """Members of each type and of its supertypes, inherited ones in terms of the type arguments that the heir gives.
+
+        ``refs`` are a member's references; ``back`` puts them back from ``r.refs`` and their erasures from ``r.erased``.
+        """
+        m = self.lineage.join(members, [*KEY, "owner"])
+        some = F.coalesce(F.size("args"), F.lit(0)) > 0
+        heirs = self.types.select(*KEY, "fqn", F.col("tps").alias("heir_tps"))
+        given = m.where(some).join(heirs, [*KEY, "fqn"])
+        given = given.withColumn("r", instantiate(F.struct(refs.alias("refs"), tps.alias("tps"), "type_tps", "args", "heir_tps")))
+        return m.where(~some).unionByName(given.withColumns(back).drop("r", "heir_tps"))
+
+    def _effective(self, m: DataFrame, key: str, keep) -> DataFrame:
         """For each type and ``key`` the one of its own and inherited members that stays when each hides the next.
 
         Members are taken nearest first, equally near ones by owner; ``keep(acc, x)`` says whether the member so far
         hides the next.
         """
-        cols = [c for c in members.columns if c not in (*KEY, "owner", key)]
-        m = self.lineage.join(members, [*KEY, "owner"])
-        item = F.struct("depth", "owner", "anc", "args", *cols)
+        cols = [c for c in m.columns if c not in (*KEY, "fqn", "owner", "depth", "anc", "args", key)]
+        item = F.struct("depth", "owner", "anc", *cols)
         lists = m.groupBy(*KEY, "fqn", key).agg(F.array_sort(F.collect_list(item)).alias("l"))
         fold = F.aggregate(F.slice("l", 2, F.greatest(F.lit(0), F.size("l") - 1)), F.get("l", F.lit(0)), lambda acc, x: F.when(keep(acc, x), acc).otherwise(x))
         one = F.when(F.size("l") == 1, F.get("l", F.lit(0))).otherwise(fold)
-        return lists.select(*KEY, "fqn", key, one.alias("m")).select(*KEY, "fqn", key, "m.*")
-
-    def _substituted(self, eff: DataFrame, refs: Column, back: dict[str, Column]) -> DataFrame:
-        """Inherited members in terms of the type arguments that the heir gives their owner."""
-        some = F.coalesce(F.size("args"), F.lit(0)) > 0
-
-        @F.pandas_udf("array<string>")
-        def give(refs_, tps, args):
-            def one(rs, names, given):
-                by = dict(zip(names, (parse(str(a)) for a in given)))
-                scope = frozenset(names)
-                return [render(substitute(parse(str(r), scope), by)) for r in rs]
-
-            return refs_.combine(tps, lambda a, b: (a, b)).combine(args, lambda ab, c: one(*ab, c))
-
-        plain = eff.where(~some)
-        given = eff.where(some).withColumn("r", give(refs, F.transform("type_tps", lambda t: t["name"]), F.col("args")))
-        return plain.unionByName(given.withColumns(back).drop("r"))
+        return lists.select(*KEY, "fqn", key, one.alias("m")).select(*KEY, "fqn", key, "m.*").drop("anc")
 
     @cached_property
     def effective_fields(self) -> DataFrame:
         """Fields that can be reached through each type, inherited ones included: exported first, then reduced by name."""
         p = self.props.select(*KEY, "fqn", "exported", "subtypable")
         hides = lambda a, x: F.array_contains(a["anc"], x["owner"]) | (a["owner"] == x["owner"])
-        pub = self._effective(self.fields.where("visibility = 'PUBLIC'"), "name", hides)
-        both = self._effective(self.fields, "name", hides)
+        none = F.array().cast(self.fields.schema["type_tps"].dataType)
+        m = self._inherited(self.fields, F.array("type_ref"), none, {"type_ref": F.get("r.refs", F.lit(0))})
+        pub = self._effective(m.where("visibility = 'PUBLIC'"), "name", hides)
+        both = self._effective(m, "name", hides)
         # Protected fields count in types that can be subtyped only.
         open_ = both.join(p.where("exported AND subtypable").select(*KEY, "fqn"), [*KEY, "fqn"], "left_semi")
         shut = pub.join(p.where("exported AND NOT subtypable").select(*KEY, "fqn"), [*KEY, "fqn"], "left_semi")
-        out = self._substituted(open_.unionByName(shut), F.array("type_ref"), {"type_ref": F.get("r", F.lit(0))})
-        return self.stages.put(out.drop("anc", "args"), "effective_fields")
+        return self.stages.put(open_.unionByName(shut), "effective_fields")
 
     @cached_property
     def all_methods(self) -> DataFrame:
@@ -450,11 +464,16 @@ class ApiModel:
             nearer = F.array_contains(a["anc"], x["owner"]) | (a["owner"] == x["owner"])
             return nearer | (~abstract(a) & abstract(x)) | (~abstract(a) & ~default(a) & default(x))
 
-        eff = self._effective(self.methods.select(*KEY, "owner", "erasure", *cols), "erasure", hides)
         refs = F.concat(F.array("return_ref"), F.transform("params", lambda q: q["ref"]))
-        renamed = F.transform("params", lambda q, i: F.struct(q["name"].alias("name"), F.get("r", i + 1).alias("ref"), q["varargs"].alias("varargs")))
-        out = self._substituted(eff, refs, {"return_ref": F.get("r", F.lit(0)), "params": renamed})
-        return self.stages.put(out.drop("anc", "args"), "all_methods")
+        renamed = F.transform("params", lambda q, i: F.struct(q["name"].alias("name"), F.get("r.refs", i + 1).alias("ref"), q["varargs"].alias("varargs")))
+        erased = F.transform("params", lambda q, i: F.concat(F.get("r.erased", i + 1), F.when(q["varargs"], "[]").otherwise("")))
+        back = {
+            "return_ref": F.get("r.refs", F.lit(0)),
+            "erasure": F.concat("name", F.lit("("), F.array_join(erased, ","), F.lit(")")),
+            "params": renamed,
+        }
+        m = self._inherited(self.methods.select(*KEY, "owner", "erasure", *cols), refs, F.col("tps"), back)
+        return self.stages.put(self._effective(m, "erasure", hides), "all_methods")
 
     @cached_property
     def effective_methods(self) -> DataFrame:
