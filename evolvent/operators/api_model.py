@@ -21,10 +21,11 @@ from evolvent.functions.refs import package_name, simple_name, target
 from evolvent.functions.typealg import Scope, names_of, parse, render, substitute
 from evolvent.functions.typealg import erased as erased_reference
 from evolvent.model import BC_KINDS, DEFAULT_TARGETS, PLATFORM, platform_ancestors
+from evolvent.operators.api_rounds import ancestor_rounds, visibility_rounds
 from evolvent.operators.declarations import latest_types
 from evolvent.operators.forest import closure
 from evolvent.operators.snapshot_diff import field_fingerprint, fingerprint, list_key, set_key, snapshot_order, tps_key
-from evolvent.operators.snapshot_graph import Chunk, chunks
+from evolvent.operators.snapshot_graph import GROUP_ROWS, Chunk, chunks, split_large
 from evolvent.session import Stages
 
 KEY = ["lib", "ver"]
@@ -239,10 +240,14 @@ class ApiModel:
     """Tables of the snapshots of ``types``, ``execs`` and ``fields``; each is written once and read where it is used.
 
     ``exports`` (lib, ver, pkg) lists the exported packages of snapshots that have a named module; a snapshot without
-    rows there exports everything. ``snapshots`` orders the versions of a library.
+    rows there exports everything. ``snapshots`` orders the versions of a library. Snapshots of more than ``group_rows``
+    types are closed by distributed rounds (:mod:`api_rounds`).
     """
 
-    def __init__(self, types: DataFrame, execs: DataFrame, fields: DataFrame, snapshots: DataFrame, exports: DataFrame | None = None):
+    def __init__(
+        self, types: DataFrame, execs: DataFrame, fields: DataFrame, snapshots: DataFrame, exports: DataFrame | None = None, group_rows: int = GROUP_ROWS
+    ):
+        self.group_rows = group_rows
         self._types, self._execs, self._fields, self._snapshots, self._exports = types, execs, fields, snapshots, exports
         self.spark = types.sparkSession
         self.stages = Stages(self.spark, "api")
@@ -255,6 +260,10 @@ class ApiModel:
     def order(self) -> DataFrame:
         return self.stages.put(snapshot_order(self._snapshots), "order")
 
+    @cached_property
+    def _sizes(self) -> tuple[DataFrame, DataFrame | None]:
+        return split_large(self.types, self.group_rows)
+
     def _graph(self, rows: DataFrame, task, schema: str, fields: tuple[str, ...], node_cols: tuple[str, ...], ref_cols: tuple[str, ...]) -> DataFrame:
         placed = rows.repartition(*KEY).sortWithinPartitions(*KEY)
         return placed.mapInArrow(lambda it: task(chunks(it, fields, node_cols, ref_cols)), schema)
@@ -271,13 +280,15 @@ class ApiModel:
     @cached_property
     def ancestors(self) -> DataFrame:
         """``lib, ver, fqn, ancestor, depth, in_library, args``: all supertypes with the least number of links."""
-        rows = self.types.select(
+        small, large = self._sizes
+        rows = small.select(
             *KEY, "fqn", F.transform("tps", lambda t: t["name"]).alias("tp_names"), F.explode_outer("supers").alias("s")
         ).select(
             *KEY, "fqn", "tp_names", F.when(F.col("s").isNotNull(), "supers").alias("ref_field"), F.col("s.target").alias("target"), F.col("s.text").alias("text")
         )
         schema = "lib string, ver string, fqn string, ancestor string, depth int, in_library boolean, args array<string>"
-        return self.stages.put(self._graph(rows, _supertype_task, schema, ("supers",), ("tp_names",), ("text",)), "ancestors")
+        out = self._graph(rows, _supertype_task, schema, ("supers",), ("tp_names",), ("text",))
+        return self.stages.put(out if large is None else out.unionByName(ancestor_rounds(self.stages, large)), "ancestors")
 
     def superclasses(self) -> DataFrame:
         """``lib, ver, fqn, ancestor, depth``: the chain of superclasses of classes, within the snapshot and the platform."""
@@ -297,7 +308,22 @@ class ApiModel:
     def props(self) -> DataFrame:
         """``lib, ver, fqn, exported, direct_subtypable, subtypable``."""
         ctors = self.constructors.select(*KEY, F.col("owner").alias("fqn")).distinct().withColumn("ctor", F.lit(HAS_CTOR))
-        t = self.types.join(ctors, [*KEY, "fqn"], "left")
+        small, large = self._sizes
+        schema = "lib string, ver string, fqn string, exported boolean, direct_subtypable boolean, subtypable boolean"
+        out = self._graph(self._flags(small, ctors), _visibility_task, schema, ("supers", "enclosing"), ("flags",), ())
+        if large is not None:
+            f = self._flags(large, ctors).select(*KEY, "fqn", "flags").distinct()
+            on = lambda b: F.col("flags").bitwiseAND(b) != 0
+            nodes = large.select(*KEY, "fqn", "enclosing", "visibility").join(f, [*KEY, "fqn"])
+            open_ = ~on(CLOSED) & (~on(CLASSLIKE) | on(HAS_CTOR))
+            nodes = nodes.select(*KEY, "fqn", "enclosing", "visibility", open_.alias("open"), on(EXPORTED_PACKAGE).alias("package_ok"))
+            supers = large.select(*KEY, "fqn", F.explode("supers").alias("s")).select(*KEY, "fqn", F.col("s.target").alias("super_fqn")).distinct()
+            out = out.unionByName(visibility_rounds(self.stages, nodes, supers))
+        return self.stages.put(out, "props")
+
+    def _flags(self, types: DataFrame, ctors: DataFrame) -> DataFrame:
+        """``lib, ver, fqn, flags, ref_field, target``: what the visibility fixpoint needs of each type, by reference."""
+        t = types.join(ctors, [*KEY, "fqn"], "left")
         package = F.lit(EXPORTED_PACKAGE)
         if self._exports is not None:
             named = self._exports.select(*KEY).distinct().withColumn("named", F.lit(True))
@@ -319,9 +345,7 @@ class ApiModel:
                 F.array().cast("array<struct<ref_field:string,target:string>>")
             ),
         )
-        rows = t.select(*KEY, "fqn", flags.cast("int").alias("flags"), F.explode_outer(refs).alias("r")).select(*KEY, "fqn", "flags", "r.ref_field", "r.target")
-        schema = "lib string, ver string, fqn string, exported boolean, direct_subtypable boolean, subtypable boolean"
-        return self.stages.put(self._graph(rows, _visibility_task, schema, ("supers", "enclosing"), ("flags",), ()), "props")
+        return t.select(*KEY, "fqn", flags.cast("int").alias("flags"), F.explode_outer(refs).alias("r")).select(*KEY, "fqn", "flags", "r.ref_field", "r.target")
 
     def _enclosing_tps(self) -> DataFrame:
         """``lib, ver, owner, scope, owner_kind``: type parameters in view of a type's members, innermost first."""

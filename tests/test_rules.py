@@ -139,7 +139,7 @@ def compiled(tmp, side: int) -> dict[str, list[dict]]:
 
 
 @pytest.fixture(scope="module")
-def changes(spark, tmp_path_factory):
+def tables(spark, tmp_path_factory):
     tmp = tmp_path_factory.mktemp("java")
     types, execs, fields, snaps = [], [], [], []
     for side in (0, 1):
@@ -151,15 +151,26 @@ def changes(spark, tmp_path_factory):
                 types.append({**t, "org": "o", "lib": lib, "ver": ver, "origin": "bytecode", "loaded_at": T0})
                 execs += [{**e, "org": "o", "lib": lib, "ver": ver, "owner": t["fqn"]} for e in d["execs"]]
                 fields += [{**f, "org": "o", "lib": lib, "ver": ver, "owner": t["fqn"], "file": t["file"]} for f in d["fields"]]
-    model = ApiModel(
+    return (
         spark.createDataFrame(types, TYPE_SCHEMA), spark.createDataFrame(execs, EXEC_SCHEMA), spark.createDataFrame(fields, FIELD_SCHEMA), spark.createDataFrame(snaps, SNAPSHOT_SCHEMA)
-    )
-    rows = ApiDiff(model).breaking_changes.collect()
+    )
+
+
+def findings(model: ApiModel) -> dict[str, list[tuple[str, str, str]]]:
     out = {name: [] for name, *_ in CASES}
-    for r in rows:
+    for r in ApiDiff(model).breaking_changes.collect():
         cut = lambda s: s.replace(f"t_{r['lib']}.", "")
         out[r["lib"]].append((cut(r["impacted_type"]), cut(r["impacted_symbol"]), r["kind"]))
-    return out
+    return {k: sorted(v) for k, v in out.items()}
+
+
+@pytest.fixture(scope="module")
+def changes(tables):
+    return findings(ApiModel(*tables))
+
+
+def test_distributed_rounds_find_the_same(tables, changes):
+    assert findings(ApiModel(*tables, group_rows=0)) == changes
 
 
 @pytest.mark.parametrize("name,expected", [(c[0], c[3]) for c in CASES], ids=[c[0] for c in CASES])
