@@ -12,6 +12,7 @@ from evolvent.model import EXEC_SCHEMA, FIELD_SCHEMA, SNAPSHOT_SCHEMA, TYPE_SCHE
 from evolvent.operators.api_diff import ApiDiff
 from evolvent.operators.api_model import ApiModel
 from evolvent.sources.classfile import decode
+from evolvent.sources.javasource import declared, decode_unit, read_unit
 
 pytestmark = pytest.mark.skipif(shutil.which("javac") is None, reason="no Java compiler")
 T0 = dt.datetime(2020, 1, 1)
@@ -138,13 +139,23 @@ def compiled(tmp, side: int) -> dict[str, list[dict]]:
     return {name: [d for f in sorted((out / f"t_{name}").glob("*.class")) if (d := decode(f.read_bytes()))] if (out / f"t_{name}").exists() else [] for name, *_ in CASES}
 
 
-@pytest.fixture(scope="module")
-def tables(spark, tmp_path_factory):
-    tmp = tmp_path_factory.mktemp("java")
+def parsed(_, side: int) -> dict[str, list[dict]]:
+    out = {}
+    for name, *sides, _ in CASES:
+        units = [read_unit(f"package t_{name};\n{text}\n") for text in sides[side]]
+        known = frozenset(n for u in units for n in declared(u))
+        out[name] = [d for u in units for d in decode_unit(u, known, f"t_{name}/{u.types[0].name}.java")]
+        for d in out[name]:
+            for a in d["type"]["annotations"]:
+                a["values"] = dict(a["values"])
+    return out
+
+
+def read_tables(spark, tmp, read):
     types, execs, fields, snaps = [], [], [], []
     for side in (0, 1):
         ver = str(side + 1)
-        for lib, decoded in compiled(tmp, side).items():
+        for lib, decoded in read(tmp, side).items():
             snaps.append(("o", lib, ver, T0 + dt.timedelta(days=side), "DELIVERED", None, len(decoded)))
             for d in decoded:
                 t = d["type"]
@@ -164,11 +175,21 @@ def findings(model: ApiModel) -> dict[str, list[tuple[str, str, str]]]:
     return {k: sorted(v) for k, v in out.items()}
 
 
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    return read_tables(spark, tmp_path_factory.mktemp("java"), compiled)
+
+
 @pytest.fixture(scope="module")
 def changes(tables):
     return findings(ApiModel(*tables))
 
 
+@pytest.fixture(scope="module")
+def source_changes(spark):
+    return findings(ApiModel(*read_tables(spark, None, parsed)))
+
+
 def test_distributed_rounds_find_the_same(tables, changes):
     assert findings(ApiModel(*tables, group_rows=0)) == changes
 
@@ -176,3 +197,8 @@ def test_distributed_rounds_find_the_same(tables, changes):
 @pytest.mark.parametrize("name,expected", [(c[0], c[3]) for c in CASES], ids=[c[0] for c in CASES])
 def test_rule(changes, name, expected):
     assert sorted(changes[name]) == sorted(expected)
+
+
+@pytest.mark.parametrize("name,expected", [(c[0], c[3]) for c in CASES], ids=[c[0] for c in CASES])
+def test_rule_from_sources(source_changes, name, expected):
+    assert sorted(source_changes[name]) == sorted(expected)
