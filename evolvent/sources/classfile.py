@@ -268,8 +268,8 @@ def decode(data: bytes) -> dict | None:
     permitted = []
     if "PermittedSubclasses" in attrs:
         x = _Bytes(attrs["PermittedSubclasses"])
-        permitted = [pool.name(x.take("H")) for _ in range(x.take("H"))]
-    mods = _named(seen, {STATIC: "STATIC", FINAL: "FINAL", ABSTRACT: "ABSTRACT"}) + ["SEALED"] * bool(permitted)
+        permitted = [p for _ in range(x.take("H")) if not _ANONYMOUS.search(p := pool.name(x.take("H")))]
+    mods = _named(seen, {STATIC: "STATIC", FINAL: "FINAL", ABSTRACT: "ABSTRACT"}) + ["SEALED"] * ("PermittedSubclasses" in attrs)
     notes = _annotations(attrs, pool)
     targets = [e.rsplit(".", 1)[1] for a in notes if a["fqn"] == "java.lang.annotation.Target" for e in a["raw"].get("value", [])]
     package = fqn.rpartition(".")[0].replace(".", "/")

@@ -23,7 +23,7 @@ from evolvent.sources.classfile import DECODED
 MOST_NAMES = 2_000_000
 
 _TOKEN = re.compile(
-    r"""\s+|//[^\n]*|/\*.*?\*/|(?P<lit>\"\"\".*?\"\"\"|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])+'|\d[\w.]*(?:[eEpP][+-]?\d+)?[fFdDlL]?)"""
+    r"""\s+|//[^\n]*|/\*.*?\*/|(?P<lit>\"\"\".*?\"\"\"|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])+'|\d(?:[\w.]|(?<=[eEpP])[+-])*)"""
     r"""|(?P<word>[A-Za-z_$][\w$]*)|(?P<op>\.\.\.|->|::|@interface\b|[^\s\w])""",
     re.S,
 )
