@@ -7,8 +7,11 @@ Iterative operators cut their lineage by writing a stage as Parquet in the folde
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +33,22 @@ def get_session(app: str = "evolvent", cores: int | str = "*", **conf: str) -> S
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each context, so that they need not find it on their own path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_evolvent_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    fd, name = tempfile.mkstemp(prefix="evolvent-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(name, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(name)
+    sc._evolvent_shipped = True
+    atexit.register(lambda: os.path.exists(name) and os.remove(name))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; one of our own only where that setting is absent."""
     sc = spark.sparkContext
@@ -61,6 +80,7 @@ class Stages:
     """
 
     def __init__(self, spark: SparkSession, what: str):
+        ship_package(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex[:12]}"
         self.n = 0

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evolvent.session import ship_package
+
 _ANONYMOUS = re.compile(r"\$\d+")
 _VERSIONED = re.compile(r"META-INF/versions/(\d+)/(.+)")
 # Letters of primitive types in descriptors.
@@ -408,6 +410,7 @@ def scan_classes(spark: SparkSession, path: str | list[str], release: int = 17)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(DECODED)
+    ship_package(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("path RLIKE '[.](jar|class|zip)$'")
     return files.select("path", "content").mapInArrow(lambda it: _scan(it, release, schema), DECODED)
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evolvent.model import PLATFORM, WIDENING
-from evolvent.session import small_enough
+from evolvent.session import ship_package, small_enough
 from evolvent.sources.classfile import DECODED
 
 #: Declared types of one source tree up to which their names are sent to the tasks.
@@ -543,6 +543,7 @@ def scan_sources(spark: SparkSession, path: str) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(DECODED)
+    ship_package(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.java").load(path)
     files = files.where(~F.col("path").endswith("/package-info.java")).select("path", F.decode("content", "UTF-8").alias("text"))
     names = files.mapInArrow(_names, "fqn string")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evolvent.operators.nested_records import elements, parse
+from evolvent.session import ship_package
 from evolvent.sources.classfile import DECODED
 
 # Kinds of types and executables by their tags.
@@ -126,6 +127,7 @@ def decode_payloads(records: DataFrame, key_col: str, payload_col: str) -> DataF
 
 def read_snapshots(spark, path: str) -> DataFrame:
     """Snapshot files, one to a file."""
+    ship_package(spark)
     files = spark.read.option("wholetext", True).text(path).withColumn("at", F.input_file_name())
     return decode_payloads(files, "at", "value")
 
