@@ -467,16 +467,13 @@ class ApiModel:
     @cached_property
     def effective_fields(self) -> DataFrame:
         """Fields that can be reached through each type, inherited ones included: exported first, then reduced by name."""
-        p = self.props.select(*KEY, "fqn", "exported", "subtypable")
+        p = self.props.where("exported").select(*KEY, "fqn", "subtypable")
         hides = lambda a, x: F.array_contains(a["anc"], x["owner"]) | (a["owner"] == x["owner"])
         none = F.array().cast(self.fields.schema["type_tps"].dataType)
         m = self._inherited(self.fields, F.array("type_ref"), none, {"type_ref": F.get("r.refs", F.lit(0))})
-        pub = self._effective(m.where("visibility = 'PUBLIC'"), "name", hides)
-        both = self._effective(m, "name", hides)
         # Protected fields count in types that can be subtyped only.
-        open_ = both.join(p.where("exported AND subtypable").select(*KEY, "fqn"), [*KEY, "fqn"], "left_semi")
-        shut = pub.join(p.where("exported AND NOT subtypable").select(*KEY, "fqn"), [*KEY, "fqn"], "left_semi")
-        return self.stages.put(open_.unionByName(shut), "effective_fields")
+        m = m.join(p, [*KEY, "fqn"]).where("visibility = 'PUBLIC' OR subtypable").drop("subtypable")
+        return self.stages.put(self._effective(m, "name", hides), "effective_fields")
 
     @cached_property
     def all_methods(self) -> DataFrame:
