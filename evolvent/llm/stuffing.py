@@ -18,6 +18,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ SEGMENT_WORDS = 60
 VOCABULARY = 20_000
 #: Most word pairs sent to the executors; 1 / HOT_PAIRS is the least relative frequency.
 HOT_PAIRS = 200_000
+#: Words whose hashes a task keeps between batches, to save work only.
+KNOWN_WORDS = 500_000
 #: Labelled documents that the model is fitted on, at most: those of the least hash of the id.
 TRAIN_DOCUMENTS = 4_000
 #: Segments of a labelled document that are used in fitting, at most.
@@ -59,6 +62,7 @@ _MARKS = ",|·•#/;()[]<>_*"
 _PHRASE = re.compile(r"[.!?;,|·•()\n#/。！？、]+|\s[-*]\s")
 #: Characters dropped before anything else. A fixed value.
 _DROPPED = dict.fromkeys([0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x00AD])
+_DROPPED_CHARS = [chr(c) for c in _DROPPED]
 _BLOB = re.compile(r"[^\s<>\"'()]{60,}")
 #: Digits written for letters within a word. Fixed values.
 _LEET = str.maketrans("013457", "oieast")
@@ -73,18 +77,16 @@ def _norm(w: str) -> str:
     return low.translate(_LEET) if low.isascii() and not low.isalpha() and not low[0].isdigit() else low
 
 
-class _Words:
-    """What is known of a word as written: its hash in normal form, whether it is a number, whether oddly capitalised."""
+#: In the flags of a word: it is a number; its capitals are odd.
+_IS_NUMBER, _IS_ODD = 1, 1 << 16
 
-    def __init__(self):
-        self.known: dict[str, tuple[int, bool, bool]] = {}
 
-    def __getitem__(self, w: str) -> tuple[int, bool, bool]:
-        if (x := self.known.get(w)) is None:
-            if len(self.known) > 500_000:
-                self.known = {}
-            odd = w.isascii() and w.isalpha() and not (w.islower() or w.istitle())
-            x = self.known[w] = (xxhash.xxh64_intdigest(_norm(w)) - 2**63, w.isdigit(), odd)
+class _Words(dict):
+    """Word as written -> (hash of its normal form, flags), worked out when first asked for."""
+
+    def __missing__(self, w: str) -> tuple[int, int]:
+        flags = _IS_NUMBER if w.isdigit() else _IS_ODD if w.isascii() and w.isalpha() and not (w.islower() or w.istitle()) else 0
+        x = self[w] = (xxhash.xxh64_intdigest(_norm(w)) - 2**63, flags)
         return x
 
 
@@ -95,7 +97,9 @@ def segments(text: str) -> Iterator[tuple[str, list[str]]]:
     """
     ascii_ = text.isascii()
     word = _ASCII_WORD if ascii_ else _WORD
-    for block in _BLOCK.split(text if ascii_ else text.translate(_DROPPED)):
+    if not ascii_ and any(c in text for c in _DROPPED_CHARS):
+        text = text.translate(_DROPPED)
+    for block in _BLOCK.split(text):
         held: list[str] = []
         have: list[str] = []
         for piece in _CUT.split(block):
@@ -118,10 +122,12 @@ def segments(text: str) -> Iterator[tuple[str, list[str]]]:
             yield "\n".join(held), have
 
 
-def measures(segment: str, known: list[tuple[int, bool, bool]]) -> tuple[float, ...]:
-    """repeat, distinct, brief, link, digits, marks, ends, capital, blob of a segment, given what is known of its words."""
-    n, size = max(1, len(known)), max(1, len(segment))
-    ids = [k[0] for k in known]
+def measures(segment: str, ids: list[int], flags: int) -> tuple[float, ...]:
+    """repeat, distinct, brief, link, digits, marks, ends, capital, blob of a segment.
+
+    ``ids`` are the hashes of its words, ``flags`` the sum of their flags.
+    """
+    n, size = max(1, len(ids)), max(1, len(segment))
     pairs = Counter(zip(ids, ids[1:]))
     pairs.pop((_NUMBER, _NUMBER), None)
     repeat = sum(c for c in pairs.values() if c > 1) / max(1, len(ids) - 1)
@@ -134,7 +140,7 @@ def measures(segment: str, known: list[tuple[int, bool, bool]]) -> tuple[float,
     blob = 0.0
     if size > 60 and max(map(len, segment.split()), default=0) >= 60:
         blob = sum(len(m) for m in _BLOB.findall(segment) if "://" not in m) / size
-    return repeat, len(set(ids)) / n, brief, link, sum(k[1] for k in known) / n, marks, ends, sum(k[2] for k in known) / n, blob
+    return repeat, len(set(ids)) / n, brief, link, (flags & 0xFFFF) / n, marks, ends, (flags >> 16) / n, blob
 
 
 def fit(x: np.ndarray, size: np.ndarray, doc: np.ndarray, label: np.ndarray, rounds: int = 600, sharp: float = 10.0) -> np.ndarray:
@@ -167,15 +173,18 @@ _BASE = ("repeat", "distinct", "brief", "link", "digits", "marks", "ends", "capi
 
 def _segment_rows(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     """The one pass over the texts: each segment with the measures of its own and the hashes of its words."""
-    words = _Words()
+    words, first, second = _Words(), itemgetter(0), itemgetter(1)
     names = ["doc", "seg", "size", *_BASE, "words"]
     types = [id_type, pa.int32(), pa.int64(), *[pa.float32()] * len(_BASE), pa.list_(pa.int64())]
     for b in batches:
+        if len(words) > KNOWN_WORDS:
+            words.clear()
         rows: list[tuple] = []
         for doc, t in zip(b.column(0).to_pylist(), b.column(1)):
             for no, (s, w) in enumerate(segments(t.as_py() or "")):
-                known = [words[x] for x in w]
-                rows.append((doc, no, len(s), *measures(s, known), [k[0] for k in known]))
+                known = list(map(words.__getitem__, w))
+                ids = list(map(first, known))
+                rows.append((doc, no, len(s), *measures(s, ids, sum(map(second, known))), ids))
                 if len(rows) >= 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
                     rows = []
