@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evolvent.functions.refs import target
+from evolvent.model import EXEC_SCHEMA, FIELD_SCHEMA, TYPE_SCHEMA
 
 # Fixed values: (symbol, atomic change, SQL condition under which the change is possible).
 STRATEGIES: list[tuple[str, str, str]] = [
@@ -151,3 +152,106 @@ def synthetic_api(spark: SparkSession, lib: str = "gen:api", ver: str = "1") ->
     fs = F.concat(bit(F.col("k"), 0, "STATIC"), bit(F.col("k"), 1, "FINAL"), bit(F.col("k"), 2, "TRANSIENT"))
     fields = y.select(*at, "owner", F.concat(F.lit("f"), F.abs(F.xxhash64("k", "visibility"))).alias("name"), "visibility", fs.alias("modifiers"), F.lit("int").alias("type_ref"))
     return types, execs, fields
+
+
+def small_api(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A generated API in the full schemas: every type of :func:`synthetic_api` with one method, field and constructor
+    for each mix of modifiers, the methods with a parameter and an exception."""
+    types, execs, fields = synthetic_api(spark)
+    none = F.lit(None)
+    of = lambda ddl: {c.split(" ", 1)[0]: c.split(" ", 1)[1] for c in _columns(ddl)}
+
+    def full(df: DataFrame, ddl: str) -> DataFrame:
+        return df.select(*[(F.col(c) if c in df.columns else none).cast(t).alias(c) for c, t in of(ddl).items()])
+
+    param = F.array(F.struct(F.lit("p0").alias("name"), F.lit("java.lang.String").alias("ref"), F.lit(False).alias("varargs")))
+    methods = execs.where("visibility = 'PUBLIC' AND return_ref = 'void'").withColumns({"params": param, "thrown": F.array(F.lit("java.io.IOException")), "line": F.lit(1)})
+    classes = types.where("kind IN ('CLASS', 'RECORD')").select("org", "lib", "ver", F.col("fqn").alias("owner"))
+    ctor = {"name": F.lit("<init>"), "exec_kind": F.lit("CONSTRUCTOR"), "visibility": F.lit("PUBLIC"), "return_ref": F.lit("void"), "params": param, "thrown": F.array(F.lit("java.io.IOException")), "line": F.lit(1)}
+    both = full(methods, EXEC_SCHEMA).unionByName(full(classes.withColumns(ctor), EXEC_SCHEMA))
+    shown = fields.where("visibility = 'PUBLIC'")
+    return full(types.withColumn("interface_refs", F.array(F.lit("java.lang.Cloneable"))), TYPE_SCHEMA), both, full(shown, FIELD_SCHEMA)
+
+
+def _columns(ddl: str) -> list[str]:
+    """Column definitions of a schema, nested types kept whole."""
+    out, depth, start = [], 0, 0
+    for i, c in enumerate(ddl + ","):
+        depth += (c == "<") - (c == ">")
+        if c == "," and depth == 0:
+            out.append(ddl[start:i].strip())
+            start = i + 1
+    return out
+
+
+def mutated_libraries(types: DataFrame, execs: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(cases, types, executables, fields): a library for each possible change of each symbol, before and after it.
+
+    A library is named ``strategy#symbol`` and holds the symbol's type with its members, as version 1 and, with the one
+    change made, as version 2. The change is an expression over the rows of the symbol; nothing loops over symbols.
+    """
+    shape = F.array_join(F.transform(F.coalesce("params", F.array().cast(execs.schema["params"].dataType)), lambda p: p["ref"]), ",")
+    x = execs.withColumn("symbol", F.concat("owner", F.lit("."), "name", F.lit("("), shape, F.lit(")")))
+    f = fields.withColumn("symbol", F.concat("owner", F.lit("."), "name"))
+    owners = (
+        types.select(F.col("fqn").alias("symbol"), F.col("fqn").alias("owner"))
+        .unionByName(x.select("symbol", "owner"))
+        .unionByName(f.select("symbol", "owner"))
+        .distinct()
+    )
+    cases = mutation_space(types, execs, fields).where("outcome = 'ok'").join(owners, "symbol")
+    cases = cases.select(F.concat("strategy", F.lit("#"), "symbol").alias("case"), "strategy", "symbol_kind", F.col("symbol").alias("changed"), "owner")
+    s = F.col("strategy")
+    part = F.regexp_extract(s, "^(?:Add|Remove)Modifier([A-Z][a-z]+)", 1)
+    mods = (
+        F.when(s.startswith("AddModifier"), F.array_union(F.coalesce("modifiers", F.array().cast("array<string>")), F.array(F.upper(part))))
+        .when(s.startswith("RemoveModifier"), F.array_remove("modifiers", F.upper(part)))
+        .otherwise(F.col("modifiers"))
+    )
+    hidden = F.when(s.contains("Visibility"), "PACKAGE_PRIVATE").otherwise(F.col("visibility"))
+
+    def versions(rows: DataFrame, symbol: str, change: dict) -> DataFrame:
+        j = rows.join(cases.withColumnRenamed("owner", "at"), rows["fqn" if "fqn" in rows.columns else "owner"] == F.col("at")).drop("at")
+        hit = F.col(symbol) == F.col("changed")
+        after = {c: F.when(hit, e).otherwise(F.col(c)) for c, e in change.items()}
+        gone = hit & s.isin("RemoveType", "RemoveMethod", "RemoveConstructor", "RemoveField")
+        cols = [c for c in rows.columns if c != "symbol"]
+        old = j.withColumns({"lib": F.col("case"), "ver": F.lit("1")}).select(*cols)
+        return old.unionByName(j.where(~gone).withColumns(after).withColumns({"lib": F.col("case"), "ver": F.lit("2")}).select(*cols))
+
+    faces = (
+        F.when(s == "AddImplementedInterfaceType", F.array_union(F.coalesce("interface_refs", F.array().cast("array<string>")), F.array(F.lit("java.lang.Runnable"))))
+        .when(s == "RemoveImplementedInterfaceType", F.slice("interface_refs", 2, F.greatest(F.lit(0), F.size("interface_refs") - 1)))
+        .otherwise(F.col("interface_refs"))
+    )
+    sup = F.when(s == "AddSuperClassClass", "java.lang.Thread").when(s == "RemoveSuperClassClass", F.lit(None)).otherwise(F.col("super_ref"))
+    t = versions(types, "fqn", {"visibility": hidden, "modifiers": mods, "interface_refs": faces, "super_ref": sup})
+    item = F.struct(F.lit("more").alias("name"), F.lit("int").alias("ref"), F.lit(False).alias("varargs"))
+    other = F.struct(F.lit("other").alias("name"), F.lit("java.lang.Thread").alias("ref"), F.lit(False).alias("varargs"))
+    rest = lambda c: F.slice(c, 2, F.greatest(F.lit(0), F.size(c) - 1))
+    params = (
+        F.when(s.startswith("AddParameter"), F.concat("params", F.array(item)))
+        .when(s.startswith("ChangeParameter"), F.concat(F.array(other), rest("params")))
+        .when(s.startswith("RemoveParameter"), rest("params"))
+        .otherwise(F.col("params"))
+    )
+    thrown = F.when(s.startswith("AddException"), F.array_union("thrown", F.array(F.lit("java.lang.InterruptedException")))).when(s.startswith("RemoveException"), rest("thrown")).otherwise(F.col("thrown"))
+    ret = F.when(s == "ChangeTypeMethod", "java.lang.Thread").otherwise(F.col("return_ref"))
+    xs = versions(x, "symbol", {"visibility": hidden, "modifiers": mods, "params": params, "thrown": thrown, "return_ref": ret})
+    component = F.col("strategy").isin("AddRecordComponent", "ChangeRecordComponent", "RemoveRecordComponent")
+    canon = x.where("exec_kind = 'CONSTRUCTOR'").join(cases.where(component).withColumnRenamed("owner", "at"), F.col("owner") == F.col("at"))
+    changed = F.when(s.startswith("Add"), F.concat("params", F.array(item))).when(s.startswith("Change"), F.concat(F.array(other), rest("params"))).otherwise(rest("params"))
+    canon = canon.withColumns({"lib": F.col("case"), "ver": F.lit("2"), "params": changed}).select(*execs.columns)
+    # A record's components are its canonical constructor: there the changed one stands for the old one.
+    untouched = xs.where(~((F.col("ver") == "2") & (F.col("exec_kind") == "CONSTRUCTOR") & F.col("lib").rlike("^(Add|Change|Remove)RecordComponent#")))
+    added = cases.where("strategy = 'AddAbstractMethodType'").select(
+        *[
+            {
+                "lib": F.col("case"), "ver": F.lit("2"), "owner": F.col("owner"), "name": F.lit("added"), "exec_kind": F.lit("METHOD"), "visibility": F.lit("PUBLIC"),
+                "modifiers": F.array(F.lit("ABSTRACT")), "return_ref": F.lit("void"),
+            }.get(c, F.lit(None)).cast(execs.schema[c].dataType).alias(c)
+            for c in execs.columns
+        ]
+    )
+    fs = versions(f, "symbol", {"visibility": hidden, "modifiers": mods, "type_ref": F.when(s == "ChangeTypeField", "java.lang.Thread").otherwise(F.col("type_ref"))})
+    return cases, t, untouched.unionByName(canon).unionByName(added), fs

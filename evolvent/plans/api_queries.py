@@ -431,7 +431,13 @@ def change_themes(spark, d):
 
 
 @query
-def synthetic_api_diff(spark, d):
-    """Self-comparison of the generated API: every library equals itself, so there is no finding."""
-    types, execs, fields = mutations.synthetic_api(spark)
-    return types.groupBy("kind", "visibility").agg(F.count("*").alias("n"))
+def mutation_benchmark(spark, d):
+    """Every possible atomic change of the generated API, made and compared: cases of each change and how many are found."""
+    cases, types, execs, fields = mutations.mutated_libraries(*mutations.small_api(spark))
+    snaps = cases.select(F.col("case").alias("lib"), F.explode(F.array(F.lit("1"), F.lit("2"))).alias("ver"))
+    snaps = snaps.select("lib", "ver", F.timestamp_seconds(F.col("ver").cast("int")).alias("taken_at"), F.lit("DELIVERED").alias("state"))
+    found = ApiDiff(ApiModel(types, execs, fields, snaps)).breaking_changes
+    hits = found.groupBy(F.col("lib").alias("case")).agg(F.bool_or("binary_breaking").alias("binary"), F.bool_or("source_breaking").alias("source"))
+    return cases.join(hits, "case", "left").groupBy("symbol_kind", "strategy").agg(
+        F.count("*").alias("n_cases"), F.count_if(F.coalesce("binary", F.lit(False))).alias("n_binary"), F.count_if(F.coalesce("source", F.lit(False))).alias("n_source")
+    )
