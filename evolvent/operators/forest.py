@@ -95,3 +95,46 @@ def closure(n: int, child: np.ndarray, parent: np.ndarray) -> Iterator[tuple[np.
         front = np.setdiff1d(nxt, seen, assume_unique=True)
         seen = np.union1d(seen, front)
         depth += 1
+
+
+def rooted(n: int, child: np.ndarray, parent: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """(nodes on loops, nodes below loops, number of descendants, levels) over edges of any shape.
+
+    Level k has (node, root, place in level k - 1 of the parent that leads there) of every node whose least number of
+    links to a root is k; of parents as near, the one of least ``rank``. Roots are the nodes without parents and, of each
+    loop that no edge leaves, the node of least rank.
+    """
+    n_above, n_below, on = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+    steps = [(a, d) for a, d, _ in closure(n, child, parent)]
+    for a, d in steps:
+        n_above += np.bincount(d, minlength=n)
+        n_below += np.bincount(a, minlength=n)
+        on[d[a == d]] = True
+    # The ancestors of a loop that no edge leaves are its nodes, who all have the same ones.
+    least, first, below = n_above.copy(), rank.copy(), np.zeros(n, dtype=bool)
+    for a, d in steps:
+        np.minimum.at(least, d, n_above[a])
+        np.minimum.at(first, d, rank[a])
+        below[d[on[a]]] = True
+    is_root = (n_above == 0) | (on & (least == n_above) & (first == rank))
+    order = np.argsort(child, kind="stable")
+    ups, count = parent[order], np.bincount(child, minlength=n)
+    start = np.concatenate([[0], np.cumsum(count)[:-1]])
+    r = np.flatnonzero(is_root)
+    levels, keys = [(r, r, np.full(len(r), -1))], r * n + r
+    for a, d in steps:
+        keep = is_root[a] & (a != d)
+        x, r = d[keep], a[keep]
+        if not len(x):
+            break
+        row = np.repeat(np.arange(len(x)), count[x])
+        p = ups[_ragged(start[x], count[x])]
+        want = p * n + r[row]
+        at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+        hit = keys[at] == want
+        row, p, at = row[hit], p[hit], at[hit]
+        by = np.lexsort((rank[p], row))
+        one = by[np.unique(row[by], return_index=True)[1]]
+        levels.append((x, r, at[one]))
+        keys = x * n + r
+    return on, below, n_below, levels

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evolvent.operators.nested_records import bounds_of_parameters, containers, flat_table, node_table
 from evolvent.operators.orphans import orphan_references, orphan_report
 from evolvent.operators.snapshot_diff import snapshot_changes
-from evolvent.operators.type_hierarchy import type_ancestors, type_trees
+from evolvent.operators.type_hierarchy import type_ancestors, type_places
 from evolvent.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,7 +39,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_trees(spark: SparkSession, d: str) -> DataFrame:
-    return type_trees(table(spark, d, "type_decl")).select("lib", "ver", "link", "fqn", "root", "depth", "n_descendants", "path")
+    return type_places(table(spark, d, "type_decl"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -84,3 +84,59 @@ def test_loops_are_left_over():
     assert s.looped.tolist() == [True, True, False, False] and s.ranged.tolist() == [False, False, False, True]
     got = {(int(a), int(d)): int(k) for x in closure(3, np.array([0, 1, 2]), np.array([1, 0, 0])) for a, d, k in zip(*x)}
     assert got == {(1, 0): 1, (0, 1): 1, (0, 2): 1, (0, 0): 2, (1, 1): 2, (1, 2): 2}
+
+
+def brute_places(rows):
+    """Rows of every linked type, from the closure and a search for each path."""
+    pairs, above, names = brute(rows), {}, {}
+    for r in rows:
+        for link, refs in (("super_ref", [r[3]]), ("interface_refs", r[4] or []), ("enclosing", [r[5]])):
+            names[r[0], r[1], link, r[2]] = refs
+    for (lib, ver, link, a, d), k in pairs.items():
+        above.setdefault((lib, ver, link, d), {})[a] = k
+    linked = set(above) | {(lib, ver, link, a) for lib, ver, link, a, _ in pairs}
+    up = lambda x: set(above.get(x, ()))
+    out = {}
+    for x in linked:
+        g = x[:3]
+        on = lambda n: n in up((*g, n))
+        root = lambda n: not up((*g, n)) or (on(n) and min(up((*g, n))) == n and all(n in up((*g, m)) for m in up((*g, n))))
+
+        def path(n, to, k):
+            if not k:
+                return n
+            near = [p for p in names[*g, n] if p and (p == to if k == 1 else p != to and above.get((*g, p), {}).get(to) == k - 1)]
+            return f"{path(min(near), to, k - 1)}/{n}"
+
+        loop = "on" if on(x[3]) else "below" if any(map(on, up(x))) else ""
+        below = sum(p[:4] == x for p in pairs)
+        for to, k in ({x[3]: 0} if root(x[3]) else {}).items() | {(a, k) for a, k in above.get(x, {}).items() if a != x[3] and root(a)}:
+            out[*x, to] = (k, below, path(x[3], to, k), loop)
+    assert {k[:4] for k in out} == linked
+    return out
+
+
+@pytest.mark.parametrize(("group", "seed"), [(1000, 3), (1000, 4), (0, 3)])
+def test_every_linked_type_has_its_places(spark, group, seed):
+    rows = graph(seed)
+    got = H.type_places(spark.createDataFrame(rows * 2, TYPE), group).select("lib", "ver", "link", "fqn", "root", "depth", "n_descendants", "path", "loop").collect()
+    want = brute_places(rows)
+    assert len(got) == len(want) and {tuple(r[:5]): tuple(r[5:]) for r in got} == want
+    assert {r[3] for r in want.values()} == {"", "on", "below"}
+
+
+def test_places_of_two_parents_and_loops(spark):
+    rows = [row("l", "R"), row("l", "A", None, ["R"]), row("l", "B", None, ["R"]), row("l", "C", None, ["B", "A"]), row("l", "X", "Y"), row("l", "Y", "X"), row("l", "Z", "Y")]
+    got = {(r["link"], r["fqn"]): r for r in H.type_places(spark.createDataFrame(rows, TYPE)).collect()}
+    assert {k[1]: (r["root"], r["depth"], r["path"], r["n_descendants"], r["loop"]) for k, r in got.items()} == {
+        "R": ("R", 0, "R", 3, ""), "A": ("R", 1, "R/A", 1, ""), "B": ("R", 1, "R/B", 1, ""), "C": ("R", 2, "R/A/C", 0, ""),
+        "X": ("X", 0, "X", 3, "on"), "Y": ("X", 1, "X/Y", 3, "on"), "Z": ("X", 2, "X/Y/Z", 0, "below"),
+    }
+
+
+def test_p4_trees_has_every_type_of_p4_found(spark, sf):
+    from evolvent.plans import problems
+
+    pairs = problems.p4_found(spark, sf)
+    linked = {tuple(r) for c in ("ancestor", "descendant") for r in pairs.select("lib", "ver", "link", c).collect()}
+    assert {tuple(r) for r in problems.p4_trees(spark, sf).select("lib", "ver", "link", "fqn").collect()} == linked
