@@ -2,14 +2,15 @@
 
 A text is cut into segments of up to ``SEGMENT_WORDS`` words. Sentences are made of words that belong together across
 the corpus, so the mean pointwise mutual information (PMI) of a segment's neighbouring words is high and few word pairs
-repeat within it. Word salad has a low mean PMI; keyword lists repeat the same collocations over and over; link and tag
+repeat within it. Word salad has a low mean PMI, or, if its words are rare, one that rests on pairs seen nowhere else,
+which a mean discounted by few counts shows; keyword lists repeat the same collocations over and over; link and tag
 lists show in their markup. A logistic model over these measures, fitted to labelled documents, gives the probability
 that a segment is stuffed; a document is stuffed if more than half of its characters are.
 
-Corpus counts cover all documents. Words of a relative frequency of at least ``1 / VOCABULARY`` have an id of their own
-(there can be no more than ``VOCABULARY`` of them), all others share one. Word pairs of a relative frequency of at
-least ``1 / HOT_PAIRS`` are sent to the executors (no more than ``HOT_PAIRS``); all other pairs are looked up by a
-join, in which by the same bound no key is frequent.
+Corpus counts cover all documents, all words and all word pairs, each known by a 64-bit hash. Word pairs of a relative
+frequency of at least ``1 / HOT_PAIRS`` are sent to the executors (no more than ``HOT_PAIRS``); all other pairs are
+looked up by a join, in which by the same bound no key is frequent. So are the counts of the words of the pairs, those
+of a relative frequency of at least ``1 / VOCABULARY`` being sent. Words below that frequency are called rare.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from evolvent.session import Stages
 
 SEGMENT_WORDS = 60
-#: Most words with an id of their own; 1 / VOCABULARY is the least relative frequency.
+#: Most words sent to the executors; 1 / VOCABULARY is the least relative frequency. All others are rare words.
 VOCABULARY = 20_000
 #: Most word pairs sent to the executors; 1 / HOT_PAIRS is the least relative frequency.
 HOT_PAIRS = 200_000
@@ -42,11 +43,11 @@ TRAIN_DOCUMENTS = 4_000
 #: Segments of a labelled document that are used in fitting, at most.
 TRAIN_SEGMENTS = 60
 
-FEATURES = ("pmi", "loose", "rare", "repeat", "distinct", "brief", "link", "digits", "marks", "ends", "capital", "blob")
+FEATURES = ("pmi", "firm", "loose", "rare", "repeat", "distinct", "brief", "link", "digits", "marks", "ends", "capital", "blob")
 
 #: Weights before any label is seen, from what the measures mean; the fit is drawn towards them.
 PRIOR = {
-    "pmi": -0.5, "loose": 3.0, "rare": 0.0, "repeat": 3.0, "distinct": -1.0, "brief": 1.0, "link": 3.0, "digits": 1.0, "marks": 1.0,
+    "pmi": -0.5, "firm": -0.5, "loose": 3.0, "rare": 0.0, "repeat": 3.0, "distinct": -1.0, "brief": 1.0, "link": 3.0, "digits": 1.0, "marks": 1.0,
     "ends": -1.0, "capital": 0.0, "blob": -3.0, "bias": -0.5,
 }
 
@@ -200,59 +201,76 @@ def _lookup(sorted_keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, sorted_keys[at] == x
 
 
-def _pairs(words: pa.ListArray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(segment, key) of every pair of neighbouring words, (segment, rare or not) of every word; 0 is the rare word's id."""
+#: Multiplier of the first word's hash in the key of a pair. An odd fixed value.
+_FIRST = np.int64(0x1E3779B97F4A7C15)
+
+
+def _pairs(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, segment) of every word, (place of the first word, key) of every pair of neighbouring words."""
     values = words.flatten().to_numpy(zero_copy_only=False)
     size = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-    at, hit = _lookup(vocabulary, values)
-    ids = np.where(hit, at + 1, 0)
     seg = np.repeat(np.arange(len(size)), size)
-    inner = seg[:-1] == seg[1:]
-    return seg[:-1][inner], ((ids[:-1] << 32) | ids[1:])[inner], seg, ~hit
+    first = np.flatnonzero(seg[:-1] == seg[1:])
+    return values, seg, first, values[first] * _FIRST + values[first + 1]
 
 
-def _bigrams(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
+def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        k, n = np.unique(_pairs(b.column(0), vocabulary.value)[1], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], names=["p", "n"])
+        values, _, first, p = _pairs(b.column(0))
+        k, at, n = np.unique(p, return_index=True, return_counts=True)
+        a = first[at]
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(values[a]), pa.array(values[a + 1]), pa.array(n.astype(np.int64))], names=["p", "a", "b", "n"])
 
 
 def _pmi_rows(batches: Iterator[pa.RecordBatch], vocabulary, hot) -> Iterator[pa.RecordBatch]:
     """Each segment's sums over its hot pairs, and the keys of all its other pairs."""
-    keys, pmis = hot.value
+    keys, pmis, firms = hot.value
     for b in batches:
         n = b.num_rows
-        seg, p, wseg, rare = _pairs(b.column(b.num_columns - 1), vocabulary.value)
+        values, wseg, first, p = _pairs(b.column(b.num_columns - 1))
+        seg, rare = wseg[first], ~_lookup(vocabulary.value, values)[1]
         at, hit = _lookup(keys, p)
         v = pmis[at[hit]] if len(keys) else np.empty(0)
         total = np.bincount(seg[hit], v, n).astype(np.float64)
+        firm = np.bincount(seg[hit], firms[at[hit]] if len(keys) else v, n).astype(np.float64)
         loose = np.bincount(seg[hit], v < LOOSE_PMI, n).astype(np.int64)
         share = np.bincount(wseg, rare, n).astype(np.float64) / np.maximum(1, np.bincount(wseg, minlength=n))
         offsets = np.concatenate([[0], np.cumsum(np.bincount(seg[~hit], minlength=n))]).astype(np.int32)
         others = pa.ListArray.from_arrays(pa.array(offsets), pa.array(p[~hit]))
-        own = [pa.array(np.bincount(seg, minlength=n).astype(np.int64)), pa.array(total), pa.array(loose), pa.array(share), others]
+        own = [pa.array(np.bincount(seg, minlength=n).astype(np.int64)), pa.array(total), pa.array(firm), pa.array(loose), pa.array(share), others]
         yield pa.RecordBatch.from_arrays(
-            [b.column(i) for i in range(b.num_columns - 1)] + own, names=[*b.schema.names[:-1], "pairs", "pmi_sum", "loose_n", "rare", "others"]
+            [b.column(i) for i in range(b.num_columns - 1)] + own, names=[*b.schema.names[:-1], "pairs", "pmi_sum", "firm_sum", "loose_n", "rare", "others"]
         )
 
 
+def _with_count(pairs: DataFrame, counts: DataFrame, word: str, n: str, total: int) -> DataFrame:
+    """``pairs`` with column ``n`` of ``counts``, which has a row for each ``word``: frequent words are sent, others joined."""
+    often = F.col(n) * VOCABULARY >= total
+    sent = pairs.join(F.broadcast(counts.where(often)), word, "left")  # at most VOCABULARY rows
+    # By the same bound no key of this join is frequent.
+    return sent.where(f"{n} IS NOT NULL").unionByName(sent.where(f"{n} IS NULL").drop(n).join(counts.where(~often), word))
+
+
 def pair_pmi(stages: Stages, segs: DataFrame):
-    """(broadcast sorted word hashes, table ``p, n, pmi`` of every pair of neighbouring words of the corpus, its total)."""
+    """(broadcast sorted hashes of words not rare, table ``p, n, pmi, firm`` of every pair of neighbouring words of the corpus, its total).
+
+    ``firm`` is the PMI discounted where counts are few: a pair that occurs once has none.
+    """
     sc = segs.sparkSession.sparkContext
     uni = stages.put(segs.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")), "words")
     total = uni.agg(F.sum("n")).first()[0] or 0
     often = uni.where(F.col("n") * VOCABULARY >= total).select("w").toArrow()["w"].to_numpy()  # at most VOCABULARY
     vocabulary = sc.broadcast(np.sort(often))
-    pairs = segs.select("words").mapInArrow(lambda it: _bigrams(it, vocabulary), "p bigint, n bigint")
-    pairs = stages.put(pairs.groupBy("p").agg(F.sum("n").alias("n")), "pairs")
+    pairs = segs.select("words").mapInArrow(_bigrams, "p bigint, a bigint, b bigint, n bigint")
+    pairs = stages.put(pairs.groupBy("p").agg(F.max("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n")), "pairs")
     n = pairs.agg(F.sum("n")).first()[0] or 0
-    # Marginals have one row for each word id: at most VOCABULARY + 1.
-    a, b = F.shiftright("p", 32), F.col("p").bitwiseAND(F.lit(2**32 - 1))
-    left = pairs.groupBy(a.alias("a")).agg(F.sum("n").alias("na"))
-    right = pairs.groupBy(b.alias("b")).agg(F.sum("n").alias("nb"))
+    left = stages.put(pairs.groupBy("a").agg(F.sum("n").alias("na")), "left")
+    right = stages.put(pairs.groupBy("b").agg(F.sum("n").alias("nb")), "right")
     pmi = F.log(F.col("n") * float(n) / (F.col("na") * F.col("nb")))
-    table = pairs.withColumns({"a": a, "b": b}).join(F.broadcast(left), "a").join(F.broadcast(right), "b")
-    return vocabulary, stages.put(table.select("p", "n", pmi.alias("pmi")), "pmi"), n
+    fewer = F.least("na", "nb")
+    firm = pmi * (F.col("n") - 1) / F.col("n") * fewer / (fewer + 1)
+    table = _with_count(_with_count(pairs, left, "a", "na", n), right, "b", "nb", n)
+    return vocabulary, stages.put(table.select("p", "n", pmi.alias("pmi"), firm.alias("firm")), "pmi"), n
 
 
 def segment_measures(stages: Stages, documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -266,30 +284,30 @@ def segment_measures(stages: Stages, documents: DataFrame, id_col: str, text_col
     d = documents.select(id_col, text_col).where(f"{text_col} IS NOT NULL AND {id_col} IS NOT NULL")
     segs = stages.put(d.mapInArrow(lambda it: _segment_rows(it, id_type), f"{base}, words array<bigint>"), "segments")
     vocabulary, table, n = pair_pmi(stages, segs)
-    hot = table.where(F.col("n") * HOT_PAIRS >= n).select("p", "pmi").toArrow()  # at most HOT_PAIRS rows
+    hot = table.where(F.col("n") * HOT_PAIRS >= n).select("p", "pmi", "firm").toArrow()  # at most HOT_PAIRS rows
     keys = hot["p"].to_numpy()
     order = np.argsort(keys)
-    sent = sc.broadcast((keys[order], hot["pmi"].to_numpy()[order]))
-    schema = f"{base}, pairs bigint, pmi_sum double, loose_n bigint, rare double, others array<bigint>"
+    sent = sc.broadcast((keys[order], hot["pmi"].to_numpy()[order], hot["firm"].to_numpy()[order]))
+    schema = f"{base}, pairs bigint, pmi_sum double, firm_sum double, loose_n bigint, rare double, others array<bigint>"
     rows = stages.put(segs.mapInArrow(lambda it: _pmi_rows(it, vocabulary, sent), schema), "rows")
     # Pairs that are not hot: joined with their counts, summed by segment, added to the segment's own sums.
     loose = F.when(F.col("pmi") < LOOSE_PMI, 1).otherwise(0).cast("long").alias("loose_n")
     rest = (
         rows.where(F.size("others") > 0)
         .select("doc", "seg", F.explode("others").alias("p"))
-        .join(table.where(F.col("n") * HOT_PAIRS < n).select("p", "pmi"), "p")
-        .select("doc", "seg", F.col("pmi").alias("pmi_sum"), loose)
+        .join(table.where(F.col("n") * HOT_PAIRS < n).select("p", "pmi", "firm"), "p")
+        .select("doc", "seg", F.col("pmi").alias("pmi_sum"), F.col("firm").alias("firm_sum"), loose)
     )
     kept = ("size", "pairs", "rare", *_BASE)
     whole = (
         rows.drop("others")
         .unionByName(rest, allowMissingColumns=True)
         .groupBy("doc", "seg")
-        .agg(F.sum("pmi_sum").alias("pmi_sum"), F.sum("loose_n").alias("loose_n"), F.count("size").alias("copies"), *[F.max(c).alias(c) for c in kept])
+        .agg(F.sum("pmi_sum").alias("pmi_sum"), F.sum("firm_sum").alias("firm_sum"), F.sum("loose_n").alias("loose_n"), F.count("size").alias("copies"), *[F.max(c).alias(c) for c in kept])
     )
     n_pairs = F.greatest(F.lit(1), F.col("pairs") * F.col("copies"))
     return whole.select(
-        "doc", "seg", "size", (F.col("pmi_sum") / n_pairs).alias("pmi"), (F.col("loose_n") / n_pairs).alias("loose"), "rare", *_BASE
+        "doc", "seg", "size", (F.col("pmi_sum") / n_pairs).alias("pmi"), (F.col("firm_sum") / n_pairs).alias("firm"), (F.col("loose_n") / n_pairs).alias("loose"), "rare", *_BASE
     )
 
 

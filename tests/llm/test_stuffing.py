@@ -74,6 +74,32 @@ def test_mean_pmi_against_brute_force(spark, monkeypatch, hot):
         assert got[k]["loose"] == pytest.approx(sum(x < S.LOOSE_PMI for x in v) / max(1, len(v)))
 
 
+@pytest.mark.parametrize(("hot", "vocabulary"), [(200_000, 20), (30, 20), (30, 1)])
+def test_rare_words_have_counts_of_their_own(spark, monkeypatch, hot, vocabulary):
+    monkeypatch.setattr(S, "HOT_PAIRS", hot)
+    monkeypatch.setattr(S, "VOCABULARY", vocabulary)
+    docs, _ = corpus(random.Random(2), 20)
+    d, _ = frames(spark, docs, [])
+    got = {(x["doc"], x["seg"]): x for x in S.segment_measures(Stages(spark, "t"), d, "doc_id", "text").collect()}
+    segs = {(i, n): [S._norm(w) for w in ws] for i, t in docs for n, (_, ws) in enumerate(S.segments(t))}
+    uni = Counter(w for ws in segs.values() for w in ws)
+    rare = {w for w, c in uni.items() if c * vocabulary < sum(uni.values())}
+    assert len(rare) > 10
+    pairs = Counter(p for ws in segs.values() for p in zip(ws, ws[1:]))
+    left, right, n = Counter(), Counter(), sum(pairs.values())
+    for (a, b), c in pairs.items():
+        left[a] += c
+        right[b] += c
+    assert set(got) == set(segs)
+    for k, ws in segs.items():
+        v = [math.log(pairs[p] * n / (left[p[0]] * right[p[1]])) for p in zip(ws, ws[1:])]
+        assert got[k]["pmi"] == pytest.approx(sum(v) / max(1, len(v)), abs=1e-6)
+        few = {p: min(left[p[0]], right[p[1]]) for p in zip(ws, ws[1:])}
+        firm = [x * (pairs[p] - 1) / pairs[p] * few[p] / (few[p] + 1) for p, x in zip(zip(ws, ws[1:]), v)]
+        assert got[k]["firm"] == pytest.approx(sum(firm) / max(1, len(v)), abs=1e-6)
+        assert got[k]["rare"] == pytest.approx(sum(w in rare for w in ws) / max(1, len(ws)))
+
+
 def test_odd_texts(spark):
     docs = [(1, None), (2, ""), (3, " \n\n\t"), (4, "x" * 200_000), (5, "one"), (6, "日本語。" * 500), (None, "y"), (7, "​­"), (8, "a b c"), (8, "a b c")]
     got = {r["doc_id"]: r for r in S.stuffed_documents(*frames(spark, docs, [])).collect()}
