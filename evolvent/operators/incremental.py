@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evolvent.operators.declarations import latest_types
-from evolvent.operators.snapshot_diff import snapshot_order
+from evolvent.operators.snapshot_diff import field_fingerprint, fingerprint, list_key, method_fingerprint, set_key, snapshot_order, tps_key
+
+#: What a type says of itself, with its file.
+TYPE_VALUES = ("kind", "visibility", "modifiers", "super_ref", "interface_refs", "tps", "enclosing", "permitted", "annotations", "targets", "file")
 
 FILE_VALUES = ("kind", "visibility", "super_ref", "line", "file")
 
@@ -42,10 +45,30 @@ def incremental_build(previous: DataFrame, parsed: DataFrame, changes: DataFrame
     return previous.join(dropped, keys, "left_anti").unionByName(parsed.join(fresh, keys, "left_semi"))
 
 
+def _values(types: DataFrame, change) -> DataFrame:
+    """``types`` with the values of each annotation through ``change``."""
+    return types.withColumn("annotations", F.transform("annotations", lambda a: F.struct(a["fqn"].alias("fqn"), change(a["values"]).alias("values"))))
+
+
+def _declared_types(types: DataFrame) -> DataFrame:
+    """The latest state of types that have a file; maps, which have no order, as sorted entries."""
+    return latest_types(_values(types, lambda m: F.array_sort(F.map_entries(m))), *TYPE_VALUES).where("file IS NOT NULL")
+
+
+def type_fingerprint():
+    """A type by all that it says: not its file, line, origin and time of loading."""
+    lists = [list_key(c, lambda r: F.coalesce(r, F.lit("\x04"))) for c in ("interface_refs", "permitted")]
+    entries = lambda a: F.array_join(F.transform(a["values"], lambda e: F.concat(e["key"], F.lit("\x03"), F.coalesce(e["value"], F.lit("\x04")))), "\x02")
+    annotations = list_key("annotations", lambda a: F.concat(F.coalesce(a["fqn"], F.lit("\x04")), F.lit("\x05"), F.coalesce(entries(a), F.lit(""))))
+    own = [F.col(c) for c in ("fqn", "kind", "visibility", "super_ref", "enclosing")]
+    return fingerprint(F.lit("type"), *own, set_key("modifiers"), *lists, tps_key("tps"), annotations, set_key("targets"))
+
+
 def snapshot_files(types: DataFrame, snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(files of each snapshot as the older, as the newer side of a pair): ``lib, ver, file, hash``, ver the newer.
 
-    A file's hash is the XOR of the hashes of the declarations that name it, so it needs no list of them.
+    A file's hash is the XOR of the hashes of the declarations that name it, by name, kind, visibility and superclass
+    alone, as the SQL of the query ``changed_files`` has it; :func:`declaration_files` hashes all that is declared.
     """
     t = latest_types(types, *FILE_VALUES).where("file IS NOT NULL")
     line = F.concat_ws("|", "fqn", F.coalesce("kind", F.lit("~")), F.coalesce("visibility", F.lit("~")), F.coalesce("super_ref", F.lit("~")))
@@ -56,12 +79,45 @@ def snapshot_files(types: DataFrame, snapshots: DataFrame) -> tuple[DataFrame, D
     return old, f.where("seq > 1").select("lib", "ver", "file", "hash")
 
 
-def rebuilt_types(types: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """``lib, ver, fqn, kind, visibility`` of each newer snapshot, built from the older one and the changed files."""
-    old, new = snapshot_files(types, snapshots)
-    changes = changed_files(old, new, ["lib", "ver", "file"])
-    t = latest_types(types, *FILE_VALUES).where("file IS NOT NULL").join(snapshot_order(snapshots), ["lib", "ver"])
-    cols = ("fqn", "kind", "visibility", "file")
-    previous = t.where("next_ver IS NOT NULL").select("lib", F.col("next_ver").alias("ver"), *cols)
-    parsed = t.where("seq > 1").select("lib", "ver", *cols)
-    return incremental_build(previous, parsed, changes, ["lib", "ver", "file"]).drop("file")
+def declaration_files(types: DataFrame, execs: DataFrame, fields: DataFrame, snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same as :func:`snapshot_files`, a file's hash being of all that its types and their members say.
+
+    Lines, ``origin`` and ``loaded_at`` do not count, nor do the names of parameters; lists that are sets are compared
+    as such, null and empty lists are equal. Repeated members count once.
+    """
+    t = _declared_types(types).select("lib", "ver", "fqn", "file", type_fingerprint().alias("h"))
+    members = [
+        d.where(F.col("owner").isNotNull()).select("lib", "ver", F.col("owner").alias("fqn"), h.alias("m"))
+        for d, h in ((execs, method_fingerprint()), (fields, field_fingerprint()))
+    ]
+    held = members[0].unionByName(members[1]).distinct().groupBy("lib", "ver", "fqn").agg(F.bit_xor("m").alias("m"))
+    whole = t.join(held, ["lib", "ver", "fqn"], "left").select("lib", "ver", "file", fingerprint(F.col("h"), F.coalesce("m", F.lit(0).cast("long"))).alias("h"))
+    f = whole.groupBy("lib", "ver", "file").agg(F.bit_xor("h").alias("hash")).join(snapshot_order(snapshots), ["lib", "ver"])
+    old = f.where("next_ver IS NOT NULL").select("lib", F.col("next_ver").alias("ver"), "file", "hash")
+    return old, f.where("seq > 1").select("lib", "ver", "file", "hash")
+
+
+def _rebuilt(rows: DataFrame, changes: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """``rows`` (with ``lib, ver, file``) of each newer snapshot, from the older one's and those of changed files."""
+    r = rows.join(snapshot_order(snapshots), ["lib", "ver"])
+    cols = [c for c in rows.columns if c not in ("lib", "ver")]
+    previous = r.where("next_ver IS NOT NULL").select("lib", F.col("next_ver").alias("ver"), *cols)
+    return incremental_build(previous, r.where("seq > 1").select("lib", "ver", *cols), changes, ["lib", "ver", "file"])
+
+
+def rebuilt_types(types: DataFrame, execs: DataFrame, fields: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Each newer snapshot's types with all their columns, built from the older snapshot and the changed files."""
+    changes = changed_files(*declaration_files(types, execs, fields, snapshots), ["lib", "ver", "file"])
+    return _values(_rebuilt(_declared_types(types), changes, snapshots), F.map_from_entries)
+
+
+def rebuilt_members(types: DataFrame, execs: DataFrame, fields: DataFrame, snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(methods, fields) of each newer snapshot's types, built in the same way, distinct.
+
+    A member goes with the file of its owner. Lines and a field's own ``file`` are left out, as they do not count.
+    """
+    changes = changed_files(*declaration_files(types, execs, fields, snapshots), ["lib", "ver", "file"])
+    of = latest_types(types, "file").where("file IS NOT NULL").withColumnRenamed("fqn", "owner")
+    rows = (d.drop("line", "file", "org").join(of, ["lib", "ver", "owner"]) for d in (execs, fields))
+    methods, members = (_rebuilt(r, changes, snapshots).drop("file").distinct() for r in rows)
+    return methods, members

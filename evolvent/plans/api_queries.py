@@ -408,7 +408,37 @@ def changed_since(spark, d):
 
 @query
 def incremental_rebuild(spark, d):
-    return incremental.rebuilt_types(table(spark, d, "type_decl"), table(spark, d, "api_snapshot"))
+    return _rebuilt_types(spark, d).select("lib", "ver", "fqn", "kind", "visibility")
+
+
+def _declared(spark, d):
+    return [table(spark, d, n) for n in ("type_decl", "exec_decl", "field_decl", "api_snapshot")]
+
+
+def _rebuilt_types(spark, d):
+    return incremental.rebuilt_types(*_declared(spark, d))
+
+
+@query
+def changed_declarations(spark, d):
+    """Files of each snapshot that differ from the one before in anything their types and members declare."""
+    return incremental.changed_files(*incremental.declaration_files(*_declared(spark, d)), ["lib", "ver", "file"])
+
+
+@query
+def rebuilt_types(spark, d):
+    """The types of ``incremental_rebuild`` with all their columns."""
+    return _rebuilt_types(spark, d)
+
+
+@query
+def rebuilt_methods(spark, d):
+    return incremental.rebuilt_members(*_declared(spark, d))[0]
+
+
+@query
+def rebuilt_fields(spark, d):
+    return incremental.rebuilt_members(*_declared(spark, d))[1]
 
 
 @query

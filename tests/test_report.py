@@ -117,3 +117,35 @@ def test_confusion(spark):
     rows = spark.createDataFrame([("x", True, True), ("x", True, False), ("x", False, True), ("x", False, False), ("y", False, False)], "g string, truth boolean, said boolean")
     got = {r["g"]: r for r in mutations.confusion(rows, "g", "truth", "said").collect()}
     assert (got["x"]["accuracy"], got["x"]["f1"], got["y"]["precision"]) == (0.5, 0.5, 0.0)
+
+
+def test_rebuilding_sees_every_declared_value(spark):
+    t0 = {"kind": "CLASS", "visibility": "PUBLIC", "modifiers": None, "super_ref": None, "interface_refs": None, "tps": None, "enclosing": None, "permitted": None, "annotations": None, "targets": None}
+    new = {
+        "modifiers": ["final"], "interface_refs": ["q.I"], "tps": [("T", ["q.B"])], "enclosing": "p.Out", "permitted": ["p.X"],
+        "annotations": [("q.Beta", {"since": "2"})], "targets": ["METHOD"],
+    }
+    types = [("l", v, f"p.T{c}", *(t0 | ({c: x} if v == "2" else {})).values(), f"{c}.java", T0) for c, x in new.items() for v in "12"]
+    types += [("l", v, f"p.T{c}", *t0.values(), f"{c}.java", T0) for c in ("method", "field", "same") for v in "12"]
+    schema = (
+        "lib string, ver string, fqn string, kind string, visibility string, modifiers array<string>, super_ref string, interface_refs array<string>, tps array<struct<name:string,bounds:array<string>>>, "
+        "enclosing string, permitted array<string>, annotations array<struct<fqn:string,values:map<string,string>>>, targets array<string>, file string, loaded_at timestamp"
+    )
+    types = spark.createDataFrame(types, schema)
+    execs = [("l", v, o, n, "METHOD", "PUBLIC", None, "void", None, None, None, False, int(v)) for o, n in (("p.Tmethod", "m"), ("p.Tsame", "s")) for v in "12"]
+    execs.append(("l", "2", "p.Tmethod", "more", "METHOD", "PUBLIC", None, "void", None, None, None, False, 1))
+    execs = spark.createDataFrame(
+        execs, "lib string, ver string, owner string, name string, exec_kind string, visibility string, modifiers array<string>, return_ref string, "
+        "params array<struct<name:string,ref:string,varargs:boolean>>, tps array<struct<name:string,bounds:array<string>>>, thrown array<string>, has_default boolean, line int",
+    )
+    fields = [("l", v, "p.Tfield", "f", "PUBLIC", None, r, False, None, 1) for v, r in (("1", "int"), ("2", "long"))]
+    fields = spark.createDataFrame(fields, "lib string, ver string, owner string, name string, visibility string, modifiers array<string>, type_ref string, is_const boolean, file string, line int")
+    execs, fields = (d.withColumn("org", F.lit("o")) for d in (execs, fields))
+    snaps = spark.createDataFrame([("l", v, T0 + dt.timedelta(days=int(v)), "DELIVERED") for v in "12"], "lib string, ver string, taken_at timestamp, state string")
+    changes = incremental.changed_files(*incremental.declaration_files(types, execs, fields, snaps), ["lib", "ver", "file"])
+    assert {r["file"] for r in changes.collect()} == {f"{c}.java" for c in (*new, "method", "field")}
+    rebuilt = {r["fqn"]: r for r in incremental.rebuilt_types(types, execs, fields, snaps).collect()}
+    want = {r["fqn"]: r for r in types.where("ver = '2'").collect()}
+    assert set(rebuilt) == set(want) and all(r[c] == want[k][c] for k, r in rebuilt.items() for c in t0)
+    methods, members = incremental.rebuilt_members(types, execs, fields, snaps)
+    assert sorted(r["name"] for r in methods.collect()) == ["m", "more", "s"] and [r["type_ref"] for r in members.collect()] == ["long"]
