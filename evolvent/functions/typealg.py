@@ -8,6 +8,8 @@ hierarchy comes with the row as headers, so a question is answered without looki
 from __future__ import annotations
 
 import re
+from collections import deque
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 
 from evolvent.model import BOXES, PLATFORM, WIDENING
@@ -17,8 +19,6 @@ UNBOXES = {b: p for p, b in BOXES.items()}
 PRIMITIVES = frozenset(WIDENING) | {"void"}
 _VARIABLE = re.compile(r"[A-Z][A-Z0-9]?")
 _TOKEN = re.compile(r"\s*([A-Za-z_$][\w$.]*|\?|<|>|,|&|\[\]|\.\.\.)")
-#: Steps after which an endlessly growing chain of instantiations or bounds is given up.
-MOST_STEPS = 200
 
 
 @lru_cache(maxsize=50_000)
@@ -97,6 +97,11 @@ def substitute(r: tuple, by: dict[str, tuple]) -> tuple:
     return r
 
 
+def instantiation(names: Sequence[str], args: Sequence[tuple]) -> dict[str, tuple]:
+    """What each variable of a type stands for; all that a raw reference leaves open is Object."""
+    return {n: args[i] if i < len(args) else OBJECT for i, n in enumerate(names)}
+
+
 Tps = list[tuple[str, list[str]]]
 
 
@@ -117,6 +122,20 @@ class Scope:
     def first(self, name: str) -> tuple | None:
         return self.bounds[name][0] if name in self.bounds else None
 
+    def end(self, name: str, stop: tuple | None = None) -> tuple:
+        """The first bound of a variable that is no variable (or is ``stop``), through all bounds.
+
+        Object for a variable of no bound; the variable itself where bounds lead back to it."""
+        seen = {name}
+        while True:
+            bound = self.first(name) or OBJECT
+            if bound[0] != "V" or bound == stop:
+                return bound
+            if bound[1] in seen:
+                return ("V", name)
+            name = bound[1]
+            seen.add(name)
+
 
 class World:
     """Type headers ``name -> (variable names, texts of direct supertypes)`` beside those of the platform."""
@@ -130,54 +149,64 @@ class World:
         return PLATFORM[name][1:] if name in PLATFORM else None
 
     def supers(self, r: tuple) -> list[tuple]:
-        """All supertypes of a class reference, with the arguments that ``r`` gives them."""
+        """All supertypes of a class reference, with the arguments that ``r`` gives them.
+
+        A type that turns up again on its own way up is not followed, so wrong hierarchies come to an end too.
+        """
         seen: dict[tuple, None] = {}
-        front = [r]
-        while front and len(seen) < MOST_STEPS:
-            x = front.pop(0)
+        front: deque[tuple[tuple, frozenset[str]]] = deque([(r, frozenset((r[1],)))])
+        while front:
+            x, way = front.popleft()
             if (h := self.header(x[1])) is None:
                 continue
             variables = frozenset(h[0])
             by = dict(zip(h[0], x[2]))
             for text in h[1]:
                 s = parse(text, variables)
-                if s[0] != "C" or s[1] == x[1]:
+                if s[0] != "C" or s[1] in way:
                     continue
                 if x[2] or not h[0]:
                     s = substitute(s, by)
                 if s not in seen:
                     seen[s] = None
-                    front.append(s)
+                    front.append((s, way | {s[1]}))
         return list(seen)
 
     def nominal(self, a: str, b: str) -> bool:
         return a == b or any(s[1] == b for s in self.supers(("C", a, ())))
 
-    def contains(self, scope: Scope, to: tuple, a: tuple) -> bool:
+    def contains(self, scope: Scope, to: tuple, a: tuple, asked: frozenset = frozenset()) -> bool:
         """Whether type argument ``to`` contains type argument ``a``."""
         if to[0] != "W":
             return to == a
         if to[1] and to[2] == (OBJECT,):
             return True
         if a[0] != "W":
-            return all(self.subtype(scope, a, b) for b in to[2]) if to[1] else self.subtype(scope, to[2][0], a)
+            return all(self.subtype(scope, a, b, asked) for b in to[2]) if to[1] else self.subtype(scope, to[2][0], a, asked)
         if (a[1] and a[2] == (OBJECT,)) or a[1] != to[1]:
             return False
         if to[1]:
-            return all(any(self.subtype(scope, x, b) for x in a[2]) for b in to[2])
-        return self.subtype(scope, to[2][0], a[2][0])
+            return all(any(self.subtype(scope, x, b, asked) for x in a[2]) for b in to[2])
+        return self.subtype(scope, to[2][0], a[2][0], asked)
 
-    def subtype(self, scope: Scope, a: tuple, b: tuple, steps: int = 0) -> bool:
-        """Whether ``a`` is a subtype of ``b`` where ``scope`` binds the type variables."""
-        if a == b:
-            return True
-        if steps > MOST_STEPS:
-            return False
-        if a[0] == "V":
+    def subtype(self, scope: Scope, a: tuple, b: tuple, asked: frozenset = frozenset()) -> bool:
+        """Whether ``a`` is a subtype of ``b`` where ``scope`` binds the type variables.
+
+        A question that comes up within its own answer (``asked``) is answered no. Questions about wildcards can grow
+        without end where a type extends larger instances of itself: :func:`whether` answers no to these.
+        """
+        while True:
+            if a == b:
+                return True
+            if (a, b) in asked:
+                return False
+            asked |= {(a, b)}
+            if a[0] != "V":
+                break
             bound = scope.first(a[1])
-            if bound is None or bound == a or (b[0] == "V" and bound[0] != "V"):
+            if bound is None or (b[0] == "V" and bound[0] != "V"):
                 return False
-            return self.subtype(scope, bound, b, steps + 1)
+            a = bound
         if b[0] == "V" or a[0] == "P":
             return False
         if a[0] == "A":
@@ -186,30 +215,30 @@ class World:
             if b[0] != "A":
                 return False
             x, y = (r[1] if r[2] == 1 else ("A", r[1], r[2] - 1) for r in (a, b))
-            return x == y if "P" in (x[0], y[0]) else self.subtype(scope, x, y, steps + 1)
+            return x == y if "P" in (x[0], y[0]) else self.subtype(scope, x, y, asked)
         if a[0] == "W":
-            return b[0] == "W" and self.contains(scope, b, a)
+            return b[0] == "W" and self.contains(scope, b, a, asked)
         if b[0] == "W":
-            return self.contains(scope, b, a)
+            return self.contains(scope, b, a, asked)
         if b[0] != "C":
             return False
 
         def fits(s: tuple) -> bool:
             if not b[2]:
                 return True
-            return len(s[2]) == len(b[2]) and all(self.contains(scope, y, x) for x, y in zip(s[2], b[2]))
+            return len(s[2]) == len(b[2]) and all(self.contains(scope, y, x, asked) for x, y in zip(s[2], b[2]))
 
         if a[1] == b[1]:
             return fits(a)
         return any(s[1] == b[1] and fits(s) for s in self.supers(a))
 
-    def assignable(self, scope: Scope, a: tuple, b: tuple, steps: int = 0) -> bool:
+    def assignable(self, scope: Scope, a: tuple, b: tuple) -> bool:
         """Whether a value of type ``a`` can be assigned to a variable of type ``b``."""
         if a == b:
             return True
         if a[0] == "V":
-            bound = scope.first(a[1]) or OBJECT
-            return bound != a and steps < MOST_STEPS and self.assignable(scope, bound, b, steps + 1)
+            end = scope.end(a[1], b)
+            return end == b or (end[0] != "V" and self.assignable(scope, end, b))
         if b[0] == "V":
             return False
         if a[0] == "P" and b[0] == "P":
@@ -260,11 +289,24 @@ class Normalizer:
         return substitute(r, self.added)
 
 
-def erased(scope: Scope, r: tuple, steps: int = 0) -> tuple:
-    """The erasure of a reference: variables by their first bound, no type arguments."""
-    if r[0] == "V" and steps < MOST_STEPS:
-        return erased(scope, scope.first(r[1]) or OBJECT, steps + 1)
+def erased(scope: Scope, r: tuple) -> tuple:
+    """The erasure of a reference: variables by their first bound, through all bounds, no type arguments."""
+    if r[0] == "V":
+        end = scope.end(r[1])
+        return OBJECT if end[0] == "V" else erased(scope, end)
     if r[0] == "A":
-        c = erased(scope, r[1], steps)
+        c = erased(scope, r[1])
         return ("A", c[1], c[2] + r[2]) if c[0] == "A" else ("A", c, r[2])
     return ("C", r[1], ()) if r[0] == "C" else r
+
+
+def whether(question: Callable[[], bool]) -> bool:
+    """The answer to a question of subtyping; no where it grows without end.
+
+    Subtyping with wildcards is undecidable; only types that extend ever larger instances of themselves, which compilers
+    refuse, lead to such questions.
+    """
+    try:
+        return question()
+    except RecursionError:
+        return False

@@ -9,7 +9,6 @@ function only for pairs whose written types differ.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,7 +17,8 @@ from pyspark.sql import types as T
 
 from evolvent.functions import typealg as A
 from evolvent.model import BC_KINDS
-from evolvent.operators.api_model import KEY, PLATFORM_ANCESTORS, ApiModel, has
+from evolvent.operators.api_model import KEY, PLATFORM_ANCESTORS, ApiModel, bounds_text, has
+from evolvent.session import once, together
 
 PAIR = ["lib", "ver"]
 TOLD = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("kind", "detail_old", "detail_new")]))
@@ -70,6 +70,12 @@ def old_final() -> Column:
     return has(o("modifiers"), "FINAL") | ~OLD("subtypable")
 
 
+def member_place() -> tuple[Column, Column]:
+    """(file, line) of the old member, in its owner's file; the impacted type's where nothing is known of the member's."""
+    known = o("file").isNotNull() | o("line").isNotNull()
+    return F.when(known, o("file")).otherwise(OLD("file")), F.when(known, o("line")).otherwise(OLD("line"))
+
+
 def type_rules() -> list[Rule]:
     klass = o("kind") == "CLASS"
     nested = o("enclosing").isNotNull() & n("enclosing").isNotNull()
@@ -103,7 +109,7 @@ def method_rules() -> list[Rule]:
     return [
         Rule("EXECUTABLE_REMOVED", "REMOVED", F.lit(True)),
         Rule("EXECUTABLE_NOW_PROTECTED", "MATCHED", now_protected()),
-        Rule("METHOD_NOW_ABSTRACT", "MATCHED", ~newly_sealed() & gained("ABSTRACT") & OLD("concrete")),
+        Rule("METHOD_NOW_ABSTRACT", "MATCHED", ~newly_sealed() & gained("ABSTRACT") & F.col("o_concrete")),
         Rule("METHOD_NOW_FINAL", "MATCHED", ~newly_sealed() & ~old_final() & (has(n("modifiers"), "FINAL") | ~NEW("subtypable"))),
         Rule("METHOD_NOW_STATIC", "MATCHED", gained("STATIC")),
         Rule("METHOD_OVERRIDABLE_NOW_STATIC", "MATCHED", gained("STATIC") & overridable),
@@ -133,49 +139,59 @@ def _world(headers) -> A.World:
     return A.World({h["fqn"]: (list(h["tps"]), list(h["supers"])) for h in (headers if headers is not None else ())})
 
 
+#: Columns of a question to the rules over generic types, in the order in which :func:`_generic` takes them.
+GENERIC = ("role", "o_ref", "n_ref", "o_type_tps", "n_type_tps", "o_scope", "n_scope", "o_tps", "n_tps", "o_params", "n_params", "final", "o_final", "constant", "headers")
+
+
 @F.pandas_udf(TOLD)
 def generic_changes(x: pd.DataFrame) -> pd.Series:
-    """Findings of the rules over generic types for one matched field (``role`` f) or executable (``role`` m, c or a)."""
-    return pd.Series([list(_generic(r)) for r in x.to_dict("records")])
+    """Findings of the rules over generic types for one matched field (``role`` f), executable (m, c or a) or type (t).
+
+    It is asked once for each distinct question, however many heirs share a member.
+    """
+    return pd.Series([list(_generic(*q)) for q in zip(*(x[c] for c in GENERIC))])
 
 
-def _generic(r: dict):
-    ot, nt, om, nm = (_tps(r[c]) for c in ("o_type_tps", "n_type_tps", "o_tps", "n_tps"))
-    before, after = A.Scope(om, ot), A.Scope(nm, nt)
+def _generic(role, o_ref, n_ref, o_type_tps, n_type_tps, o_scope, n_scope, o_tps, n_tps, o_params, n_params, final, o_final, constant, headers):
+    ot, nt, os, ns, om, nm = map(_tps, (o_type_tps, n_type_tps, o_scope, n_scope, o_tps, n_tps))
+    before, after = A.Scope(om, os), A.Scope(nm, ns)
     norm = A.Normalizer((om, nm), (ot, nt))
-    world = _world(r["headers"])
-    old, new = A.parse(r["o_ref"], before.names), A.parse(r["n_ref"], after.names)
-    final = bool(r["final"])
+    world = _world(headers)
+    final = bool(final)
 
     def told(kind: str, a: str | None, b: str | None) -> dict:
         return {"kind": kind, "detail_old": a, "detail_new": b}
 
-    if r["role"] in "fma" and old != new and norm.old(old) != norm.new(new):
+    if role == "t":
+        yield from _parameter_changes(om, nm, norm, before, after, world, told, overridable=True, of_type=True)
+        return
+    old, new = A.parse(o_ref, before.names), A.parse(n_ref, after.names)
+    if role in "fma" and old != new and norm.old(old) != norm.new(new):
         a, b = norm.old(old), norm.new(new)
         shown = A.render(old), A.render(new)
-        reads = world.source_compatible(after, a, b)
+        reads = A.whether(lambda: world.source_compatible(after, a, b))
         differs = A.erased(before, old) != A.erased(after, new)
-        if r["role"] == "f":
-            if differs and not r["constant"]:
+        if role == "f":
+            if differs and not constant:
                 yield told("FIELD_TYPE_ERASURE_CHANGED", *shown)
-            if not reads or not (r["o_final"] or world.assignable(after, a, b)):
+            if not reads or not (o_final or A.whether(lambda: world.assignable(after, a, b))):
                 yield told("FIELD_TYPE_CHANGED_INCOMPATIBLE", *shown)
         else:
             if differs:
                 yield told("METHOD_RETURN_TYPE_ERASURE_CHANGED", *shown)
-            if not reads or not (final or world.subtype(after, a, b)):
+            if not reads or not (final or A.whether(lambda: world.subtype(after, a, b))):
                 yield told("METHOD_RETURN_TYPE_CHANGED_INCOMPATIBLE", *shown)
-    if r["role"] == "f":
+    if role == "f":
         return
-    for s, t in zip(r["o_params"] if r["o_params"] is not None else (), r["n_params"] if r["n_params"] is not None else ()):
+    for s, t in zip(o_params if o_params is not None else (), n_params if n_params is not None else ()):
         p, q = A.parse(s, before.names), A.parse(t, after.names)
         if p[0] != "C" or q[0] != "C":
             continue
         if len(p[2]) != len(q[2]):
             yield told("EXECUTABLE_PARAMETER_GENERICS_CHANGED", A.render(p), A.render(q))
             break
-        a = norm.old(p)
-        if not (world.subtype(after, a, norm.new(q)) if final else a == q):
+        a, b = norm.old(p), norm.new(q)
+        if not (A.whether(lambda: world.subtype(after, a, b)) if final else a == q):
             yield told("EXECUTABLE_PARAMETER_GENERICS_CHANGED", A.render(p), A.render(q))
     yield from _parameter_changes(om, nm, norm, before, after, world, told, overridable=not final, of_type=False)
 
@@ -196,24 +212,11 @@ def _parameter_changes(old: A.Tps, new: A.Tps, norm, before, after, world, told,
         if not of_type and overridable:
             changed = set(a) != set(b)
         else:
-            changed = any(y != A.OBJECT and not any(world.subtype(after, x, y) for x in a) for y in b)
+            changed = any(y != A.OBJECT and not any(A.whether(lambda: world.subtype(after, x, y)) for x in a) for y in b)
         if changed:
             yield told("FORMAL_TYPE_PARAMETER_CHANGED", name, other)
 
 
-@F.pandas_udf(TOLD)
-def type_parameter_changes(x: pd.DataFrame) -> pd.Series:
-    """Findings about the formal type parameters of one matched type."""
-
-    def one(r: dict) -> list[dict]:
-        old, new = _tps(r["o_tps"]), _tps(r["n_tps"])
-        told = lambda kind, a, b: {"kind": kind, "detail_old": a, "detail_new": b}
-        args = (A.Normalizer((old, new)), A.Scope(old), A.Scope(new), _world(r["headers"]), told)
-        return list(_parameter_changes(old, new, *args, overridable=True, of_type=True))
-
-    return pd.Series([one(r) for r in x.to_dict("records")])
-
-
 class ApiDiff:
     """Matches and breaking changes between each snapshot of ``model`` and the next one of its library."""
 
@@ -229,7 +232,7 @@ class ApiDiff:
         new = df.join(order.where("seq > 1").select(*KEY), KEY).select(*KEY, *keys, F.struct(*cols).alias("n"))
         return old, new
 
-    @cached_property
+    @once
     def type_match(self) -> DataFrame:
         """``lib, ver, fqn, status, o, n`` of exported types; status MATCHED, REMOVED, ADDED or KIND_CHANGED."""
         old, new = self._sides(self.model.seen_types.where("exported"), ["fqn"])
@@ -238,31 +241,43 @@ class ApiDiff:
         )
         return self.stages.put(old.drop("old_ver").join(new, [*PAIR, "fqn"], "full_outer").withColumn("status", status), "type_match")
 
-    @cached_property
+    @once
     def pairs(self) -> DataFrame:
         """``lib, ver, fqn, ot, nt`` of types matched with equal kind: only their members are compared."""
-        keep = lambda c: F.struct(*[F.col(f"{c}.{x}").alias(x) for x in ("kind", "modifiers", "subtypable", "concrete", "file", "line")])
+        keep = lambda c: F.struct(*[F.col(f"{c}.{x}").alias(x) for x in ("kind", "modifiers", "subtypable", "file", "line")])
         return self.stages.put(self.type_match.where("status = 'MATCHED'").select(*PAIR, "fqn", keep("o").alias("ot"), keep("n").alias("nt")), "pairs")
 
+    @once
+    def concrete(self) -> DataFrame:
+        """``lib, ver, fqn, o_concrete, n_concrete``: whether clients can write a concrete subclass of a matched type."""
+        blocked = self.model.blockers.select(*KEY, "fqn").distinct()
+        later = self.model.order.where("next_ver IS NOT NULL").select(*KEY, "next_ver")
+        old = blocked.join(later, KEY).select("lib", F.col("next_ver").alias("ver"), "fqn", F.lit(True).alias("o_blocked"))
+        p = self.pairs.join(old, [*PAIR, "fqn"], "left").join(blocked.withColumn("n_blocked", F.lit(True)), [*PAIR, "fqn"], "left")
+        return self.stages.put(
+            p.select(*PAIR, "fqn", (OLD("subtypable") & F.col("o_blocked").isNull()).alias("o_concrete"), (NEW("subtypable") & F.col("n_blocked").isNull()).alias("n_concrete")), "concrete"
+        )
+
     def _member_match(self, members: DataFrame, key: str) -> DataFrame:
         old, new = self._sides(members, ["fqn", key])
         status = F.when(F.col("n").isNull(), "REMOVED").when(F.col("o").isNull(), "ADDED").otherwise("MATCHED")
         both = old.drop("old_ver").join(new, [*PAIR, "fqn", key], "full_outer").withColumn("status", status)
         return both.join(self.pairs, [*PAIR, "fqn"])
 
-    @cached_property
+    @once
     def field_match(self) -> DataFrame:
         return self.stages.put(self._member_match(self.model.effective_fields, "name"), "field_match")
 
-    @cached_property
+    @once
     def method_match(self) -> DataFrame:
-        return self.stages.put(self._member_match(self.model.effective_methods, "erasure"), "method_match")
+        both = self._member_match(self.model.effective_methods, "erasure").join(self.concrete, [*PAIR, "fqn"])
+        return self.stages.put(both, "method_match")
 
-    @cached_property
+    @once
     def constructor_match(self) -> DataFrame:
         return self.stages.put(self._member_match(self.model.exported_constructors(), "erasure"), "constructor_match")
 
-    @cached_property
+    @once
     def annotation_method_match(self) -> DataFrame:
         """Annotation elements meet by name alone."""
         x = self.model.annotation_methods.join(self.model.types.where("kind = 'ANNOTATION'").select(*KEY, F.col("fqn").alias("owner")), [*KEY, "owner"], "left_semi")
@@ -275,8 +290,7 @@ class ApiDiff:
         for r in rules:
             ok = (F.col("status") == r.status) & r.when
             symbol = o("symbol") if member else F.col("fqn")
-            file = F.coalesce(OLD("file")) if member else o("file")
-            line = F.coalesce(o("line"), OLD("line")) if member else o("line")
+            file, line = member_place() if member else (o("file"), o("line"))
             new = n("symbol") if member else None
             out.append(finding(r.kind, F.coalesce(ok, F.lit(False)), F.col("fqn"), symbol, new, r.detail_old, r.detail_new, file, line))
         found = F.filter(F.array(*out, *more), lambda x: x.isNotNull())
@@ -284,14 +298,19 @@ class ApiDiff:
 
     # -- rules that need more than the pair -------------------------------------------------------------------
 
-    def supertypes_removed(self) -> DataFrame:
-        """``lib, ver, fqn, lost``: exported supertypes that the newer version lost, only the nearest of each line."""
+    @once
+    def gone(self) -> DataFrame:
+        """``lib, ver, old_ver, fqn, ancestor``: exported supertypes that the newer version of a matched type lost."""
         a, order = self.model.ancestors, self.model.order
         shown = self.model.props.select(*KEY, F.col("fqn").alias("ancestor"), "exported")
         old = a.join(shown, [*KEY, "ancestor"], "left").where("exported IS NULL OR exported").join(order.where("next_ver IS NOT NULL"), KEY)
         old = old.select("lib", F.col("next_ver").alias("ver"), F.col("ver").alias("old_ver"), "fqn", "ancestor")
-        gone = old.join(self.pairs.select(*PAIR, "fqn"), [*PAIR, "fqn"], "left_semi").join(a.select(*KEY, "fqn", "ancestor"), [*KEY, "fqn", "ancestor"], "left_anti")
-        gone = self.stages.put(gone, "gone")
+        kept = old.join(self.pairs.select(*PAIR, "fqn"), [*PAIR, "fqn"], "left_semi")
+        return self.stages.put(kept.join(a.select(*KEY, "fqn", "ancestor"), [*KEY, "fqn", "ancestor"], "left_anti"), "gone")
+
+    def supertypes_removed(self) -> DataFrame:
+        """``lib, ver, fqn, lost``: exported supertypes that the newer version lost, only the nearest of each line."""
+        a, gone = self.model.ancestors, self.gone
         # What another lost supertype extends itself is reported through that one.
         further = gone.join(
             a.select("lib", F.col("ver").alias("old_ver"), F.col("fqn").alias("ancestor"), F.col("ancestor").alias("covered")), ["lib", "old_ver", "ancestor"]
@@ -302,56 +321,61 @@ class ApiDiff:
         near = gone.join(further.unionByName(outside), [*PAIR, "fqn", "ancestor"], "left_anti")
         return near.select(*PAIR, "fqn", F.col("ancestor").alias("lost"))
 
-    def _headers(self) -> DataFrame:
-        """``lib, ver, mention, hs``: headers of a type and its supertypes, as far as the snapshot declares them."""
-        t = self.model.types.select(
-            *KEY, F.col("fqn").alias("owner"), F.struct(F.col("fqn"), F.transform("tps", lambda x: x["name"]).alias("tps"), F.transform("supers", lambda s: s["text"]).alias("supers")).alias("h")
-        )
-        return self.model.lineage.select(*KEY, "fqn", "owner").join(t, [*KEY, "owner"]).groupBy(*KEY, F.col("fqn").alias("mention")).agg(F.collect_list("h").alias("hs"))
-
-    def _with_headers(self, rows: DataFrame, keys: list[str], text: Column) -> DataFrame:
-        """``rows`` with the headers of every type that ``text`` names, in the newer version."""
-        named = rows.select(*PAIR, *keys, F.explode(F.array_distinct(F.regexp_extract_all(F.translate(text, "/", "."), F.lit(r"([A-Za-z_$][\w$.]*)")))).alias("mention"))
-        heads = named.join(self._headers(), [*PAIR, "mention"]).groupBy(*PAIR, *keys).agg(F.array_distinct(F.flatten(F.collect_list("hs"))).alias("headers"))
-        return rows.join(heads, [*PAIR, *keys], "left")
-
-    def _generic_findings(self, match: DataFrame, key: str, role: str) -> DataFrame:
-        refs = (lambda s: F.col(f"{s}.type_ref")) if role == "f" else (lambda s: F.col(f"{s}.return_ref"))
-        tps_type = match.schema["o"].dataType["type_tps"].dataType
+    def _with_headers(self, rows: DataFrame, text: Column) -> DataFrame:
+        """Distinct ``rows`` with the headers of every type that ``text`` names and of its supertypes, in the newer version."""
+        named = F.array_distinct(F.regexp_extract_all(F.translate(text, "/", "."), F.lit(r"([A-Za-z_$][\w$.]*)")))
+        rows = self.stages.put(rows.withColumns({"id": F.monotonically_increasing_id(), "mentions": named}), "questions")
+        mention = rows.select(*PAIR, "id", F.explode("mentions").alias("fqn"))
+        above = self.model.lineage.select(*KEY, "fqn", "owner").join(mention.select(*PAIR, "fqn").distinct(), [*KEY, "fqn"])
+        head = F.struct(F.col("fqn"), F.transform("tps", lambda x: x["name"]).alias("tps"), F.transform("supers", lambda s: s["text"]).alias("supers"))
+        heads = self.model.types.select(*KEY, F.col("fqn").alias("owner"), head.alias("h"))
+        # A question has as many headers as the types that it names have supertypes.
+        told = mention.join(above, [*PAIR, "fqn"]).select(*PAIR, "id", "owner").distinct().join(heads, [*PAIR, "owner"])
+        return rows.join(told.groupBy(*PAIR, "id").agg(F.collect_list("h").alias("headers")), [*PAIR, "id"], "left").drop("mentions")
+
+    def _generic_rows(self, match: DataFrame, role: str) -> DataFrame:
+        """What the rules over generic types ask of matched members or types whose written types differ."""
+        type_, member = role == "t", role != "t"
+        tps_type = match.schema["o"].dataType["tps" if type_ else "type_tps"].dataType
         no_tps, no_refs = F.array().cast(tps_type), F.array().cast("array<string>")
-        params = (lambda s: no_refs) if role == "f" else (lambda s: F.transform(F.col(f"{s}.params"), lambda p: p["ref"]))
-        tps = (lambda s: no_tps) if role == "f" else (lambda s: F.col(f"{s}.tps"))
+        ref = {"f": "type_ref", "t": None}.get(role, "return_ref")
+        refs = lambda s: F.col(f"{s}.{ref}") if member else F.lit("void")
+        params = lambda s: no_refs if role in "ft" else F.transform(F.col(f"{s}.params"), lambda p: p["ref"])
+        tps = lambda s: no_tps if role == "f" else F.col(f"{s}.tps")
+        around = lambda s, c: F.col(f"{s}.{c}") if member else no_tps
+        final = F.lit(False) if role in "ft" else F.lit(True) if role == "c" else old_final()
+        file, line = member_place() if member else (o("file"), o("line"))
+        both = lambda name, of: (of("o").alias(f"o_{name}"), of("n").alias(f"n_{name}"))
         rows = match.where("status = 'MATCHED'").select(
-            *PAIR, "fqn", key, refs("o").alias("o_ref"), refs("n").alias("n_ref"), o("type_tps").alias("o_type_tps"), n("type_tps").alias("n_type_tps"),
-            tps("o").alias("o_tps"), tps("n").alias("n_tps"), params("o").alias("o_params"), params("n").alias("n_params"),
-            (F.lit(False) if role == "f" else F.lit(True) if role == "c" else old_final()).alias("final"),
+            *PAIR, "fqn", F.lit(role).alias("role"), *both("ref", refs), *both("type_tps", lambda s: around(s, "type_tps")), *both("scope", lambda s: around(s, "type_scope")),
+            *both("tps", tps), *both("params", params), F.coalesce(final, F.lit(False)).alias("final"),
             (has(o("modifiers"), "FINAL") if role == "f" else F.lit(False)).alias("o_final"), (o("is_const") if role == "f" else F.lit(False)).alias("constant"),
-            F.lit(role).alias("role"), o("symbol").alias("o_symbol"), n("symbol").alias("n_symbol"), OLD("file").alias("file"), F.coalesce(o("line"), OLD("line")).alias("line"),
+            (o("symbol") if member else F.col("fqn")).alias("o_symbol"), (n("symbol") if member else F.lit(None).cast("string")).alias("n_symbol"), file.alias("file"), line.alias("line"),
         )
-        differs = (F.col("o_ref") != F.col("n_ref")) | (F.col("o_params") != F.col("n_params")) | (F.col("o_tps") != F.col("n_tps"))
-        differs = differs | ((F.col("o_type_tps") != F.col("n_type_tps")))
-        rows = self.stages.put(rows.where(differs), "generic")
-        text = F.concat_ws(" ", "o_ref", "n_ref", F.array_join("o_params", " "), F.array_join("n_params", " "), *[
-            F.array_join(F.flatten(F.transform(F.filter(c, lambda t: t["bounds"].isNotNull()), lambda t: t["bounds"])), " ")
-            for c in ("o_type_tps", "n_type_tps", "o_tps", "n_tps")
-        ])
-        ready = self._with_headers(rows, ["fqn", key], text)
-        cols = ("o_ref", "n_ref", "o_type_tps", "n_type_tps", "o_tps", "n_tps", "o_params", "n_params", "final", "o_final", "constant", "role", "headers")
-        out = ready.withColumn("f", F.explode(generic_changes(F.struct(*cols))))
+        differs = F.lit(False)
+        for c in ("ref", "params", "tps", "scope"):
+            differs = differs | (F.col(f"o_{c}") != F.col(f"n_{c}"))
+        return rows.where(differs)
+
+    def _generic_findings(self) -> DataFrame:
+        """Findings over generic types: of all fields, executables and types in one pass, each distinct question once."""
+        matches = [(self.field_match, "f"), (self.method_match, "m"), (self.constructor_match, "c"), (self.annotation_method_match, "a"), (self.type_match, "t")]
+        rows = self._generic_rows(*matches[0])
+        for m in matches[1:]:
+            rows = rows.unionByName(self._generic_rows(*m))
+        rows = self.stages.put(rows, "generic")
+        asked = [c for c in GENERIC if c != "headers"]
+        text = F.concat_ws(" ", "o_ref", "n_ref", F.array_join("o_params", " "), F.array_join("n_params", " "), *[bounds_text(F.col(f"{v}_{c}")) for v in "on" for c in ("scope", "tps")])
+        ready = self._with_headers(rows.select(*PAIR, *asked).distinct(), text)
+        answers = ready.select(*PAIR, *asked, generic_changes(F.struct(*GENERIC)).alias("f")).where("size(f) > 0")
+        out = rows.join(answers, [*PAIR, *asked]).withColumn("f", F.explode("f"))
         return out.select(
             *PAIR, "f.kind", F.col("fqn").alias("impacted_type"), F.col("o_symbol").alias("impacted_symbol"), F.col("n_symbol").alias("new_symbol"),
             "f.detail_old", "f.detail_new", "file", F.col("line").cast("int").alias("line"),
         )
 
-    def _type_parameter_findings(self) -> DataFrame:
-        rows = self.type_match.where("status = 'MATCHED'").where(o("tps") != n("tps"))
-        rows = rows.select(*PAIR, "fqn", o("tps").alias("o_tps"), n("tps").alias("n_tps"), o("file").alias("file"), o("line").alias("line"))
-        text = F.concat_ws(" ", *[F.array_join(F.flatten(F.transform(F.filter(c, lambda t: t["bounds"].isNotNull()), lambda t: t["bounds"])), " ") for c in ("o_tps", "n_tps")])
-        out = self._with_headers(rows, ["fqn"], text).withColumn("f", F.explode(type_parameter_changes(F.struct("o_tps", "n_tps", "headers"))))
-        none = F.lit(None).cast("string").alias("new_symbol")
-        return out.select(*PAIR, "f.kind", F.col("fqn").alias("impacted_type"), F.col("fqn").alias("impacted_symbol"), none, "f.detail_old", "f.detail_new", "file", "line")
-
-    def exception_types(self) -> DataFrame:
+    @once
+    def exceptions(self) -> DataFrame:
         """``lib, ver, exc, checked, up``: every type that an executable of the snapshot throws, with its supertypes."""
         thrown = self.model.executables.select(*KEY, F.explode("thrown_types").alias("exc"))
         order = self.model.order.select("lib", "ver", "next_ver")
@@ -364,18 +388,19 @@ class ApiDiff:
         ups = F.coalesce(F.when(F.col("declared"), F.col("up")), "known", F.array().cast("array<string>"))
         chain = F.array_union(ups, F.array("exc"))
         unchecked = F.array_contains(chain, "java.lang.RuntimeException") | F.array_contains(chain, "java.lang.Error")
-        return x.select(*KEY, "exc", (F.array_contains(chain, "java.lang.Throwable") & ~unchecked).alias("checked"), chain.alias("up"))
+        return self.stages.put(x.select(*KEY, "exc", (F.array_contains(chain, "java.lang.Throwable") & ~unchecked).alias("checked"), chain.alias("up")), "exceptions")
 
     def _thrown_findings(self) -> DataFrame:
         """Checked exceptions that an executable no longer throws, or throws now."""
-        exc = self.stages.put(self.exception_types(), "exceptions")
+        exc = self.exceptions
         sides = []
         for match, key, role in ((self.method_match, "erasure", "m"), (self.constructor_match, "erasure", "c")):
             final = F.lit(True) if role == "c" else old_final()
+            file, line = member_place()
             sides.append(
                 match.where("status = 'MATCHED'").where(o("thrown_types") != n("thrown_types")).select(
                     *PAIR, "fqn", F.concat(F.lit(role), F.col(key)).alias("key"), final.alias("final"), o("thrown_types").alias("t1"), n("thrown_types").alias("t2"),
-                    o("symbol").alias("o_symbol"), n("symbol").alias("n_symbol"), OLD("file").alias("file"), F.coalesce(o("line"), OLD("line")).alias("line"),
+                    o("symbol").alias("o_symbol"), n("symbol").alias("n_symbol"), file.alias("file"), line.alias("line"),
                 )
             )
         rows = self.stages.put(sides[0].unionByName(sides[1]), "thrown")
@@ -403,7 +428,7 @@ class ApiDiff:
 
     def _added_methods(self) -> DataFrame:
         """New abstract methods of types that clients extend, and annotation elements without default; on the new type."""
-        abstract = has(n("modifiers"), "ABSTRACT") & (has(OLD("modifiers"), "SEALED") | ~has(NEW("modifiers"), "SEALED")) & OLD("concrete")
+        abstract = has(n("modifiers"), "ABSTRACT") & (has(OLD("modifiers"), "SEALED") | ~has(NEW("modifiers"), "SEALED")) & F.col("o_concrete")
         cols = lambda kind: (
             *PAIR, F.lit(kind).alias("kind"), F.col("fqn").alias("impacted_type"), F.col("fqn").alias("impacted_symbol"), n("symbol").alias("new_symbol"),
             F.lit(None).cast("string").alias("detail_old"), n("symbol").alias("detail_new"), NEW("file").alias("file"), NEW("line").alias("line"),
@@ -425,17 +450,20 @@ class ApiDiff:
         lost_ = self.supertypes_removed().join(t.select(*PAIR, "fqn", *place), [*PAIR, "fqn"]).select(*at("TYPE_SUPERTYPE_REMOVED", null, F.col("lost"), null))
         targets = t.where(o("kind") == "ANNOTATION").select(*PAIR, "fqn", *place, F.explode(F.array_except(o("targets"), n("targets"))).alias("x"))
         targets = targets.select(*at("ANNOTATION_TARGET_REMOVED", null, F.col("x"), null))
-        shut = t.where(o("kind") == "CLASS").where(o("concrete") & ~n("concrete")).select(*PAIR, "fqn", *place)
+        shut = t.where(o("kind") == "CLASS").join(self.concrete.where("o_concrete AND NOT n_concrete"), [*PAIR, "fqn"], "left_semi").select(*PAIR, "fqn", *place)
         shut = shut.join(self.model.blockers, [*PAIR, "fqn"]).select(*at("CLASS_NO_LONGER_CONCRETELY_EXTENSIBLE", F.col("symbol"), null, F.col("symbol")))
         return lost_.unionByName(targets).unionByName(shut)
 
-    @cached_property
+    @once
     def breaking_changes(self) -> DataFrame:
         """Every finding once, with its kind's place in the report, nature and what it breaks.
 
         ``lib, ver, kind, impacted_type, impacted_symbol, new_symbol, detail_old, detail_new, file, line, kind_ordinal,
         nature, binary_breaking, source_breaking``. Members that Object declares are not reported.
         """
+        own, seen = ("ancestors", "order", "scopes", "props", "executables", "fields"), ("seen_types", "all_methods", "effective_fields")
+        matches = ("type_match", "field_match", "method_match", "constructor_match", "annotation_method_match", "exceptions", "gone")
+        together(*((self.model, x) for x in (*own, *seen)), *((self, x) for x in matches))
         parts = [
             self._fire(self.type_match, type_rules(), member=False),
             self._fire(self.field_match, field_rules(), member=True),
@@ -443,13 +471,9 @@ class ApiDiff:
             self._fire(self.constructor_match, constructor_rules(), member=True),
             self._fire(self.annotation_method_match, annotation_method_rules(), member=True),
             self._type_details(),
-            self._type_parameter_findings(),
             self._added_methods(),
             self._thrown_findings(),
-            self._generic_findings(self.field_match, "name", "f"),
-            self._generic_findings(self.method_match, "erasure", "m"),
-            self._generic_findings(self.constructor_match, "erasure", "c"),
-            self._generic_findings(self.annotation_method_match, "name", "a"),
+            self._generic_findings(),
         ]
         out = parts[0]
         for p in parts[1:]:

@@ -7,8 +7,8 @@ by snapshot; members are joined by owner and reduced by key.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
-from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evolvent.functions.refs import package_name, simple_name, target
-from evolvent.functions.typealg import Scope, names_of, parse, render, substitute
+from evolvent.functions.typealg import Scope, instantiation, names_of, parse, render, substitute
 from evolvent.functions.typealg import erased as erased_reference
 from evolvent.model import BC_KINDS, DEFAULT_TARGETS, PLATFORM, platform_ancestors
 from evolvent.operators.api_rounds import ancestor_rounds, visibility_rounds
@@ -26,7 +26,8 @@ from evolvent.operators.declarations import latest_types
 from evolvent.operators.forest import closure
 from evolvent.operators.snapshot_diff import field_fingerprint, fingerprint, list_key, set_key, snapshot_order, tps_key
 from evolvent.operators.snapshot_graph import GROUP_ROWS, Chunk, chunks, split_large
-from evolvent.session import Stages
+from evolvent.operators.type_hierarchy import type_ancestors
+from evolvent.session import Stages, once
 
 KEY = ["lib", "ver"]
 VALUES = ("kind", "visibility", "modifiers", "super_ref", "interface_refs", "tps", "enclosing", "permitted", "annotations", "targets", "file", "line")
@@ -131,20 +132,36 @@ def _supertype_task(chunks_: Iterator[Chunk]) -> Iterator[pa.RecordBatch]:
 
 
 def _instantiations(c: Chunk, generic: set[int], names: list[str]) -> dict[int, dict[int, list[str]]]:
-    """type -> generic supertype of its snapshot -> the arguments that the type's declaration gives it, as text."""
-    texts, tps = c.of_ref["text"].to_pylist(), c.of_node["tp_names"].to_pylist()
-    ups: dict[int, list[tuple[int, str]]] = {}
+    """type -> generic supertype of its snapshot -> the arguments that the type's declaration gives it, as text.
+
+    The nearest path counts, of equally near ones the first in the order of declaration; a raw supertype has none.
+    """
+    texts, tps, ords = c.of_ref["text"].to_pylist(), c.of_node["tp_names"].to_pylist(), c.of_ref["ord"].to_pylist()
+    ups: dict[int, list[tuple[int, int, str]]] = {}
     for e in np.flatnonzero(c.parent >= 0).tolist():
-        ups.setdefault(int(c.child[e]), []).append((int(c.parent[e]), texts[e]))
+        ups.setdefault(int(c.child[e]), []).append((ords[e], int(c.parent[e]), texts[e]))
+    for x in ups.values():
+        x.sort()
+    # Only what lies below a generic type has arguments to find.
+    below: dict[int, list[int]] = {}
+    for x, own in ups.items():
+        for _, z, _ in own:
+            below.setdefault(z, []).append(x)
+    heirs, todo = set(), list(generic)
+    while todo:
+        for x in below.get(todo.pop(), ()):
+            if x not in heirs:
+                heirs.add(x)
+                todo.append(x)
     out: dict[int, dict[int, list[str]]] = {}
-    for x in ups:
+    for x in heirs:
         found: dict[int, list[str]] = {}
         seen = {x}
-        front = [(x, None)]
+        front = deque([(x, None)])
         while front:
-            y, by = front.pop(0)
+            y, by = front.popleft()
             own = frozenset(tps[y])
-            for z, text in ups.get(y, ()):
+            for _, z, text in ups.get(y, ()):
                 if z in seen:
                     continue
                 seen.add(z)
@@ -154,7 +171,7 @@ def _instantiations(c: Chunk, generic: set[int], names: list[str]) -> dict[int,
                 args = r[2] if r[0] == "C" else ()
                 if z in generic and args:
                     found[z] = [render(a) for a in args]
-                front.append((z, dict(zip(tps[z], args))))
+                front.append((z, instantiation(tps[z], args)))
         if found:
             out[x] = found
     return out
@@ -199,20 +216,27 @@ def _lookup(scope: Column, name: Column) -> Column:
     return F.get(F.filter(scope, lambda s: s["name"] == name), F.lit(0))
 
 
-def _erase_name(scope: Column, name: Column, steps: int = 3) -> Column:
-    """A type name with a type variable of the scope replaced by its first bound's name, a bounded number of times."""
-    if not steps:
-        return name
-    hit = _lookup(scope, name)
-    bound = F.coalesce(target(F.get(hit["bounds"], F.lit(0))), F.lit("java.lang.Object"))
-    return F.when(hit.isNull(), name).otherwise(_erase_name(scope, bound, steps - 1) if steps > 1 else bound)
+def _erase_name(scope: Column, name: Column) -> Column:
+    """A type name; a type variable of the scope gives the first of its bounds that is none, through all bounds.
+
+    As many steps as variables are in view reach the end of every chain; a variable that bounds itself has no end and
+    stands for Object, as one without bounds does.
+    """
+    top = F.lit("java.lang.Object")
+
+    def step(held: Column, _: Column) -> Column:
+        hit = _lookup(scope, held)
+        return F.when(hit.isNull(), held).otherwise(F.coalesce(target(F.get(hit["bounds"], F.lit(0))), top))
+
+    end = F.aggregate(scope, name, step)
+    return F.when(_lookup(scope, name).isNull(), name).otherwise(F.when(_lookup(scope, end).isNull(), end).otherwise(top))
 
 
 def erase(scope: Column, ref: Column) -> Column:
     """The erased name of a reference, with its array dimensions."""
     dims = F.regexp_extract(ref, r"((?:\[\])*)\s*$", 1)
     base = F.regexp_replace(F.coalesce(target(ref), F.lit("")), r"(\[\])+$", "")
-    return F.concat(_erase_name(scope, base), dims)
+    return F.concat(F.when(F.size(scope) == 0, base).otherwise(_erase_name(scope, base)), dims)
 
 
 def _signature(name: Column, params: Column, each) -> Column:
@@ -220,19 +244,29 @@ def _signature(name: Column, params: Column, each) -> Column:
     return F.concat(name, F.lit("("), F.array_join(F.transform(params, lambda p: F.concat(each(F.coalesce(p["ref"], F.lit(""))), varargs(p))), ","), F.lit(")"))
 
 
+def bounds_text(tps: Column) -> Column:
+    """All bounds of formal type parameters, in one text."""
+    return F.array_join(F.flatten(F.transform(tps, lambda t: F.coalesce(t["bounds"], no_list()))), " ")
+
+
 @F.pandas_udf(T.StructType([T.StructField(c, T.ArrayType(T.StringType())) for c in ("refs", "erased")]))
 def instantiate(x: pd.DataFrame) -> pd.DataFrame:
-    """A member's references with its owner's type variables replaced by the heir's arguments, and their erasures."""
+    """A member's references with its owner's type variables replaced by the heir's arguments, and their erasures.
+
+    It is asked once for each distinct question. ``tps`` are the member's own type parameters, ``type_tps`` its owner's,
+    ``scope`` all in view of the owner's members, ``args`` and ``heir_scope`` what the heir gives and has in view.
+    """
     read = lambda tps: [(t["name"], list(t["bounds"]) if t["bounds"] is not None else []) for t in tps]
     out: dict[str, list] = {"refs": [], "erased": []}
-    for r in x.to_dict("records"):
-        own, owner, heir = read(r["tps"]), read(r["type_tps"]), read(r["heir_tps"])
-        names = names_of(own, owner)
-        by = {n: parse(str(a), names_of(heir)) for (n, _), a in zip(owner, r["args"]) if n not in names_of(own)}
-        scope = Scope(own, heir)
-        given = [substitute(parse(str(t), names), by) for t in r["refs"]]
+    for refs, tps, type_tps, scope, args, heir in zip(*(x[c] for c in ("refs", "tps", "type_tps", "scope", "args", "heir_scope"))):
+        own, around, heir_tps = read(tps), read(scope), read(heir)
+        names, inner = names_of(own, around), names_of(own)
+        by = {t["name"]: parse(str(a), names_of(heir_tps)) for t, a in zip(type_tps, args) if t["name"] not in inner}
+        bound = [(n, [render(substitute(parse(b, names), by)) for b in bs]) for n, bs in own]
+        view = Scope(bound, heir_tps, around)
+        given = [substitute(parse(str(t), names), by) for t in refs]
         out["refs"].append([render(g) for g in given])
-        out["erased"].append([render(erased_reference(scope, g)) for g in given])
+        out["erased"].append([render(erased_reference(view, g)) for g in given])
     return pd.DataFrame(out)
 
 
@@ -252,15 +286,15 @@ class ApiModel:
         self.spark = types.sparkSession
         self.stages = Stages(self.spark, "api")
 
-    @cached_property
+    @once
     def types(self) -> DataFrame:
         return self.stages.put(type_rows(self._types), "types")
 
-    @cached_property
+    @once
     def order(self) -> DataFrame:
         return self.stages.put(snapshot_order(self._snapshots), "order")
 
-    @cached_property
+    @once
     def _sizes(self) -> tuple[DataFrame, DataFrame | None]:
         return split_large(self.types, self.group_rows)
 
@@ -277,17 +311,17 @@ class ApiModel:
         inside = self.types.select(*KEY, F.col("fqn").alias("super_fqn"))
         return self.supertype_edges().join(inside, [*KEY, "super_fqn"], "left_semi").select(*KEY, "super_fqn", "fqn").distinct()
 
-    @cached_property
+    @once
     def ancestors(self) -> DataFrame:
         """``lib, ver, fqn, ancestor, depth, in_library, args``: all supertypes with the least number of links."""
         small, large = self._sizes
         rows = small.select(
-            *KEY, "fqn", F.transform("tps", lambda t: t["name"]).alias("tp_names"), F.explode_outer("supers").alias("s")
+            *KEY, "fqn", F.transform("tps", lambda t: t["name"]).alias("tp_names"), F.posexplode_outer("supers").alias("ord", "s")
         ).select(
-            *KEY, "fqn", "tp_names", F.when(F.col("s").isNotNull(), "supers").alias("ref_field"), F.col("s.target").alias("target"), F.col("s.text").alias("text")
+            *KEY, "fqn", "tp_names", F.when(F.col("s").isNotNull(), "supers").alias("ref_field"), F.col("s.target").alias("target"), F.col("s.text").alias("text"), "ord"
         )
         schema = "lib string, ver string, fqn string, ancestor string, depth int, in_library boolean, args array<string>"
-        out = self._graph(rows, _supertype_task, schema, ("supers",), ("tp_names",), ("text",))
+        out = self._graph(rows, _supertype_task, schema, ("supers",), ("tp_names",), ("text", "ord"))
         return self.stages.put(out if large is None else out.unionByName(ancestor_rounds(self.stages, large)), "ancestors")
 
     def superclasses(self) -> DataFrame:
@@ -304,10 +338,10 @@ class ApiModel:
         kinds = self.types.where("kind IN ('INTERFACE', 'ANNOTATION')").select(*KEY, F.col("fqn").alias("ancestor"))
         return self.ancestors.join(kinds, [*KEY, "ancestor"], "left_semi").select(*KEY, "fqn", "ancestor", "depth")
 
-    @cached_property
+    @once
     def props(self) -> DataFrame:
         """``lib, ver, fqn, exported, direct_subtypable, subtypable``."""
-        ctors = self.constructors.select(*KEY, F.col("owner").alias("fqn")).distinct().withColumn("ctor", F.lit(HAS_CTOR))
+        ctors = self._with_constructor().withColumn("ctor", F.lit(HAS_CTOR))
         small, large = self._sizes
         schema = "lib string, ver string, fqn string, exported boolean, direct_subtypable boolean, subtypable boolean"
         out = self._graph(self._flags(small, ctors), _visibility_task, schema, ("supers", "enclosing"), ("flags",), ())
@@ -347,16 +381,29 @@ class ApiModel:
         )
         return t.select(*KEY, "fqn", flags.cast("int").alias("flags"), F.explode_outer(refs).alias("r")).select(*KEY, "fqn", "flags", "r.ref_field", "r.target")
 
-    def _enclosing_tps(self) -> DataFrame:
-        """``lib, ver, owner, scope, owner_kind``: type parameters in view of a type's members, innermost first."""
-        t = self.types.select(*KEY, F.col("fqn").alias("owner"), "tps", "enclosing", F.col("kind").alias("owner_kind"))
-        up = self.types.where("size(tps) > 0").select(*KEY, F.col("fqn").alias("enclosing"), F.col("tps").alias("outer"))
-        # Only types nested in a generic one look further than themselves; one level of nesting is in view.
-        return t.join(up, [*KEY, "enclosing"], "left").select(
-            *KEY, "owner", "owner_kind", F.col("tps").alias("type_tps"), F.concat("tps", F.coalesce("outer", F.array().cast(t.schema["tps"].dataType))).alias("scope")
+    def _with_constructor(self) -> DataFrame:
+        """``lib, ver, fqn`` of types with a constructor that clients or their subclasses can call."""
+        x = self._execs.where("exec_kind = 'CONSTRUCTOR' AND visibility IN ('PUBLIC', 'PROTECTED') AND name IS NOT NULL")
+        return x.select(*KEY, F.col("owner").alias("fqn")).distinct()
+
+    @once
+    def scopes(self) -> DataFrame:
+        """``lib, ver, owner, owner_kind, owner_file, type_tps, scope``: ``scope`` are the type parameters in view of a
+        type's members, innermost first, through all types that enclose it."""
+        t = self.types.select(*KEY, F.col("fqn").alias("owner"), F.col("kind").alias("owner_kind"), F.col("file").alias("owner_file"), F.col("tps").alias("type_tps"))
+        # Only what is nested in a generic type sees more than its own.
+        generic = self.types.where("size(tps) > 0").select(*KEY, F.col("fqn").alias("ancestor"), F.col("tps").alias("outer"))
+        none = F.lit(None)
+        rows = self.types.select(
+            *KEY, "fqn", none.cast("string").alias("super_ref"), none.cast(EMPTY).alias("interface_refs"), "enclosing", none.cast("timestamp").alias("loaded_at")
         )
+        around = type_ancestors(rows, self.group_rows, ("enclosing",)).where("ancestor <> descendant").join(generic, [*KEY, "ancestor"])
+        # One element for each level of nesting.
+        outer = around.groupBy(*KEY, F.col("descendant").alias("owner")).agg(F.array_sort(F.collect_list(F.struct("depth", "ancestor", "outer"))).alias("o"))
+        seen = F.flatten(F.transform(F.coalesce("o", F.array().cast(outer.schema["o"].dataType)), lambda x: x["outer"]))
+        return self.stages.put(t.join(outer, [*KEY, "owner"], "left").withColumn("scope", F.concat("type_tps", seen)).drop("o"), "scopes")
 
-    @cached_property
+    @once
     def executables(self) -> DataFrame:
         """Methods, constructors and annotation elements, repeated rows once, with erasure, symbol and completed modifiers."""
         whole = fingerprint(
@@ -368,8 +415,8 @@ class ApiModel:
             self._execs.where("lib IS NOT NULL AND ver IS NOT NULL AND owner IS NOT NULL AND name IS NOT NULL")
             .groupBy(*KEY, "owner", whole.alias("h"))
             .agg(F.min(value).alias("v"))
-            .select(*KEY, "owner", "v.*")
-            .join(self._enclosing_tps(), [*KEY, "owner"])
+            .select(*KEY, "owner", F.col("h").alias("mid"), "v.*")
+            .join(self.scopes, [*KEY, "owner"])
         )
         none = F.array().cast(x.schema["tps"].dataType)
         x = x.withColumns({"tps": F.coalesce("tps", none), "params": F.coalesce("params", F.array().cast(x.schema["params"].dataType))})
@@ -381,9 +428,9 @@ class ApiModel:
         name = F.when(F.col("exec_kind") == "CONSTRUCTOR", "<init>").otherwise(F.col("name"))
         return self.stages.put(
             x.select(
-                *KEY, "owner", "owner_kind", name.alias("name"), "exec_kind",
+                *KEY, "owner", "owner_kind", "mid", name.alias("name"), "exec_kind",
                 F.when(F.col("exec_kind") == "ANNOTATION_METHOD", "PUBLIC").otherwise(F.col("visibility")).alias("visibility"),
-                mods.alias("modifiers"), F.coalesce("return_ref", F.lit("void")).alias("return_ref"), "params", "tps", "type_tps",
+                mods.alias("modifiers"), F.coalesce("return_ref", F.lit("void")).alias("return_ref"), "params", "tps", "type_tps", F.col("scope").alias("type_scope"), F.col("owner_file").alias("file"),
                 F.array_sort(F.array_distinct(F.coalesce("thrown", no_list()))).alias("thrown"), F.coalesce("has_default", F.lit(False)).alias("has_default"), "line",
                 _signature(name, F.col("params"), lambda r: erase(scope, r)).alias("erasure"),
                 F.concat(F.col("owner"), F.lit("."), _signature(name, F.col("params"), lambda r: r)).alias("symbol"),
@@ -408,7 +455,7 @@ class ApiModel:
     def annotation_methods(self) -> DataFrame:
         return self.executables.where("exec_kind = 'ANNOTATION_METHOD'")
 
-    @cached_property
+    @once
     def fields(self) -> DataFrame:
         """Public and protected fields, of records the static ones, repeated rows once."""
         value = F.struct("line", "file", "name", "visibility", "modifiers", "type_ref", "is_const")
@@ -416,55 +463,66 @@ class ApiModel:
             self._fields.where("lib IS NOT NULL AND ver IS NOT NULL AND owner IS NOT NULL AND name IS NOT NULL AND visibility IN ('PUBLIC', 'PROTECTED')")
             .groupBy(*KEY, "owner", field_fingerprint().alias("h"))
             .agg(F.min(value).alias("v"))
-            .select(*KEY, "owner", "v.*")
-            .join(self._enclosing_tps(), [*KEY, "owner"])
+            .select(*KEY, "owner", F.col("h").alias("mid"), "v.*")
+            .join(self.scopes, [*KEY, "owner"])
         )
         mods = F.array_sort(F.array_distinct(F.coalesce("modifiers", no_list())))
         kept = x.withColumn("modifiers", mods).where((F.col("owner_kind") != "RECORD") | has(F.col("modifiers"), "STATIC"))
         return self.stages.put(
             kept.select(
-                *KEY, "owner", "name", "visibility", "modifiers", F.coalesce("type_ref", F.lit("java.lang.Object")).alias("type_ref"),
-                F.coalesce("is_const", F.lit(False)).alias("is_const"), "type_tps", "file", "line", F.concat_ws(".", "owner", "name").alias("symbol"),
+                *KEY, "owner", "mid", "name", "visibility", "modifiers", F.coalesce("type_ref", F.lit("java.lang.Object")).alias("type_ref"),
+                F.coalesce("is_const", F.lit(False)).alias("is_const"), "type_tps", F.col("scope").alias("type_scope"), F.coalesce("file", "owner_file").alias("file"), "line", F.concat_ws(".", "owner", "name").alias("symbol"),
             ),
             "fields",
         )
 
-    @cached_property
+    @once
     def lineage(self) -> DataFrame:
-        """``lib, ver, fqn, owner, depth, args, anc``: a type and its supertypes of the snapshot, with each owner's supertypes."""
+        """``lib, ver, fqn, owner, depth, args``: a type and its supertypes of the snapshot."""
         own = self.types.select(*KEY, "fqn", F.col("fqn").alias("owner"), F.lit(0).alias("depth"), F.lit(None).cast(EMPTY).alias("args"))
         up = self.ancestors.where("in_library").select(*KEY, "fqn", F.col("ancestor").alias("owner"), "depth", "args")
-        # A set of one type's supertypes is as large as its hierarchy is deep, not as the data.
-        anc = self.ancestors.groupBy(*KEY, F.col("fqn").alias("owner")).agg(F.collect_set("ancestor").alias("anc"))
-        both = own.unionByName(up).join(anc, [*KEY, "owner"], "left").withColumn("anc", F.coalesce("anc", no_list()))
-        return self.stages.put(both, "lineage")
+        return own.unionByName(up)
 
     def _inherited(self, members: DataFrame, refs: Column, tps: Column, back: dict[str, Column]) -> DataFrame:
         """Members of each type and of its supertypes, inherited ones in terms of the type arguments that the heir gives.
 
         ``refs`` are a member's references; ``back`` puts them back from ``r.refs`` and their erasures from ``r.erased``.
+        Only members that name a variable of their owner can change, and each distinct question about them is asked once.
         """
-        m = self.lineage.join(members, [*KEY, "owner"])
-        some = F.coalesce(F.size("args"), F.lit(0)) > 0
-        heirs = self.types.select(*KEY, "fqn", F.col("tps").alias("heir_tps"))
-        given = m.where(some).join(heirs, [*KEY, "fqn"])
-        given = given.withColumn("r", instantiate(F.struct(refs.alias("refs"), tps.alias("tps"), "type_tps", "args", "heir_tps")))
-        return m.where(~some).unionByName(given.withColumns(back).drop("r", "heir_tps"))
-
-    def _effective(self, m: DataFrame, key: str, keep) -> DataFrame:
+        given = F.col("speaks") & (F.coalesce(F.size("args"), F.lit(0)) > 0)
+        named = F.regexp_extract_all(F.concat_ws(" ", F.array_join(refs, " "), bounds_text(tps)), F.lit(r"[A-Za-z_$][\w$.]*"), F.lit(0))
+        speaks = (F.size("type_tps") > 0) & F.arrays_overlap(named, F.transform("type_tps", lambda t: t["name"]))
+        cols = [*KEY, "fqn", "owner", "depth", *[c for c in members.columns if c not in (*KEY, "owner")]]
+        m = members.withColumn("speaks", F.coalesce(speaks, F.lit(False)))
+        plain = self.lineage.join(m, [*KEY, "owner"]).where(~given).select(*cols)
+        heirs = self.scopes.select(*KEY, F.col("owner").alias("fqn"), F.col("scope").alias("heir_scope"))
+        question = F.struct(refs.alias("refs"), tps.alias("tps"), "type_tps", F.col("type_scope").alias("scope"), "args", "heir_scope")
+        told = self.lineage.where("size(args) > 0").join(m.where("speaks"), [*KEY, "owner"]).join(heirs, [*KEY, "fqn"])
+        asked = told.withColumn("q", question).select(*cols, "q")
+        answers = asked.select("q").distinct().withColumn("r", instantiate("q"))
+        return plain.unionByName(self.stages.put(asked.join(answers, "q").withColumns(back).select(*cols), "instantiated"))
+
+    def _effective(self, m: DataFrame, key: str, keep, flags: dict[str, Column]) -> DataFrame:
         """For each type and ``key`` the one of its own and inherited members that stays when each hides the next.
 
-        Members are taken nearest first, equally near ones by owner; ``keep(acc, x)`` says whether the member so far
-        hides the next.
+        Members are taken nearest first, equally near ones by owner, those of one owner by ``mid``; ``keep(acc, x)`` says
+        whether the member so far hides the next, by ``anc`` (the supertypes of its owner), ``owner`` and the ``flags``.
+        Few keys have more than one member: these are settled over narrow rows, and what loses is taken out of ``m``.
         """
-        cols = [c for c in m.columns if c not in (*KEY, "fqn", "owner", "depth", "anc", "args", key)]
-        item = F.struct("depth", "owner", "anc", *cols)
-        lists = m.groupBy(*KEY, "fqn", key).agg(F.array_sort(F.collect_list(item)).alias("l"))
-        fold = F.aggregate(F.slice("l", 2, F.greatest(F.lit(0), F.size("l") - 1)), F.get("l", F.lit(0)), lambda acc, x: F.when(keep(acc, x), acc).otherwise(x))
-        one = F.when(F.size("l") == 1, F.get("l", F.lit(0))).otherwise(fold)
-        return lists.select(*KEY, "fqn", key, one.alias("m")).select(*KEY, "fqn", key, "m.*").drop("anc")
-
-    @cached_property
+        item = F.struct("depth", "owner", "mid", *[c.alias(n) for n, c in flags.items()])
+        # A list is as long as a type has supertypes, times the members of one owner that differ under one key.
+        met = m.groupBy(*KEY, "fqn", key).agg(F.collect_list(item).alias("l")).where("size(l) > 1")
+        met = self.stages.put(met.select(*KEY, "fqn", key, F.explode("l").alias("x")).withColumn("owner", F.col("x.owner")), "met")
+        owners = met.select(*KEY, F.col("owner").alias("fqn")).distinct()
+        anc = self.ancestors.join(owners, [*KEY, "fqn"], "left_semi").groupBy(*KEY, F.col("fqn").alias("owner")).agg(F.collect_set("ancestor").alias("anc"))
+        with_anc = F.struct("x.depth", "owner", "x.mid", F.coalesce("anc", no_list()).alias("anc"), *[f"x.{n}" for n in flags])
+        lists = met.join(anc, [*KEY, "owner"], "left").groupBy(*KEY, "fqn", key).agg(F.array_sort(F.collect_list(with_anc)).alias("l"))
+        first = F.aggregate(F.slice("l", 2, F.size("l") - 1), F.get("l", F.lit(0)), lambda acc, x: F.when(keep(acc, x), acc).otherwise(x))
+        lost = lists.withColumn("w", first).select(*KEY, "fqn", key, F.explode(F.filter("l", lambda x: (x["owner"] != F.col("w.owner")) | (x["mid"] != F.col("w.mid")))).alias("x"))
+        lost = self.stages.put(lost.select(*KEY, "fqn", key, F.col("x.owner").alias("owner"), F.col("x.mid").alias("mid")), "lost")
+        return m.join(lost, [*KEY, "fqn", key, "owner", "mid"], "left_anti").drop("mid")
+
+    @once
     def effective_fields(self) -> DataFrame:
         """Fields that can be reached through each type, inherited ones included: exported first, then reduced by name."""
         p = self.props.where("exported").select(*KEY, "fqn", "subtypable")
@@ -473,15 +531,15 @@ class ApiModel:
         m = self._inherited(self.fields, F.array("type_ref"), none, {"type_ref": F.get("r.refs", F.lit(0))})
         # Protected fields count in types that can be subtyped only.
         m = m.join(p, [*KEY, "fqn"]).where("visibility = 'PUBLIC' OR subtypable").drop("subtypable")
-        return self.stages.put(self._effective(m, "name", hides), "effective_fields")
+        return self.stages.put(self._effective(m, "name", hides, {}), "effective_fields")
 
-    @cached_property
+    @once
     def all_methods(self) -> DataFrame:
         """Methods of each type by erasure, inherited ones included, package-private ones too."""
-        cols = ["name", "visibility", "modifiers", "return_ref", "params", "tps", "type_tps", "thrown_types", "has_default", "line", "symbol", "owner_kind"]
+        cols = ["mid", "name", "visibility", "modifiers", "return_ref", "params", "tps", "type_tps", "type_scope", "thrown_types", "has_default", "file", "line", "symbol", "owner_kind"]
 
         def hides(a: Column, x: Column) -> Column:
-            abstract, default = (lambda y: has(y["modifiers"], "ABSTRACT")), (lambda y: has(y["modifiers"], "DEFAULT"))
+            abstract, default = (lambda y: y["abstract"]), (lambda y: y["default"])
             nearer = F.array_contains(a["anc"], x["owner"]) | (a["owner"] == x["owner"])
             return nearer | (~abstract(a) & abstract(x)) | (~abstract(a) & ~default(a) & default(x))
 
@@ -494,9 +552,10 @@ class ApiModel:
             "params": renamed,
         }
         m = self._inherited(self.methods.select(*KEY, "owner", "erasure", *cols), refs, F.col("tps"), back)
-        return self.stages.put(self._effective(m, "erasure", hides), "all_methods")
+        flags = {"abstract": has(F.col("modifiers"), "ABSTRACT"), "default": has(F.col("modifiers"), "DEFAULT")}
+        return self.stages.put(self._effective(m, "erasure", hides, flags), "all_methods")
 
-    @cached_property
+    @once
     def effective_methods(self) -> DataFrame:
         """The exported of ``all_methods``."""
         p = self.props.where("exported").select(*KEY, "fqn", "subtypable")
@@ -513,14 +572,14 @@ class ApiModel:
         interface = F.col("owner_kind").isin("INTERFACE", "ANNOTATION")
         return self.effective_methods.where(F.when(interface, ~has(m, "DEFAULT") & ~has(m, "STATIC")).otherwise(has(m, "ABSTRACT")))
 
-    @cached_property
+    @once
     def blockers(self) -> DataFrame:
         """``lib, ver, fqn, symbol``: package-private abstract methods that keep clients from concrete subclasses of a class."""
         classes = self.types.where("kind IN ('CLASS', 'ENUM', 'RECORD')").select(*KEY, "fqn")
         b = self.all_methods.where("visibility = 'PACKAGE_PRIVATE'").where(has(F.col("modifiers"), "ABSTRACT"))
         return b.join(classes, [*KEY, "fqn"], "left_semi").select(*KEY, "fqn", "symbol")
 
-    @cached_property
+    @once
     def exceptions(self) -> DataFrame:
         """``lib, ver, fqn, checked, unchecked`` of the classes of each snapshot."""
         a = self.ancestors.groupBy(*KEY, "fqn").agg(
@@ -530,27 +589,23 @@ class ApiModel:
         classes = self.types.where("kind IN ('CLASS', 'ENUM', 'RECORD')").select(*KEY, "fqn")
         return a.join(classes, [*KEY, "fqn"], "left_semi").select(*KEY, "fqn", (F.col("throwable") & ~F.col("unchecked")).alias("checked"), "unchecked")
 
-    @cached_property
+    @once
     def seen_types(self) -> DataFrame:
-        """Types with all that the rules ask of them: visibility, extensibility, exceptions, effective abstractness."""
-        block = self.blockers.select(*KEY, "fqn").distinct().withColumn("blocked", F.lit(True))
-        reach = self.constructors.select(*KEY, F.col("owner").alias("fqn")).distinct().withColumn("reach", F.lit(True))
-        x = (
-            self.types.join(self.props, [*KEY, "fqn"])
-            .join(self.exceptions, [*KEY, "fqn"], "left")
-            .join(block, [*KEY, "fqn"], "left")
-            .join(reach, [*KEY, "fqn"], "left")
-        )
+        """Types with all that the rules over types alone ask of them: visibility, extensibility, exceptions, abstractness.
+
+        Whether clients can write a concrete subclass depends on methods too: ``blockers``.
+        """
+        reach = self._with_constructor().withColumn("reach", F.lit(True))
+        x = self.types.join(self.props, [*KEY, "fqn"]).join(self.exceptions, [*KEY, "fqn"], "left").join(reach, [*KEY, "fqn"], "left")
         classlike = F.col("kind").isin("CLASS", "ENUM", "RECORD")
         return self.stages.put(
             x.withColumns(
                 {
                     "checked": F.coalesce("checked", F.lit(False)),
                     "unchecked": F.coalesce("unchecked", F.lit(False)),
-                    "concrete": F.col("subtypable") & F.col("blocked").isNull(),
                     "eff_abstract": classlike & (has(F.col("modifiers"), "ABSTRACT") | F.col("reach").isNull()),
                 }
-            ).drop("blocked", "reach"),
+            ).drop("reach"),
             "seen_types",
         )
 

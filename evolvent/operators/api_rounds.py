@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evolvent.functions.typealg import parse, render, substitute
+from evolvent.functions.typealg import instantiation, parse, render, substitute
 from evolvent.model import PLATFORM
 from evolvent.session import Stages
 
@@ -28,31 +28,41 @@ def step_args(text: pd.Series, names: pd.Series, args: pd.Series) -> pd.Series:
         ns = list(ns) if ns is not None else []
         r = parse(str(t), frozenset(ns))
         if given is not None:
-            r = substitute(r, dict(zip(ns, (parse(str(a)) for a in given))))
+            r = substitute(r, instantiation(ns, [parse(str(a)) for a in given]))
         return [render(a) for a in r[2]] if r[0] == "C" and r[2] else None
 
     return pd.Series([one(*x) for x in zip(text, names, args)])
 
 
 def ancestor_rounds(stages: Stages, types: DataFrame) -> DataFrame:
-    """``lib, ver, fqn, ancestor, depth, in_library, args`` of the given types, breadth first."""
+    """``lib, ver, fqn, ancestor, depth, in_library, args`` of the given types, breadth first.
+
+    ``args`` are those of the nearest path, of equally near ones of the first in the order of declaration: each path
+    brings the places of its steps in their declarations, and the least of them counts.
+    """
     spark = types.sparkSession
     tp_names = F.transform("tps", lambda t: t["name"])
-    own = types.select(*KEY, F.col("fqn").alias("ancestor"), tp_names.alias("names"), F.explode("supers").alias("s"))
-    own = own.select(*KEY, "ancestor", "names", F.col("s.target").alias("up"), F.col("s.text").alias("text"))
+    own = types.select(*KEY, F.col("fqn").alias("ancestor"), tp_names.alias("names"), F.posexplode("supers").alias("ord", "s"))
+    own = own.select(*KEY, "ancestor", "names", "ord", F.col("s.target").alias("up"), F.col("s.text").alias("text"))
     pairs = [(t, s.split("<")[0]) for t, v in PLATFORM.items() for s in v[2]]
     outside = F.broadcast(spark.createDataFrame(pairs, "ancestor string, up string"))  # the platform's fixed table
     declared = types.select(*KEY, F.col("fqn").alias("ancestor"))
     none = F.lit(None).cast("array<string>")
-    front = own.select(*KEY, F.col("ancestor").alias("fqn"), F.col("up").alias("ancestor"), step_args("text", "names", none).alias("args"))
-    front = stages.put(front.groupBy(*KEY, "fqn", "ancestor").agg(F.min("args").alias("args")), "front")
+
+    def nearest(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*KEY, "fqn", "ancestor").agg(F.min(F.struct("path", "args")).alias("m")).select(*KEY, "fqn", "ancestor", "m.*")
+
+    here = F.array(F.col("ord"))
+    front = own.select(*KEY, F.col("ancestor").alias("fqn"), F.col("up").alias("ancestor"), here.alias("path"), step_args("text", "names", none).alias("args"))
+    front = stages.put(nearest(front), "front")
     seen, out, depth = front.select(*KEY, "fqn", "ancestor"), [], 1
     while not front.isEmpty():
-        out.append(front.withColumn("depth", F.lit(depth)))
+        out.append(front.drop("path").withColumn("depth", F.lit(depth)))
         depth += 1
-        inside = front.join(own, [*KEY, "ancestor"]).select(*KEY, "fqn", F.col("up").alias("ancestor"), step_args("text", "names", "args").alias("args"))
-        leaves = front.join(declared, [*KEY, "ancestor"], "left_anti").join(outside, "ancestor").select(*KEY, "fqn", F.col("up").alias("ancestor"), none.alias("args"))
-        nxt = inside.unionByName(leaves).where("fqn <> ancestor").groupBy(*KEY, "fqn", "ancestor").agg(F.min("args").alias("args"))
+        longer = F.concat("path", here).alias("path")
+        inside = front.join(own, [*KEY, "ancestor"]).select(*KEY, "fqn", F.col("up").alias("ancestor"), longer, step_args("text", "names", F.coalesce("args", F.array().cast("array<string>"))).alias("args"))
+        leaves = front.join(declared, [*KEY, "ancestor"], "left_anti").join(outside, "ancestor").select(*KEY, "fqn", F.col("up").alias("ancestor"), "path", none.alias("args"))
+        nxt = nearest(inside.unionByName(leaves).where("fqn <> ancestor"))
         front = stages.put(nxt.join(seen, [*KEY, "fqn", "ancestor"], "left_anti"), "front")
         seen = stages.put(seen.unionByName(front.select(*KEY, "fqn", "ancestor")), "seen")
     every = out[0] if out else front.withColumn("depth", F.lit(1))

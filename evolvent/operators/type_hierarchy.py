@@ -71,9 +71,11 @@ def _closures(c: Chunk, child: np.ndarray, parent: np.ndarray) -> Iterator[tuple
             yield nodes[a], nodes[d], k
 
 
-def _ancestor_task(chunks: Iterator[Chunk]) -> Iterator[pa.RecordBatch]:
+def _ancestor_task(chunks: Iterator[Chunk], links: tuple[str, ...] = REF_FIELDS) -> Iterator[pa.RecordBatch]:
     for c in chunks:
         for i, link in enumerate(REF_FIELDS):
+            if link not in links:
+                continue
             sets, child, parent = _forests(c, i)
             for pairs in (sets.pairs(), _closures(c, child, parent)):
                 for a, d, depth in pairs:
@@ -141,18 +143,18 @@ def _place_task(chunks: Iterator[Chunk]) -> Iterator[pa.RecordBatch]:
                     )
 
 
-def type_ancestors(types: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def type_ancestors(types: DataFrame, group_rows: int = GROUP_ROWS, links: tuple[str, ...] = REF_FIELDS) -> DataFrame:
     """``lib, ver, link, ancestor, descendant, depth``: each type and each type it reaches by one or more links.
 
     ``link`` is super_ref, interface_refs or enclosing, each followed by itself, within a snapshot; ``depth`` is the
     least number of links. A type that reaches itself is its own ancestor. Only the latest state of a type counts;
     blank references and references out of the snapshot are no links; empty tables give no rows. Snapshots of more than
-    ``group_rows`` rows take the distributed rounds.
+    ``group_rows`` rows take the distributed rounds. ``links`` chooses among the links.
     """
     small, large = split_large(types, group_rows)
     schema = "lib string, ver string, link string, ancestor string, descendant string, depth int"
-    out = by_chunk(small, _ancestor_task, schema)
-    return out if large is None else out.unionByName(_distributed_ancestors(large))
+    out = by_chunk(small, lambda it: _ancestor_task(it, links), schema)
+    return out if large is None else out.unionByName(_distributed_ancestors(large).where(F.col("link").isin(*links)))
 
 
 def type_trees(types: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:

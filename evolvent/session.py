@@ -7,12 +7,18 @@ Iterative operators cut their lineage by writing a stage as Parquet in the folde
 from __future__ import annotations
 
 import atexit
+import itertools
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -83,12 +89,11 @@ class Stages:
         ship_package(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex[:12]}"
-        self.n = 0
+        self.n = itertools.count(1)
         atexit.register(_delete, spark, self.root)
 
     def put(self, df: DataFrame, name: str = "s") -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n:04d}-{name}"
+        path = f"{self.root}/{next(self.n):04d}-{name}"
         df.write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._evolvent_path = path
@@ -100,6 +105,29 @@ class Stages:
                 _delete(self.spark, path)
 
 
+class once:
+    """A property that is worked out when first asked for, by one thread while others that ask wait for it."""
+
+    def __init__(self, f: Callable[[Any], Any]):
+        self.f, self.name, self.__doc__ = f, f.__name__, f.__doc__
+
+    def __get__(self, obj: Any, cls: type | None = None) -> Any:
+        if obj is None:
+            return self
+        with obj.__dict__.setdefault(f"_lock_{self.name}", threading.RLock()):
+            if self.name not in obj.__dict__:
+                obj.__dict__[self.name] = self.f(obj)
+        return obj.__dict__[self.name]
+
+
+def together(*wanted: tuple[Any, str]) -> None:
+    """Work out properties (object, name of a :class:`once`) side by side: stages that do not need each other share the cores."""
+    spark = SparkSession.active()
+    with ThreadPoolExecutor(len(wanted)) as pool:
+        for f in [pool.submit(inheritable_thread_target(spark)(getattr), obj, name) for obj, name in wanted]:
+            f.result()
+
+
 def small_enough(df: DataFrame, max_rows: int) -> bool:
     """Whether a frame has at most ``max_rows`` rows: the check behind every broadcast of a side that can grow."""
     return df.limit(max_rows + 1).count() <= max_rows
