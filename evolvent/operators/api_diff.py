@@ -8,7 +8,7 @@ function only for pairs whose written types differ.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -131,6 +131,32 @@ def annotation_method_rules() -> list[Rule]:
     ]
 
 
+@dataclass(frozen=True)
+class RuleSet:
+    """The rules of each scope that a comparison applies; any list can be replaced.
+
+    ``generic`` says whether the rules over generic types and thrown exceptions, which need more than a pair's columns,
+    are applied too.
+    """
+
+    types: list[Rule] = field(default_factory=type_rules)
+    fields: list[Rule] = field(default_factory=field_rules)
+    methods: list[Rule] = field(default_factory=method_rules)
+    constructors: list[Rule] = field(default_factory=constructor_rules)
+    annotation_methods: list[Rule] = field(default_factory=annotation_method_rules)
+    generic: bool = True
+
+
+@dataclass(frozen=True)
+class SymbolMatcher:
+    """By which column the members of a matched type meet across versions; types meet by name."""
+
+    fields: str = "name"
+    methods: str = "erasure"
+    constructors: str = "erasure"
+    annotation_methods: str = "name"
+
+
 def _tps(x) -> A.Tps:
     return [] if x is None else [(t["name"], list(t["bounds"]) if t["bounds"] is not None else []) for t in x]
 
@@ -218,10 +244,15 @@ def _parameter_changes(old: A.Tps, new: A.Tps, norm, before, after, world, told,
 
 
 class ApiDiff:
-    """Matches and breaking changes between each snapshot of ``model`` and the next one of its library."""
+    """Matches and breaking changes between each snapshot of ``model`` and the next one of its library.
 
-    def __init__(self, model: ApiModel):
+    ``rules`` and ``matcher`` say which rules apply and how symbols meet. ``kinds`` are the kinds of findings with their
+    nature and what they break; rules of one's own bring further rows.
+    """
+
+    def __init__(self, model: ApiModel, rules: RuleSet | None = None, matcher: SymbolMatcher = SymbolMatcher(), kinds=BC_KINDS):
         self.model, self.stages, self.spark = model, model.stages, model.spark
+        self.rules, self.matcher, self.kinds = rules or RuleSet(), matcher, kinds
 
     def _sides(self, df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
         """(rows as the older side, as the newer side), each keyed by the newer version."""
@@ -266,23 +297,36 @@ class ApiDiff:
 
     @once
     def field_match(self) -> DataFrame:
-        return self.stages.put(self._member_match(self.model.effective_fields, "name"), "field_match")
+        return self.stages.put(self._member_match(self.model.effective_fields, self.matcher.fields), "field_match")
 
     @once
     def method_match(self) -> DataFrame:
-        both = self._member_match(self.model.effective_methods, "erasure").join(self.concrete, [*PAIR, "fqn"])
+        both = self._member_match(self.model.effective_methods, self.matcher.methods).join(self.concrete, [*PAIR, "fqn"])
         return self.stages.put(both, "method_match")
 
     @once
     def constructor_match(self) -> DataFrame:
-        return self.stages.put(self._member_match(self.model.exported_constructors(), "erasure"), "constructor_match")
+        return self.stages.put(self._member_match(self.model.exported_constructors(), self.matcher.constructors), "constructor_match")
 
     @once
     def annotation_method_match(self) -> DataFrame:
         """Annotation elements meet by name alone."""
         x = self.model.annotation_methods.join(self.model.types.where("kind = 'ANNOTATION'").select(*KEY, F.col("fqn").alias("owner")), [*KEY, "owner"], "left_semi")
-        one = x.groupBy(*KEY, F.col("owner").alias("fqn"), "name").agg(F.min(F.struct("erasure", *[c for c in x.columns if c not in (*KEY, "owner", "name", "erasure")])).alias("m"))
-        return self.stages.put(self._member_match(one.select(*KEY, "fqn", "name", "m.*").withColumn("owner", F.col("fqn")), "name"), "annotation_match")
+        key = self.matcher.annotation_methods
+        rest = sorted((c for c in x.columns if c not in (*KEY, "owner", key)), key=lambda c: c != "erasure")
+        one = x.groupBy(*KEY, F.col("owner").alias("fqn"), key).agg(F.min(F.struct(*rest)).alias("m"))
+        return self.stages.put(self._member_match(one.select(*KEY, "fqn", key, "m.*").withColumn("owner", F.col("fqn")), key), "annotation_match")
+
+    def events(self) -> DataFrame:
+        """``lib, ver, scope, status, fqn, key``: what met, came and went, for any fold over a comparison."""
+        m = self.matcher
+        scopes = [("type", self.type_match, None), ("field", self.field_match, m.fields), ("method", self.method_match, m.methods),
+                  ("constructor", self.constructor_match, m.constructors), ("annotation_method", self.annotation_method_match, m.annotation_methods)]
+        each = [t.select(*PAIR, F.lit(s).alias("scope"), "status", "fqn", (F.col(k) if k else F.lit(None).cast("string")).alias("key")) for s, t, k in scopes]
+        out = each[0]
+        for e in each[1:]:
+            out = out.unionByName(e)
+        return out
 
     def _fire(self, match: DataFrame, rules: list[Rule], member: bool, more: list[Column] = ()) -> DataFrame:
         """Findings of all rules of one scope, in one pass over its match table."""
@@ -390,20 +434,31 @@ class ApiDiff:
         unchecked = F.array_contains(chain, "java.lang.RuntimeException") | F.array_contains(chain, "java.lang.Error")
         return self.stages.put(x.select(*KEY, "exc", (F.array_contains(chain, "java.lang.Throwable") & ~unchecked).alias("checked"), chain.alias("up")), "exceptions")
 
+    def _now_checked(self) -> DataFrame:
+        """``lib, ver, exc``: types that are checked exceptions in the newer snapshot and were none in the older one."""
+        later = self.model.order.where("next_ver IS NOT NULL").select(*KEY, "next_ver")
+        was = self.exceptions.where("NOT checked").join(later, KEY).select("lib", F.col("next_ver").alias("ver"), "exc")
+        return self.exceptions.where("checked").select(*KEY, "exc").join(was, [*KEY, "exc"], "left_semi")
+
     def _thrown_findings(self) -> DataFrame:
         """Checked exceptions that an executable no longer throws, or throws now."""
         exc = self.exceptions
         sides = []
         for match, key, role in ((self.method_match, "erasure", "m"), (self.constructor_match, "erasure", "c")):
-            final = F.lit(True) if role == "c" else old_final()
+            final = F.coalesce(F.lit(True) if role == "c" else old_final(), F.lit(False))
             file, line = member_place()
             sides.append(
-                match.where("status = 'MATCHED'").where(o("thrown_types") != n("thrown_types")).select(
+                match.where("status = 'MATCHED'").where((F.size(o("thrown_types")) > 0) | (F.size(n("thrown_types")) > 0)).select(
                     *PAIR, "fqn", F.concat(F.lit(role), F.col(key)).alias("key"), final.alias("final"), o("thrown_types").alias("t1"), n("thrown_types").alias("t2"),
                     o("symbol").alias("o_symbol"), n("symbol").alias("n_symbol"), file.alias("file"), line.alias("line"),
                 )
             )
-        rows = self.stages.put(sides[0].unionByName(sides[1]), "thrown")
+        every = sides[0].unionByName(sides[1])
+        # Equal lists tell something only where one of them became a checked exception.
+        same, turned = F.col("t1") == F.col("t2"), self._now_checked()
+        among = every.where(same).select(*PAIR, "fqn", "key", F.explode("t1").alias("exc")).join(turned, [*PAIR, "exc"], "left_semi")
+        rows = every.where(~same).unionByName(every.join(among.select(*PAIR, "fqn", "key").distinct(), [*PAIR, "fqn", "key"], "left_semi").where(same))
+        rows = self.stages.put(rows, "thrown")
         prev = self.model.order.where("next_ver IS NOT NULL").select("lib", F.col("next_ver").alias("ver"), F.col("ver").alias("old_ver"))
         id_ = [*PAIR, "fqn", "key"]
         one = rows.select(*id_, F.explode("t1").alias("exc")).join(prev, PAIR)
@@ -464,23 +519,29 @@ class ApiDiff:
         own, seen = ("ancestors", "order", "scopes", "props", "executables", "fields"), ("seen_types", "all_methods", "effective_fields")
         matches = ("type_match", "field_match", "method_match", "constructor_match", "annotation_method_match", "exceptions", "gone")
         together(*((self.model, x) for x in (*own, *seen)), *((self, x) for x in matches))
-        parts = [
-            self._fire(self.type_match, type_rules(), member=False),
-            self._fire(self.field_match, field_rules(), member=True),
-            self._fire(self.method_match, method_rules(), member=True),
-            self._fire(self.constructor_match, constructor_rules(), member=True),
-            self._fire(self.annotation_method_match, annotation_method_rules(), member=True),
-            self._type_details(),
-            self._added_methods(),
-            self._thrown_findings(),
-            self._generic_findings(),
-        ]
+        parts = [self.type_findings(), self.field_findings(), self.method_findings(), self.constructor_findings(), self.annotation_method_findings()]
+        parts += [self._type_details(), self._added_methods(), *([self._thrown_findings(), self._generic_findings()] if self.rules.generic else [])]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
         kinds = self.spark.createDataFrame(
-            [(k, i, nature, b, s) for i, (k, nature, b, s) in enumerate(BC_KINDS)],
+            [(k, i, nature, b, s) for i, (k, nature, b, s) in enumerate(self.kinds)],
             "kind string, kind_ordinal int, nature string, binary_breaking boolean, source_breaking boolean",
         )
         told = out.where(~F.startswith(F.col("impacted_symbol"), F.lit("java.lang.Object.")))
         return self.stages.put(told.dropDuplicates().join(F.broadcast(kinds), "kind"), "breaking_changes")
+
+    def type_findings(self) -> DataFrame:
+        return self._fire(self.type_match, self.rules.types, member=False)
+
+    def field_findings(self) -> DataFrame:
+        return self._fire(self.field_match, self.rules.fields, member=True)
+
+    def method_findings(self) -> DataFrame:
+        return self._fire(self.method_match, self.rules.methods, member=True)
+
+    def constructor_findings(self) -> DataFrame:
+        return self._fire(self.constructor_match, self.rules.constructors, member=True)
+
+    def annotation_method_findings(self) -> DataFrame:
+        return self._fire(self.annotation_method_match, self.rules.annotation_methods, member=True)

@@ -17,6 +17,10 @@ def rows(values, cols: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in values) + f") AS v({cols})"
 
 
+def _fired(table: str, cols: str, kinds: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT {cols}, '{k}' AS kind FROM {table} WHERE {c}" for k, c in kinds.items())
+
+
 _MORDER = _SNAPS.replace("AS seq FROM s)", "AS seq, lead(ver) OVER (PARTITION BY lib ORDER BY t, ver) AS next_ver FROM s)")
 _LAST = """
 last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lib, ver, fqn ORDER BY loaded_at DESC NULLS LAST) AS rn
@@ -26,7 +30,9 @@ t AS (SELECT lib, ver, fqn, kind, visibility, line, {N("enclosing")} AS enclosin
         list_sort(list_distinct(coalesce(modifiers, []) || CASE WHEN kind IN ('INTERFACE', 'ANNOTATION') THEN ['ABSTRACT'] WHEN kind = 'RECORD' THEN ['FINAL'] ELSE [] END
         || CASE WHEN len(list_filter(coalesce(permitted, []), lambda p: trim(p) <> '')) > 0 THEN ['SEALED'] ELSE [] END)) AS mods,
         CASE WHEN kind = 'ENUM' THEN 'java.lang.Enum' WHEN kind = 'RECORD' THEN 'java.lang.Record' WHEN kind = 'CLASS' THEN coalesce({N("super_ref")}, 'java.lang.Object')
-             ELSE 'java.lang.Object' END AS super_fqn, interface_refs, targets FROM last)"""
+             ELSE 'java.lang.Object' END AS super_fqn, interface_refs, targets,
+        CASE WHEN kind = 'ENUM' THEN 'java.lang.Enum' WHEN kind = 'RECORD' THEN 'java.lang.Record' WHEN kind = 'CLASS' AND {N("super_ref")} IS NOT NULL THEN super_ref ELSE 'java.lang.Object' END AS super_text FROM last),
+n_types AS (SELECT lib, ver, count(*) AS n FROM t GROUP BY ALL)"""
 _EDGES = f"""{_T},
 edges AS (SELECT DISTINCT lib, ver, fqn, s AS super_fqn FROM (
             SELECT lib, ver, fqn, super_fqn AS s FROM t
@@ -37,10 +43,10 @@ _ANC = f"""{_EDGES},
 platform AS (SELECT a, b FROM {_PLATFORM}),
 walk AS (SELECT lib, ver, fqn, super_fqn AS ancestor, 1 AS depth FROM edges
          UNION
-         (SELECT w.lib, w.ver, w.fqn, e.super_fqn, w.depth + 1 FROM walk w JOIN edges e ON e.lib = w.lib AND e.ver = w.ver AND e.fqn = w.ancestor WHERE w.depth < 60
+         (SELECT w.lib, w.ver, w.fqn, e.super_fqn, w.depth + 1 FROM walk w JOIN edges e ON e.lib = w.lib AND e.ver = w.ver AND e.fqn = w.ancestor JOIN n_types z ON z.lib = w.lib AND z.ver = w.ver WHERE w.depth < z.n
           UNION
           SELECT w.lib, w.ver, w.fqn, p.b, w.depth + 1 FROM walk w JOIN platform p ON p.a = w.ancestor
-          WHERE w.depth < 60 AND NOT EXISTS (SELECT 1 FROM t x WHERE x.lib = w.lib AND x.ver = w.ver AND x.fqn = w.ancestor))),
+          WHERE NOT EXISTS (SELECT 1 FROM t x WHERE x.lib = w.lib AND x.ver = w.ver AND x.fqn = w.ancestor))),
 anc AS (SELECT lib, ver, fqn, ancestor, CAST(min(depth) AS INTEGER) AS depth FROM walk WHERE ancestor <> fqn GROUP BY ALL)"""
 _CTOR = """
 ctor AS (SELECT DISTINCT e.lib, e.ver, e.owner FROM exec_decl e WHERE e.exec_kind = 'CONSTRUCTOR' AND e.visibility IN ('PUBLIC', 'PROTECTED') AND e.name IS NOT NULL)"""
@@ -81,29 +87,100 @@ tm AS (SELECT lib, ver, fqn, a, b, CASE WHEN b IS NULL THEN 'REMOVED' WHEN a IS
        FROM (SELECT lib, ver, fqn, oldt AS a FROM oldt) FULL OUTER JOIN (SELECT lib, ver, fqn, newt AS b FROM newt) USING (lib, ver, fqn))"""
 
 
-def _erased(base: str, scope: str, steps: int = 3) -> str:
-    """A name with a type variable of the scope replaced by its first bound, a bounded number of times."""
-    if steps == 0:
-        return base
-    v = f"s{steps}"
-    hit = f"list_filter({scope}, lambda {v}: {v}.name = {base})[1]"
-    bound = f"coalesce({N(f'({hit}).bounds[1]')}, 'java.lang.Object')"
-    return f"CASE WHEN {hit} IS NULL THEN {base} ELSE {_erased(bound, scope, steps - 1) if steps > 1 else bound} END"
+def _base(ref: str) -> str:
+    return rf"regexp_replace(coalesce({N(ref)}, ''), '(\[\])+$', '')"
+
+
+def _dims(ref: str) -> str:
+    return rf"regexp_extract({ref}, '((\[\])*)\s*$', 1)"
 
 
-def _erase(ref: str) -> str:
-    base = rf"regexp_replace(coalesce({N(ref)}, ''), '(\[\])+$', '')"
-    return rf"({_erased(base, 'scope')}) || regexp_extract({ref}, '((\[\])*)\s*$', 1)"
+def _resolved(name: str, *parts: str) -> str:
+    """Tables ``name``v (walk) and ``name`` (scope, name, bound): type variables that ``parts`` (scope, base) name, through all bounds."""
+    asked = " UNION ALL ".join(f"SELECT scope, base FROM {p}" for p in parts)
+    names = "list_transform(scope, lambda z: z.name)"
+    return f"""
+{name}v AS (SELECT scope, base AS name, base AS cur, 0 AS n FROM (SELECT DISTINCT scope, base FROM ({asked}) WHERE list_contains({names}, base))
+        UNION ALL SELECT scope, name, coalesce({N('list_filter(scope, lambda z: z.name = cur)[1].bounds[1]')}, 'java.lang.Object'), n + 1 FROM {name}v
+        WHERE list_contains({names}, cur) AND n <= len(scope)),
+{name} AS (SELECT scope, name, coalesce(max(cur) FILTER (WHERE NOT list_contains({names}, cur)), 'java.lang.Object') AS bound FROM {name}v GROUP BY scope, name)"""
 
 
+# types in view of each other by nesting: no walk is longer than a snapshot has types
 _EXEC = rf"""
-lib_types AS (SELECT a.lib, a.ver, a.fqn, a.kind, a.tps || coalesce(b.tps, []) AS type_scope FROM t a LEFT JOIN t b ON b.lib = a.lib AND b.ver = a.ver AND b.fqn = a.enclosing),
-ex0 AS (SELECT DISTINCT e.lib, e.ver, e.owner, e.exec_kind, CASE WHEN e.exec_kind = 'CONSTRUCTOR' THEN '<init>' ELSE e.name END AS name,
-          CASE WHEN e.exec_kind = 'ANNOTATION_METHOD' THEN 'PUBLIC' ELSE e.visibility END AS visibility,
+nested AS (SELECT a.lib, a.ver, a.fqn, a.enclosing AS up FROM t a SEMI JOIN t b ON b.lib = a.lib AND b.ver = a.ver AND b.fqn = a.enclosing),
+encl AS (SELECT lib, ver, fqn, up, 1 AS d FROM nested
+         UNION SELECT e.lib, e.ver, e.fqn, i.up, e.d + 1 FROM encl e JOIN nested i ON i.lib = e.lib AND i.ver = e.ver AND i.fqn = e.up JOIN n_types z ON z.lib = e.lib AND z.ver = e.ver WHERE e.d < z.n),
+around AS (SELECT e.lib, e.ver, e.fqn, flatten(list(p.tps ORDER BY e.d, p.fqn)) AS outer_tps FROM (SELECT lib, ver, fqn, up, min(d) AS d FROM encl WHERE up <> fqn GROUP BY ALL) e
+           JOIN t p ON p.lib = e.lib AND p.ver = e.ver AND p.fqn = e.up GROUP BY ALL),
+lib_types AS (SELECT t.lib, t.ver, t.fqn, t.kind, t.tps, t.tps || coalesce(a.outer_tps, []) AS type_scope FROM t LEFT JOIN around a ON a.lib = t.lib AND a.ver = t.ver AND a.fqn = t.fqn),
+ex0 AS (SELECT row_number() OVER () AS eid, * FROM (SELECT DISTINCT e.lib, e.ver, e.owner, x.kind AS owner_kind, e.exec_kind, CASE WHEN e.exec_kind = 'CONSTRUCTOR' THEN '<init>' ELSE e.name END AS name,
+          CASE WHEN e.exec_kind = 'ANNOTATION_METHOD' THEN 'PUBLIC' ELSE e.visibility END AS visibility, coalesce(e.return_ref, 'void') AS return_ref, list_sort(list_distinct(coalesce(e.modifiers, []))) AS mods,
           list_transform(coalesce(e.params, []), lambda p: {{'ref': coalesce(p.ref, ''), 'varargs': coalesce(p.varargs, false)}}) AS params,
-          coalesce(e.tps, []) || x.type_scope AS scope, coalesce(e.thrown, []) AS thrown, coalesce(e.has_default, false) AS has_default
-        FROM exec_decl e JOIN lib_types x ON x.lib = e.lib AND x.ver = e.ver AND x.fqn = e.owner WHERE e.name IS NOT NULL),
-ex AS (SELECT *, name || '(' || coalesce(array_to_string(list_transform(params, lambda p: {_erase("p.ref")} || CASE WHEN p.varargs THEN '[]' ELSE '' END), ','), '') || ')' AS erasure FROM ex0)"""
+          coalesce(e.tps, []) AS tps, x.tps AS type_tps, x.type_scope, coalesce(e.tps, []) || x.type_scope AS scope, list_sort(list_distinct(coalesce(e.thrown, []))) AS thrown, coalesce(e.has_default, false) AS has_default
+        FROM exec_decl e JOIN lib_types x ON x.lib = e.lib AND x.ver = e.ver AND x.fqn = e.owner WHERE e.name IS NOT NULL)),
+part AS (SELECT eid, scope, i, {_base("p.ref")} AS base, {_dims("p.ref")} || CASE WHEN p.varargs THEN '[]' ELSE '' END AS dims FROM (SELECT eid, scope, unnest(params) AS p, generate_subscripts(params, 1) AS i FROM ex0)),
+hpart AS (SELECT eid, scope, {_base("h")} AS base, {_dims("h")} AS dims FROM (SELECT eid, scope, unnest(thrown) AS h FROM ex0)),{_resolved("ve", "part", "hpart")},
+ex AS (SELECT ex0.*, owner || '.' || ex0.name || '(' || coalesce(array_to_string(list_transform(params, lambda p: p.ref || CASE WHEN p.varargs THEN '[]' ELSE '' END), ','), '') || ')' AS symbol, ex0.name || '(' || coalesce(sig, '') || ')' AS erasure FROM ex0 LEFT JOIN (
+         SELECT eid, string_agg(coalesce(bound, base) || dims, ',' ORDER BY i) AS sig FROM part LEFT JOIN ve ON ve.scope = part.scope AND ve.name = base GROUP BY eid) USING (eid)),
+exh AS (SELECT eid, coalesce(bound, base) || dims AS thrown FROM hpart LEFT JOIN ve ON ve.scope = hpart.scope AND ve.name = base WHERE base <> '')"""
+
+
+def _subst(text: str, names: str, args: str) -> str:
+    """``text`` with each name of ``names`` replaced by the argument in its place, Object where there is none."""
+    at = f"list_position({names}, k)"
+    return (
+        rf"array_to_string(list_transform(regexp_extract_all({text}, '[A-Za-z_$][A-Za-z0-9_.$]*|[^A-Za-z_$]+'), "
+        f"lambda k: CASE WHEN list_contains({names}, k) THEN coalesce({args}[{at}], 'java.lang.Object') ELSE k END), '')"
+    )
+
+
+def _canon(x: str) -> str:
+    tight = rf"regexp_replace(replace(replace({x}, '/', '.'), '...', '[]'), '\s*([<>,&\[\]])\s*', '\1', 'g')"
+    return rf"regexp_replace(regexp_replace({tight}, '\? extends java\.lang\.Object([,>]|$)', '?\1', 'g'), '^\s+|\s+$', '', 'g')"
+
+
+# commas outside of inner brackets made chr(1)
+_TOP = (
+    "list_reduce([''] || string_split(regexp_extract(text, '<(.*)>', 1), ''), lambda acc, c: acc || CASE WHEN c = ',' AND len(acc) - len(replace(acc, '<', '')) = len(acc) - len(replace(acc, '>', '')) THEN chr(1) ELSE c END)"
+)
+_NAMES = "list_transform({0}, lambda z: z.name)"
+_GIVEN = rf"""
+sup AS (SELECT lib, ver, fqn, 0 AS ord, super_text AS text, super_fqn AS target FROM t
+        UNION ALL SELECT lib, ver, fqn, i, text, {N("text")} FROM (SELECT lib, ver, fqn, unnest(interface_refs) AS text, generate_subscripts(interface_refs, 1) AS i FROM t)),
+gup AS (SELECT s.lib, s.ver, s.fqn, s.ord, s.target, CASE WHEN contains(text, '<') THEN list_transform(string_split({_TOP}, chr(1)), lambda z: {_canon("z")}) ELSE []::VARCHAR[] END AS args
+        FROM sup s SEMI JOIN t ON t.lib = s.lib AND t.ver = s.ver AND t.fqn = s.target WHERE s.target <> s.fqn),
+gw AS (SELECT lib, ver, fqn, target AS anc, [ord] AS path, args, [fqn, target] AS way FROM gup
+       UNION ALL SELECT w.lib, w.ver, w.fqn, g.target, w.path || [g.ord], list_transform(g.args, lambda z: {_subst("z", _NAMES.format("y.tps"), "w.args")}), w.way || [g.target]
+       FROM gw w JOIN gup g ON g.lib = w.lib AND g.ver = w.ver AND g.fqn = w.anc JOIN t y ON y.lib = w.lib AND y.ver = w.ver AND y.fqn = w.anc WHERE NOT list_contains(w.way, g.target)),
+given AS (SELECT lib, ver, fqn, anc, args FROM (SELECT *, row_number() OVER (PARTITION BY lib, ver, fqn, anc ORDER BY len(path), path) AS rn FROM gw) WHERE rn = 1),
+line AS (SELECT lib, ver, fqn, fqn AS owner, 0 AS depth, []::VARCHAR[] AS args FROM t
+         UNION ALL SELECT a.lib, a.ver, a.fqn, a.ancestor, a.depth, g.args FROM anc a JOIN given g ON g.lib = a.lib AND g.ver = a.ver AND g.fqn = a.fqn AND g.anc = a.ancestor)"""
+_METHODS = rf"""{_GIVEN},
+mth AS (SELECT *, list_contains(mods, 'ABSTRACT') AS abstract, list_contains(mods, 'DEFAULT') OR (owner_kind IN ('INTERFACE', 'ANNOTATION') AND NOT list_contains(mods, 'ABSTRACT') AND NOT list_contains(mods, 'STATIC')) AS dflt
+        FROM ex WHERE exec_kind = 'METHOD' AND visibility <> 'PRIVATE' AND NOT (owner_kind = 'RECORD' AND erasure IN ('equals(java.lang.Object)', 'hashCode()', 'toString()'))
+        AND NOT (owner_kind = 'ENUM' AND erasure IN ('valueOf(java.lang.String)', 'values()'))),
+mc AS (SELECT row_number() OVER () AS cid, l.fqn, l.depth, l.args, h.type_scope AS heir_scope, m.*,
+         len(l.args) > 0 AND list_has_any(regexp_extract_all(m.return_ref || ' ' || array_to_string(list_transform(m.params, lambda p: p.ref), ' ') || ' ' ||
+           coalesce(array_to_string(flatten(list_transform(m.tps, lambda z: coalesce(z.bounds, []))), ' '), ''), '[A-Za-z_$][A-Za-z0-9_.$]*'), {_NAMES.format("m.type_tps")}) AS speaks
+       FROM line l JOIN mth m ON m.lib = l.lib AND m.ver = l.ver AND m.owner = l.owner JOIN lib_types h ON h.lib = l.lib AND h.ver = l.ver AND h.fqn = l.fqn),
+mg AS (SELECT *, list_filter({_NAMES.format("type_tps")}, lambda n: NOT list_contains({_NAMES.format("tps")}, n)) AS open_names,
+         list_transform(list_filter(list_zip({_NAMES.format("type_tps")}, args), lambda z: z[1] IS NOT NULL AND z[2] IS NOT NULL AND NOT list_contains({_NAMES.format("tps")}, z[1])), lambda z: z[1]) AS names,
+         list_transform(list_filter(list_zip({_NAMES.format("type_tps")}, args), lambda z: z[1] IS NOT NULL AND z[2] IS NOT NULL AND NOT list_contains({_NAMES.format("tps")}, z[1])), lambda z: z[2]) AS vals
+       FROM mc WHERE speaks),
+mgp AS (SELECT cid, i, list_transform(tps, lambda z: {{'name': z.name, 'bounds': list_transform(z.bounds, lambda b: {_subst("b", "names", "vals")})}}) || heir_scope || type_scope AS scope,
+          {_canon(_subst("p.ref", "names", "vals"))} AS ref, p.varargs AS varargs FROM (SELECT *, unnest(params) AS p, generate_subscripts(params, 1) AS i FROM mg)),
+mgb AS (SELECT cid, i, scope, CASE WHEN starts_with(ref, '?') THEN ref ELSE {_base("ref")} END AS base, CASE WHEN starts_with(ref, '?') THEN '' ELSE {_dims("ref")} END || CASE WHEN varargs THEN '[]' ELSE '' END AS dims FROM mgp),{_resolved("vg", "mgb")},
+mgs AS (SELECT cid, string_agg(coalesce(bound, base) || dims, ',' ORDER BY i) AS sig FROM mgb LEFT JOIN vg ON vg.scope = mgb.scope AND vg.name = base GROUP BY cid),
+cand AS (SELECT lib, ver, fqn, depth, owner, eid, name, visibility, abstract, dflt, mods, owner_kind, symbol, erasure, return_ref FROM mc WHERE NOT speaks
+         UNION ALL SELECT lib, ver, fqn, depth, owner, eid, name, visibility, abstract, dflt, mods, owner_kind, symbol, name || '(' || coalesce(sig, '') || ')', {_canon(_subst("return_ref", "names", "vals"))} FROM mg LEFT JOIN mgs USING (cid)),
+ups AS (SELECT lib, ver, fqn AS owner, list(ancestor) AS ups FROM anc GROUP BY ALL),
+mlist AS (SELECT c.lib, c.ver, c.fqn, c.erasure, list({{'eid': c.eid, 'owner': c.owner, 'ups': coalesce(u.ups, []), 'visibility': c.visibility, 'abstract': c.abstract, 'dflt': c.dflt, 'mods': c.mods,
+            'owner_kind': c.owner_kind, 'symbol': c.symbol, 'return_ref': c.return_ref}} ORDER BY c.depth, c.owner, c.eid) AS l FROM cand c LEFT JOIN ups u ON u.lib = c.lib AND u.ver = c.ver AND u.owner = c.owner GROUP BY ALL),
+allm AS (SELECT lib, ver, fqn, erasure, list_reduce(l, lambda a, x: CASE WHEN list_contains(a.ups, x.owner) OR a.owner = x.owner OR (NOT a.abstract AND x.abstract) OR (NOT a.abstract AND NOT a.dflt AND x.dflt) THEN a ELSE x END) AS m FROM mlist),
+effm AS (SELECT a.lib, a.ver, a.fqn, a.erasure, a.m FROM allm a JOIN props p ON p.lib = a.lib AND p.ver = a.ver AND p.fqn = a.fqn WHERE p.exported AND (m.visibility = 'PUBLIC' OR (m.visibility = 'PROTECTED' AND p.subtypable))),
+blocker AS (SELECT a.lib, a.ver, a.fqn, a.erasure, a.m FROM allm a SEMI JOIN (SELECT * FROM t WHERE kind IN ('CLASS', 'ENUM', 'RECORD')) k ON k.lib = a.lib AND k.ver = a.ver AND k.fqn = a.fqn
+            WHERE m.visibility = 'PACKAGE_PRIVATE' AND m.abstract)"""
 _FIELDS = f"""
 fld AS (SELECT DISTINCT f.lib, f.ver, f.owner, f.name, f.visibility, list_sort(list_distinct(coalesce(f.modifiers, []))) AS mods, f.type_ref, f.is_const
         FROM field_decl f JOIN t ON t.lib = f.lib AND t.ver = f.ver AND t.fqn = f.owner
@@ -128,6 +205,62 @@ xm AS (SELECT lib, ver, fqn, k, CASE WHEN b IS NULL THEN 'REMOVED' WHEN a IS NUL
          (SELECT DISTINCT e.lib, o.next_ver AS ver, e.fqn, e.k, true AS a FROM shown e JOIN o ON o.lib = e.lib AND o.ver = e.ver WHERE o.next_ver IS NOT NULL)
          FULL OUTER JOIN (SELECT DISTINCT e.lib, e.ver, e.fqn, e.k, true AS b FROM shown e JOIN o ON o.lib = e.lib AND o.ver = e.ver WHERE o.seq > 1) USING (lib, ver, fqn, k))
        SEMI JOIN (SELECT lib, ver, fqn FROM tm WHERE status = 'MATCHED') USING (lib, ver, fqn))"""
+_MMATCH = f"""{_MATCH},{_EXEC},{_METHODS},
+blocked AS (SELECT DISTINCT lib, ver, fqn FROM blocker),
+pr AS (SELECT m.lib, m.ver, m.fqn, m.a AS ot, m.b AS nt, m.a.subtypable AND k.fqn IS NULL AS o_concrete, m.b.subtypable AND j.fqn IS NULL AS n_concrete FROM tm m
+       JOIN o ON o.lib = m.lib AND o.next_ver = m.ver LEFT JOIN blocked k ON k.lib = m.lib AND k.ver = o.ver AND k.fqn = m.fqn LEFT JOIN blocked j ON j.lib = m.lib AND j.ver = m.ver AND j.fqn = m.fqn
+       WHERE m.status = 'MATCHED'),
+oldm AS (SELECT e.lib, o.next_ver AS ver, e.fqn, e.erasure, e.m AS a FROM effm e JOIN o ON o.lib = e.lib AND o.ver = e.ver WHERE o.next_ver IS NOT NULL),
+newm AS (SELECT e.lib, e.ver, e.fqn, e.erasure, e.m AS b FROM effm e JOIN o ON o.lib = e.lib AND o.ver = e.ver WHERE o.seq > 1),
+mm AS (SELECT *, CASE WHEN b IS NULL THEN 'REMOVED' WHEN a IS NULL THEN 'ADDED' ELSE 'MATCHED' END AS status, list_contains(a.mods, 'FINAL') OR NOT ot.subtypable AS o_final,
+         list_contains(nt.mods, 'SEALED') AND NOT list_contains(ot.mods, 'SEALED') AS now_sealed
+       FROM (SELECT * FROM oldm FULL OUTER JOIN newm USING (lib, ver, fqn, erasure)) JOIN pr USING (lib, ver, fqn)),
+oldc AS (SELECT DISTINCT e.lib, o.next_ver AS ver, e.owner AS fqn, e.erasure, e AS a FROM ex e JOIN o ON o.lib = e.lib AND o.ver = e.ver JOIN props p ON p.lib = e.lib AND p.ver = e.ver AND p.fqn = e.owner
+         WHERE o.next_ver IS NOT NULL AND e.exec_kind = 'CONSTRUCTOR' AND p.exported AND (e.visibility = 'PUBLIC' OR (e.visibility = 'PROTECTED' AND p.direct_subtypable))),
+newc AS (SELECT DISTINCT e.lib, e.ver, e.owner AS fqn, e.erasure, e AS b FROM ex e JOIN o ON o.lib = e.lib AND o.ver = e.ver JOIN props p ON p.lib = e.lib AND p.ver = e.ver AND p.fqn = e.owner
+         WHERE o.seq > 1 AND e.exec_kind = 'CONSTRUCTOR' AND p.exported AND (e.visibility = 'PUBLIC' OR (e.visibility = 'PROTECTED' AND p.direct_subtypable))),
+cm AS (SELECT *, CASE WHEN b IS NULL THEN 'REMOVED' WHEN a IS NULL THEN 'ADDED' ELSE 'MATCHED' END AS status FROM (SELECT * FROM oldc FULL OUTER JOIN newc USING (lib, ver, fqn, erasure)) JOIN pr USING (lib, ver, fqn)),
+el AS (SELECT e.lib, e.ver, e.owner AS fqn, e.name, min({{'erasure': e.erasure, 'symbol': e.symbol, 'has_default': e.has_default}}) AS e FROM ex e SEMI JOIN (SELECT * FROM t WHERE kind = 'ANNOTATION') a
+       ON a.lib = e.lib AND a.ver = e.ver AND a.fqn = e.owner WHERE e.exec_kind = 'ANNOTATION_METHOD' GROUP BY ALL),
+em AS (SELECT *, CASE WHEN b IS NULL THEN 'REMOVED' WHEN a IS NULL THEN 'ADDED' ELSE 'MATCHED' END AS status FROM (
+         SELECT * FROM (SELECT e.lib, o.next_ver AS ver, e.fqn, e.name, e.e AS a FROM el e JOIN o ON o.lib = e.lib AND o.ver = e.ver WHERE o.next_ver IS NOT NULL)
+         FULL OUTER JOIN (SELECT e.lib, e.ver, e.fqn, e.name, e.e AS b FROM el e JOIN o ON o.lib = e.lib AND o.ver = e.ver WHERE o.seq > 1) USING (lib, ver, fqn, name)) SEMI JOIN pr USING (lib, ver, fqn))"""
+_LOST, _GAINED = "list_contains(a.mods, '{0}') AND NOT list_contains(b.mods, '{0}')", "list_contains(b.mods, '{0}') AND NOT list_contains(a.mods, '{0}')"
+_METHOD_KINDS = {
+    "EXECUTABLE_REMOVED": "status = 'REMOVED'",
+    "EXECUTABLE_NOW_PROTECTED": "status = 'MATCHED' AND a.visibility = 'PUBLIC' AND b.visibility = 'PROTECTED'",
+    "METHOD_NOW_ABSTRACT": f"status = 'MATCHED' AND NOT now_sealed AND {_GAINED.format('ABSTRACT')} AND o_concrete",
+    "METHOD_NOW_FINAL": "status = 'MATCHED' AND NOT now_sealed AND NOT o_final AND (list_contains(b.mods, 'FINAL') OR NOT nt.subtypable)",
+    "METHOD_NOW_STATIC": f"status = 'MATCHED' AND {_GAINED.format('STATIC')}",
+    "METHOD_OVERRIDABLE_NOW_STATIC": f"status = 'MATCHED' AND {_GAINED.format('STATIC')} AND (ot.kind IN ('INTERFACE', 'ANNOTATION') OR NOT o_final)",
+    "METHOD_NO_LONGER_STATIC": f"status = 'MATCHED' AND {_LOST.format('STATIC')}",
+}
+_CTOR_KINDS = {
+    "EXECUTABLE_REMOVED": "status = 'REMOVED'",
+    "EXECUTABLE_NOW_PROTECTED": "status = 'MATCHED' AND a.visibility = 'PUBLIC' AND b.visibility = 'PROTECTED' AND NOT list_contains(ot.mods, 'ABSTRACT')",
+}
+_ELEMENT_KINDS = {"EXECUTABLE_REMOVED": "status = 'REMOVED'", "ANNOTATION_METHOD_NO_LONGER_DEFAULT": "status = 'MATCHED' AND a.has_default AND NOT b.has_default"}
+_NEW_METHOD = "status = 'ADDED' AND b.abstract AND (list_contains(ot.mods, 'SEALED') OR NOT list_contains(nt.mods, 'SEALED')) AND o_concrete"
+_OBLIGATIONS = f"""SELECT DISTINCT lib, ver, fqn, b.symbol AS symbol, 'TYPE_NEW_ABSTRACT_METHOD' AS kind FROM mm WHERE {_NEW_METHOD}
+UNION ALL SELECT DISTINCT lib, ver, fqn, b.symbol, 'ANNOTATION_NEW_METHOD_WITHOUT_DEFAULT' FROM em WHERE status = 'ADDED' AND NOT b.has_default"""
+_SHUT = """SELECT DISTINCT p.lib, p.ver, p.fqn, b.m.symbol AS blocker FROM pr p JOIN blocker b ON b.lib = p.lib AND b.ver = p.ver AND b.fqn = p.fqn WHERE p.ot.kind = 'CLASS' AND p.o_concrete AND NOT p.n_concrete"""
+# every type that is thrown, with its supertypes and itself, in the snapshot that throws it and in the next one
+_THROWN = f"""
+px AS (SELECT a, b FROM platform UNION SELECT px.a, p.b FROM px JOIN platform p ON p.a = px.b),
+thr AS (SELECT ex.eid, exh.thrown AS exc FROM ex JOIN exh USING (eid)),
+named AS (SELECT DISTINCT x.lib, x.ver, exc FROM thr JOIN ex x USING (eid) UNION SELECT DISTINCT x.lib, o.next_ver, exc FROM thr JOIN ex x USING (eid) JOIN o ON o.lib = x.lib AND o.ver = x.ver WHERE o.next_ver IS NOT NULL),
+exu AS (SELECT lib, ver, exc, exc AS up FROM named
+        UNION SELECT n.lib, n.ver, n.exc, a.ancestor FROM named n JOIN t ON t.lib = n.lib AND t.ver = n.ver AND t.fqn = n.exc AND t.kind IN ('CLASS', 'ENUM', 'RECORD') JOIN anc a ON a.lib = n.lib AND a.ver = n.ver AND a.fqn = n.exc
+        UNION SELECT n.lib, n.ver, n.exc, px.b FROM named n JOIN px ON px.a = n.exc WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.lib = n.lib AND t.ver = n.ver AND t.fqn = n.exc AND t.kind IN ('CLASS', 'ENUM', 'RECORD'))),
+chk AS (SELECT lib, ver, exc, list(up) AS up FROM exu GROUP BY ALL HAVING bool_or(up = 'java.lang.Throwable') AND NOT bool_or(up IN ('java.lang.RuntimeException', 'java.lang.Error'))),
+tx AS (SELECT lib, ver, fqn, a.symbol AS symbol, a.eid AS e1, b.eid AS e2, o_final AS fin FROM mm WHERE status = 'MATCHED'
+       UNION ALL SELECT lib, ver, fqn, a.symbol, a.eid, b.eid, true FROM cm WHERE status = 'MATCHED'),
+t1 AS (SELECT x.lib, x.ver, x.fqn, x.symbol, x.e1, x.e2, x.fin, h.exc FROM tx x JOIN thr h ON h.eid = x.e1 JOIN o ON o.lib = x.lib AND o.next_ver = x.ver JOIN chk c ON c.lib = x.lib AND c.ver = o.ver AND c.exc = h.exc),
+t2 AS (SELECT x.lib, x.ver, x.fqn, x.symbol, x.e1, x.e2, x.fin, h.exc, c.up FROM tx x JOIN thr h ON h.eid = x.e2 JOIN chk c ON c.lib = x.lib AND c.ver = x.ver AND c.exc = h.exc)"""
+_SAME = "j.lib = i.lib AND j.ver = i.ver AND j.fqn = i.fqn AND j.e1 = i.e1 AND j.e2 = i.e2"
+_THROWN_FOUND = f"""SELECT DISTINCT i.lib, i.ver, i.fqn, i.symbol, 'EXECUTABLE_NO_LONGER_THROWS_CHECKED_EXCEPTION' AS kind, i.exc FROM t1 i JOIN chk c ON c.lib = i.lib AND c.ver = i.ver AND c.exc = i.exc
+WHERE NOT EXISTS (SELECT 1 FROM t2 j WHERE {_SAME} AND CASE WHEN i.fin THEN list_contains(j.up, i.exc) ELSE list_contains(c.up, j.exc) END)
+UNION ALL SELECT DISTINCT i.lib, i.ver, i.fqn, i.symbol, 'EXECUTABLE_NOW_THROWS_CHECKED_EXCEPTION', i.exc FROM t2 i WHERE NOT EXISTS (SELECT 1 FROM t1 j WHERE {_SAME} AND list_contains(i.up, j.exc))"""
 _KINDS = rows([(k, i, n, b, s) for i, (k, n, b, s) in enumerate(BC_KINDS)], "kind, kind_ordinal, nature, binary_breaking, source_breaking")
 _REPORT = f"""
 one AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY bc_id ORDER BY found_at DESC NULLS LAST) AS rn FROM bc_report WHERE bc_id IS NOT NULL) WHERE rn = 1),
@@ -150,10 +283,6 @@ chg AS (SELECT * FROM (SELECT lib, ver, file, CASE WHEN h2 IS NULL THEN 'deleted
         WHERE status IS NOT NULL)"""
 
 
-def _fired(table: str, cols: str, kinds: dict[str, str]) -> str:
-    return " UNION ALL ".join(f"SELECT {cols}, '{k}' AS kind FROM {table} WHERE {c}" for k, c in kinds.items())
-
-
 def _duck(ok: str) -> str:
     return ok.replace("array_contains(", "list_contains(").replace("size(", "len(")
 
@@ -196,9 +325,26 @@ ORACLE = {
     "enclosing_chain": f"SELECT lib, ver, ancestor, descendant, depth FROM ({PROBLEMS['p4_found']}) WHERE link = 'enclosing'",
     "exported_types": f"{R}{_EDGES},{_PROPS} SELECT * FROM props",
     "checked_exceptions": f"{R}{_ANC},{_EXC} SELECT lib, ver, fqn, throwable AND NOT unchecked AS checked, unchecked FROM exc WHERE throwable OR unchecked",
-    "method_erasure": f"WITH {_T},{_EXEC} SELECT DISTINCT lib, ver, owner, exec_kind, erasure FROM ex",
-    "thrown_types": f"WITH {_T},{_EXEC} SELECT DISTINCT lib, ver, owner, erasure, thrown FROM (SELECT lib, ver, owner, erasure, unnest(list_transform(thrown, lambda h: {_erase('h')})) AS thrown FROM ex) WHERE thrown <> ''",
+    "method_erasure": f"{R}{_T},{_EXEC} SELECT DISTINCT lib, ver, owner, exec_kind, erasure FROM ex",
+    "thrown_types": f"{R}{_T},{_EXEC} SELECT DISTINCT lib, ver, owner, erasure, exh.thrown FROM ex JOIN exh USING (eid)",
     "effective_fields": f"{R}{_ANC},{_PROPS},{_FIELDS} SELECT lib, ver, fqn, name, m.owner AS owner FROM eff",
+    "effective_methods": f"{R}{_ANC},{_PROPS},{_EXEC},{_METHODS} SELECT lib, ver, fqn, erasure, m.owner AS owner, m.visibility AS visibility, m.return_ref AS return_ref FROM effm",
+    "methods_to_implement": f"{R}{_ANC},{_PROPS},{_EXEC},{_METHODS} SELECT lib, ver, fqn, erasure, m.owner AS owner FROM effm "
+    "WHERE CASE WHEN m.owner_kind IN ('INTERFACE', 'ANNOTATION') THEN NOT m.dflt AND NOT list_contains(m.mods, 'STATIC') ELSE m.abstract END",
+    "concrete_blockers": f"{R}{_ANC},{_PROPS},{_EXEC},{_METHODS} SELECT lib, ver, fqn, m.symbol AS symbol FROM blocker",
+    "entity_counts": f"{R}{_T},{_EXEC} SELECT lib, kind AS entity, count(*) AS n FROM t GROUP BY ALL UNION ALL SELECT lib, exec_kind, count(*) FROM ex GROUP BY ALL",
+    "api_card": f"{R}{_ANC},{_PROPS},{_EXEC},{_METHODS}, nt AS (SELECT lib, ver, count(*) AS n_types, count(*) FILTER (exported) AS n_exported FROM props GROUP BY ALL), "
+    "nm AS (SELECT lib, ver, count(*) AS n_methods FROM effm GROUP BY ALL), nf AS (SELECT f.lib, f.ver, count(*) AS n_fields FROM (SELECT DISTINCT f.lib, f.ver, f.owner, f.name, f.visibility, "
+    "list_sort(list_distinct(coalesce(f.modifiers, []))) AS mods, f.type_ref, f.is_const FROM field_decl f JOIN t ON t.lib = f.lib AND t.ver = f.ver AND t.fqn = f.owner WHERE f.visibility IN ('PUBLIC', 'PROTECTED') "
+    "AND f.name IS NOT NULL AND (t.kind <> 'RECORD' OR list_contains(f.modifiers, 'STATIC'))) f SEMI JOIN (SELECT * FROM props WHERE exported) p ON p.lib = f.lib AND p.ver = f.ver AND p.fqn = f.owner GROUP BY ALL) "
+    "SELECT nt.*, coalesce(n_methods, 0) AS n_methods, coalesce(n_fields, 0) AS n_fields FROM nt LEFT JOIN nm USING (lib, ver) LEFT JOIN nf USING (lib, ver)",
+    "method_match": f"{R}{_MMATCH} SELECT lib, ver, fqn, erasure, status FROM mm",
+    "method_changes": f"{R}{_MMATCH} SELECT DISTINCT * FROM (" + _fired("mm", "lib, ver, fqn, a.symbol AS symbol", _METHOD_KINDS) + ")",
+    "constructor_changes": f"{R}{_MMATCH} SELECT DISTINCT * FROM (" + _fired("cm", "lib, ver, fqn, a.symbol AS symbol", _CTOR_KINDS) + ")",
+    "annotation_element_changes": f"{R}{_MMATCH} SELECT DISTINCT * FROM (" + _fired("em", "lib, ver, fqn, a.symbol AS symbol", _ELEMENT_KINDS) + ")",
+    "new_obligations": f"{R}{_MMATCH} {_OBLIGATIONS}",
+    "no_longer_extensible": f"{R}{_MMATCH} {_SHUT}",
+    "thrown_changes": f"{R}{_MMATCH},{_THROWN} {_THROWN_FOUND}",
     "exported_constructors": f"{R}{_EDGES},{_PROPS},{_EXEC} SELECT DISTINCT e.lib, e.ver, e.owner, e.erasure, e.visibility FROM ex e JOIN props p ON p.lib = e.lib AND p.ver = e.ver AND p.fqn = e.owner "
     "WHERE e.exec_kind = 'CONSTRUCTOR' AND p.exported AND (e.visibility = 'PUBLIC' OR (e.visibility = 'PROTECTED' AND p.direct_subtypable))",
     "duplicate_types": "SELECT lib, ver, fqn, count(*) AS n_rows, count(DISTINCT loaded_at) AS n_states FROM type_decl WHERE fqn IS NOT NULL GROUP BY ALL HAVING count(*) > 1",
@@ -280,3 +426,34 @@ ORACLE = {
     "change_themes": f"WITH {_REPORT} SELECT theme, count(*) AS n, count(DISTINCT kind) AS n_kinds FROM (SELECT kind, CASE "
     + " ".join(f"WHEN regexp_matches(kind, '{p}') THEN '{t}'" for p, t in THEMES) + " ELSE 'other' END AS theme FROM rep) GROUP BY theme",
 }
+
+
+def _part(name: str, kind: str = "kind", symbol: str = "symbol") -> str:
+    return f"SELECT lib, ver, {kind} AS kind, fqn AS impacted_type, {symbol} AS impacted_symbol FROM ({ORACLE[name]})"
+
+
+_FIELD_KINDS = {"FIELD_REMOVED": "status = 'REMOVED'"} | {
+    k: f"status = 'MATCHED' AND {c}"
+    for k, c in {
+        "FIELD_NOW_PROTECTED": "a.visibility = 'PUBLIC' AND b.visibility = 'PROTECTED'",
+        "FIELD_NOW_FINAL": _GAINED.format("FINAL"),
+        "FIELD_NOW_STATIC": _GAINED.format("STATIC"),
+        "FIELD_NO_LONGER_STATIC": _LOST.format("STATIC"),
+    }.items()
+}
+_REPEATABLE = (
+    f"{R}{_MATCH}, rp AS (SELECT lib, ver, fqn, len(list_filter(coalesce(annotations, []), lambda x: x.fqn = 'java.lang.annotation.Repeatable')) > 0 AS rep FROM last WHERE kind = 'ANNOTATION') "
+    "SELECT m.lib, m.ver, m.fqn FROM tm m JOIN o ON o.lib = m.lib AND o.next_ver = m.ver JOIN rp a ON a.lib = m.lib AND a.ver = o.ver AND a.fqn = m.fqn "
+    "JOIN rp b ON b.lib = m.lib AND b.ver = m.ver AND b.fqn = m.fqn WHERE m.status = 'MATCHED' AND a.rep AND NOT b.rep"
+)
+_PLAIN = " UNION ALL ".join([
+    _part("type_removed", "'TYPE_REMOVED'", "fqn"), _part("type_kind_changed", "'TYPE_KIND_CHANGED'", "fqn"), _part("type_flag_changes", "kind", "fqn"),
+    _part("supertypes_removed", "'TYPE_SUPERTYPE_REMOVED'", "fqn"), _part("annotation_targets_removed", "'ANNOTATION_TARGET_REMOVED'", "fqn"),
+    f"SELECT lib, ver, 'ANNOTATION_NO_LONGER_REPEATABLE', fqn, fqn FROM ({_REPEATABLE})",
+    f"SELECT lib, ver, kind, fqn, symbol FROM ({R}{_FMATCH} " + _fired("fm", "lib, ver, fqn, a.owner || '.' || name AS symbol", _FIELD_KINDS) + ")",
+    _part("method_changes"), _part("constructor_changes"), _part("annotation_element_changes"), _part("new_obligations", "kind", "fqn"),
+    _part("no_longer_extensible", "'CLASS_NO_LONGER_CONCRETELY_EXTENSIBLE'", "fqn"), _part("thrown_changes"),
+])
+ORACLE["breaking_changes_plain"] = (
+    f"SELECT DISTINCT p.*, k.nature, k.binary_breaking, k.source_breaking FROM ({_PLAIN}) p JOIN (SELECT * FROM {_KINDS}) k ON k.kind = p.kind WHERE NOT starts_with(p.impacted_symbol, 'java.lang.Object.')"
+)

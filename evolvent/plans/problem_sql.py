@@ -55,6 +55,7 @@ SELECT g.lib, g.ver, g.fqn, g.ref_field, g.target,
 FROM gone g LEFT JOIN s ON s.lib = g.lib AND s.ver = g.ver LEFT JOIN spans x ON x.lib = g.lib AND x.fqn = g.target""",
     "p4_found": f"""
 WITH RECURSIVE {_REFS.lstrip()},
+n_keys AS (SELECT lib, ver, count(*) AS n FROM keys GROUP BY ALL),
 edges AS (SELECT r.lib, r.ver, r.ref_field AS link, r.fqn AS c, r.target AS p
           FROM refs r SEMI JOIN keys k ON k.lib = r.lib AND k.ver = r.ver AND k.fqn = r.target),
 walk AS (
@@ -62,6 +63,22 @@ walk AS (
   UNION
   SELECT w.lib, w.ver, w.link, e.p, w.descendant, w.depth + 1
   FROM walk w JOIN edges e ON e.lib = w.lib AND e.ver = w.ver AND e.link = w.link AND e.c = w.ancestor
-  WHERE w.depth < 60)
+  JOIN n_keys z ON z.lib = w.lib AND z.ver = w.ver WHERE w.depth < z.n)
 SELECT lib, ver, link, ancestor, descendant, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY ALL""",
 }
+
+# an orphan of level n refers to one of level n - 1 and to none before
+ORACLE["p3_report"] = f"""
+WITH RECURSIVE {_SNAPS.lstrip()}, {_REFS},
+n_keys AS (SELECT lib, ver, count(*) AS n FROM keys GROUP BY ALL),
+direct AS (SELECT lib, ver, fqn, ref_field, target, reason FROM ({ORACLE["p3_found"]})),
+inner_refs AS (SELECT r.* FROM refs r SEMI JOIN keys k ON k.lib = r.lib AND k.ver = r.ver AND k.fqn = r.target),
+lv AS (SELECT DISTINCT lib, ver, fqn, 0 AS level FROM direct
+       UNION SELECT r.lib, r.ver, r.fqn, l.level + 1 FROM inner_refs r JOIN lv l ON l.lib = r.lib AND l.ver = r.ver AND l.fqn = r.target
+       JOIN n_keys z ON z.lib = r.lib AND z.ver = r.ver WHERE l.level < z.n),
+ml AS (SELECT lib, ver, fqn, min(level) AS level FROM lv GROUP BY ALL),
+every AS (SELECT lib, ver, fqn, ref_field, reason, 0 AS level FROM direct
+          UNION ALL SELECT r.lib, r.ver, r.fqn, r.ref_field, 'inherited', c.level FROM inner_refs r JOIN ml p ON p.lib = r.lib AND p.ver = r.ver AND p.fqn = r.target
+          JOIN ml c ON c.lib = r.lib AND c.ver = r.ver AND c.fqn = r.fqn WHERE c.level = p.level + 1)
+SELECT e.ref_field, strftime(s.t, '%Y-%m') AS period, e.reason, CAST(e.level AS INTEGER) AS level, count(*) AS n_refs, count(DISTINCT [e.lib, e.ver, e.fqn]) AS n_types
+FROM every e LEFT JOIN s ON s.lib = e.lib AND s.ver = e.ver GROUP BY ALL"""
