@@ -108,7 +108,7 @@ def orphan_references(types: DataFrame, known: DataFrame, snapshots: DataFrame,
         .groupBy("lib", "ver")
         .agg(F.min("taken_at").alias("taken_at"))
     )
-    taken = F.broadcast(taken) if small_enough(snapshots, BROADCAST_SNAPSHOTS) else taken
+    taken = F.broadcast(taken) if small_enough(taken, BROADCAST_SNAPSHOTS) else taken
     spans = (
         types.where("fqn IS NOT NULL")
         .select("lib", "ver", F.col("fqn").alias("target"))

@@ -2,20 +2,26 @@
 
 An index maps every key of a snapshot to a fingerprint of its values; the index of the last snapshot is probed with the
 keys of the next one, and the newer index takes its place. Over a history of snapshots the same is done in one pass:
-the index entries of all snapshots are bucketed by key, and within a bucket each entry is probed by the entry of the
-next snapshot (``lag``/``lead`` in snapshot order), so that one exchange of 24-byte entries serves every pair of
-snapshots. :class:`SnapshotIndex` is the incremental form for snapshots that arrive one at a time, and
-:func:`changed_values` fetches old and new values, for changed keys only.
+the entries of all snapshots are bucketed by key, with one exchange of 24-byte entries, and the task that holds a bucket
+keeps its index of the last snapshot, probes it with the next snapshot's entries and swaps, snapshot by snapshot.
+:class:`SnapshotIndex` is the durable form for snapshots that arrive one at a time, and :func:`changed_values` fetches
+old and new values, for changed keys only.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evolvent.session import ship_package, small_enough
+
 #: Entries of one hash bucket beyond which the bucket is pre-aggregated before the exchange by key.
 HOT_BUCKET_ROWS = 2_000_000
 #: Hash buckets of the histogram that finds hot ones; it bounds what reaches the driver.
@@ -125,9 +131,10 @@ def snapshot_index(
     ``hot_rows`` rows is made distinct and summed up on its own, evenly spread exchange before it joins the rest.
     """
     n = len(members)
+    ship_package(types.sparkSession)
     order = snapshot_order(snapshots)
     t = types.where("fqn IS NOT NULL AND lib IS NOT NULL AND ver IS NOT NULL").select("lib", "ver", "fqn")
-    order = F.broadcast(order) if snapshots.limit(BROADCAST_SNAPSHOTS + 1).count() <= BROADCAST_SNAPSHOTS else order
+    order = F.broadcast(order) if small_enough(order, BROADCAST_SNAPSHOTS) else order
     t = t.join(order, ["lib", "ver"]).select(
         key_hash("lib", "fqn").alias("k"), key_hash("lib", "ver").alias("sid"), "lib", "fqn", "ver", "next_ver", "seq"
     )
@@ -168,44 +175,82 @@ def snapshot_index(
     return whole.where("fqn IS NOT NULL").drop("sid")
 
 
+#: Entries at which a chunk of the index entries of whole libraries is probed.
+CHUNK_ROWS = 100_000
+
+
+def _probe_chunk(t: pa.Table, hashes: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Changes within a chunk of entries of whole libraries, one step for each snapshot, all libraries in step.
+
+    ``last`` is the index: for each key the place of its entry of the last snapshot, -1 if it had none. A step probes it
+    with the keys of the next snapshots and puts their entries in the place of the old ones.
+    """
+    t = t.combine_chunks()
+    n = t.num_rows
+    key = pc.binary_join_element_wise(t["lib"], t["fqn"], "\x00").combine_chunks().dictionary_encode()
+    ids = key.indices.to_numpy(zero_copy_only=False)
+    seq = t["seq"].to_numpy()
+    values = [t[h].to_numpy() for h in hashes]
+    order = np.argsort(seq, kind="stable")
+    cuts = np.flatnonzero(np.diff(seq[order])) + 1
+    last = np.full(len(key.dictionary), -1, dtype=np.int64)
+    added, changed, kept = [], [], np.zeros(n, dtype=bool)
+    before = np.full(n, -1, dtype=np.int64)
+    for rows in np.split(order, cuts):
+        s = seq[rows[0]] if len(rows) else 1
+        old = last[ids[rows]]
+        # An entry counts only if it is of the snapshot just before: a library may have had none of its keys there.
+        hit = (old >= 0) & (seq[np.where(old >= 0, old, 0)] == s - 1)
+        kept[old[hit]] = True
+        before[rows[hit]] = old[hit]
+        if s > 1:
+            added.append(rows[~hit])
+        changed.append(rows[hit])
+        last[ids[rows]] = rows
+    none = np.empty(0, dtype=np.int64)
+    new = np.concatenate([none, *added])
+    both = np.concatenate([none, *changed])
+    differ = [v[both] != v[before[both]] for v in values]
+    what = np.array([""] * len(both), dtype=object)
+    for h, d in zip(hashes, differ):
+        what[d] = what[d] + np.where(what[d] == "", h, "," + h) if d.any() else what[d]
+    some = np.logical_or.reduce(differ) if differ else np.zeros(len(both), dtype=bool)
+    gone = np.flatnonzero(~kept & pc.is_valid(t["next_ver"]).to_numpy())
+    for rows, ver, change, told, shift in ((new, "ver", "added", None, 1), (both[some], "ver", "changed", what[some], 1), (gone, "next_ver", "removed", None, 0)):
+        at = pa.array(rows)
+        told = pa.array([""] * len(rows) if told is None else told.tolist(), pa.string())
+        cols = [t["lib"].take(at), t[ver].take(at), t["fqn"].take(at), pa.array([change] * len(rows), pa.string()), told, pa.array((seq[rows] - shift).astype(np.int32))]
+        yield from pa.table(cols, names=["lib", "ver", "fqn", "change", "what", "old_seq"]).to_batches()
+
+
+def _probe_task(batches: Iterator[pa.RecordBatch], hashes: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """:func:`_probe_chunk` over chunks of whole libraries, from entries sorted by library."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n < CHUNK_ROWS or not b.num_rows:
+            continue
+        t = pa.Table.from_batches(held)
+        cut = int(np.argmax(pc.equal(t["lib"], t["lib"][n - 1]).to_numpy()))  # where the last library, which may go on, begins
+        if cut:
+            yield from _probe_chunk(t.slice(0, cut), hashes)
+            held, n = t.slice(cut).to_batches(), n - cut
+    if n:
+        yield from _probe_chunk(pa.Table.from_batches(held), hashes)
+
+
 def probe(index: DataFrame, hashes: Sequence[str]) -> DataFrame:
-    """Changes between each snapshot in the index and the next: ``lib, ver, fqn, change`` and the older ``seq``.
+    """Changes between each snapshot in the index and the next: ``lib, ver, fqn, change, what, old_seq``.
 
-    ``change`` is added, removed or changed; ``ver`` is the newer snapshot. ``what`` names the fingerprints that differ.
+    ``change`` is added, removed or changed; ``ver`` is the newer snapshot, ``old_seq`` the place of the older one.
+    ``what`` names the fingerprints that differ. The entries stay in the bucket of their key: a task holds the index of
+    the last snapshot for its buckets, probes it with the next snapshot's entries and swaps, snapshot by snapshot.
     """
-    w = Window.partitionBy("k", "lib", "fqn").orderBy("seq")
-    x = index.select(
-        "*",
-        F.lag("seq").over(w).alias("before"),
-        F.lead("seq").over(w).alias("after"),
-        *[F.lag(h).over(w).alias(f"old_{h}") for h in hashes],
-    )
-    followed = F.col("before") == F.col("seq") - 1
-    differs = [F.when(F.col(h) != F.col(f"old_{h}"), F.lit(h)) for h in hashes]
-    what = F.concat_ws(",", *differs)
-    none = F.lit(None).cast("struct<ver:string,change:string,what:string,old_seq:int>")
-    now = (
-        F.when(
-            (F.col("seq") > 1) & ~F.coalesce(followed, F.lit(False)),
-            F.struct("ver", F.lit("added").alias("change"), F.lit("").alias("what"), (F.col("seq") - 1).alias("old_seq")),
-        )
-        .when(
-            followed & (what != ""),
-            F.struct("ver", F.lit("changed").alias("change"), what.alias("what"), (F.col("seq") - 1).alias("old_seq")),
-        )
-        .otherwise(none)
-    )
-    later = F.when(
-        F.col("next_ver").isNotNull() & ~F.coalesce(F.col("after") == F.col("seq") + 1, F.lit(False)),
-        F.struct(
-            F.col("next_ver").alias("ver"), F.lit("removed").alias("change"), F.lit("").alias("what"), F.col("seq").alias("old_seq")
-        ),
-    ).otherwise(none)
-    return (
-        x.select("lib", "fqn", F.explode(F.array(now, later)).alias("c"))
-        .where("c IS NOT NULL")
-        .select("lib", "c.ver", "fqn", "c.change", "c.what", "c.old_seq")
-    )
+    hashes = tuple(hashes)
+    rows = index.select("lib", "fqn", "ver", "next_ver", "seq", *hashes).sortWithinPartitions("lib")
+    return rows.mapInArrow(lambda it: _probe_task(it, hashes), "lib string, ver string, fqn string, change string, what string, old_seq int")
 
 
 def snapshot_changes(
@@ -257,58 +302,93 @@ def changed_values(
 class SnapshotIndex:
     """The index of the last snapshot, kept as a table bucketed by key, for snapshots that arrive one by one.
 
-    ``advance`` probes it with the rows of the next snapshot, returns the changed keys with old and new fingerprint and
-    swaps the indexes: the new one is written beside the old one before the pointer file is replaced, so a run that is
-    lost half-way leaves the old index in force and can simply be repeated.
+    ``advance`` writes the next snapshot's index beside the old one, probes the old one with it bucket by bucket (both are
+    bucketed by key, so neither moves), writes the changes, and only then swaps: one rename puts the new pointer in the
+    place of the old one. A run that is lost before the swap leaves the old index in force and is repeated with the same
+    ``step``: it writes the same changes over what it left. A step that is already in force is not done again.
     """
 
     def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], buckets: int = 64):
         self.spark, self.root, self.keys, self.buckets = spark, root.rstrip("/"), list(keys), buckets
 
-    def _pointer(self):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/CURRENT")
+    def _path(self, name: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def current(self) -> DataFrame | None:
-        p, fs = self._pointer()
+    def pointer(self) -> dict | None:
+        """``index, step, schema`` of the index in force."""
+        p, fs = self._path("CURRENT")
         if not fs.exists(p):
             return None
         s = fs.open(p)
         try:
-            name = s.readUTF()
+            return json.loads(s.readUTF())
         finally:
             s.close()
-        return self.spark.read.parquet(f"{self.root}/{name}")
 
-    def advance(self, rows: DataFrame, h: Column) -> DataFrame:
-        """Changes of ``rows`` against the last snapshot: the keys, ``change``, ``old_h`` and ``new_h``.
+    def _table(self, name: str, schema: str) -> DataFrame:
+        """An index as a table that knows its buckets."""
+        t = f"`{name.replace('-', '_')}`"
+        clustered = ", ".join(f"`{k}`" for k in self.keys)
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {t} ({schema}) USING parquet CLUSTERED BY ({clustered}) SORTED BY ({clustered}) INTO {self.buckets} BUCKETS LOCATION '{self.root}/{name}'"
+        )
+        return self.spark.table(t)
 
-        A key's fingerprint is the XOR over its distinct rows. The first snapshot gives no changes. Rows with a null
-        key are skipped.
-        """
-        bucket = F.pmod(key_hash(*self.keys), F.lit(self.buckets))
+    def current(self) -> DataFrame | None:
+        at = self.pointer()
+        return None if at is None else self._table(at["index"], at["schema"])
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS `{name.replace('-', '_')}`")
+        p, fs = self._path(name)
+        fs.delete(p, True)
+
+    def write(self, rows: DataFrame, h: Column) -> tuple[str, str]:
+        """(name, schema) of a new index of ``rows``: a key's fingerprint is the XOR over its distinct rows."""
         ok = rows.where(" AND ".join(f"`{k}` IS NOT NULL" for k in self.keys))
-        new = (
-            ok.select(*self.keys, h.alias("h"))
-            .distinct()
-            .groupBy(*self.keys)
-            .agg(F.bit_xor("h").alias("h"))
-            .withColumn("bucket", bucket)
-        )
+        new = ok.select(*self.keys, h.alias("h")).distinct().groupBy(*self.keys).agg(F.bit_xor("h").alias("h"))
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.schema.fields)
         name = f"index-{uuid.uuid4().hex[:12]}"
-        new.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/{name}")
-        fresh = self.spark.read.parquet(f"{self.root}/{name}")
-        last = self.current()
-        p, fs = self._pointer()
-        tmp = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/CURRENT-{name}")
-        s = fs.create(tmp, True)
-        s.writeUTF(name)
-        s.close()
-        fs.delete(p, False)
-        fs.rename(tmp, p)
-        if last is None:
-            last = fresh
-        on = ["bucket", *self.keys]
-        j = last.withColumnRenamed("h", "old_h").join(fresh.withColumnRenamed("h", "new_h"), on, "full_outer")
+        placed = new.repartition(self.buckets, *self.keys)
+        placed.write.bucketBy(self.buckets, *self.keys).sortBy(*self.keys).option("path", f"{self.root}/{name}").format("parquet").saveAsTable(name.replace("-", "_"))
+        return name, schema
+
+    def changes(self, old: DataFrame, new: DataFrame) -> DataFrame:
+        """The keys that differ, with ``change``, ``old_h`` and ``new_h``."""
+        j = old.withColumnRenamed("h", "old_h").join(new.withColumnRenamed("h", "new_h"), self.keys, "full_outer")
         change = F.when(F.col("old_h").isNull(), "added").when(F.col("new_h").isNull(), "removed").otherwise("changed")
         return j.where(~F.col("old_h").eqNullSafe(F.col("new_h"))).select(*self.keys, change.alias("change"), "old_h", "new_h")
+
+    def swap(self, name: str, schema: str, step: str) -> None:
+        """Put an index in force, by one rename over the pointer; the index before it is removed."""
+        was = self.pointer()
+        jvm = self.spark.sparkContext._jvm
+        tmp, fs = self._path(f"CURRENT-{name}")
+        s = fs.create(tmp, True)
+        s.writeUTF(json.dumps({"index": name, "step": step, "schema": schema}))
+        s.close()
+        over = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+        options = jvm.java.lang.reflect.Array.newInstance(over, 1)
+        jvm.java.lang.reflect.Array.set(options, 0, over.getEnumConstants()[1])
+        to, _ = self._path("CURRENT")
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(tmp, to, options)
+        if was is not None and was["index"] != name:
+            self._drop(was["index"])
+
+    def advance(self, rows: DataFrame, h: Column, out: str, step: str, extra: dict[str, Column] | None = None) -> DataFrame:
+        """Changes of ``rows`` against the last snapshot, written to ``out/step=<step>`` before the indexes are swapped.
+
+        Returns them as read back: the keys, ``change``, ``old_h`` and ``new_h``, and the ``extra`` columns. The first
+        snapshot gives no changes. Rows with a null key are skipped.
+        """
+        path = f"{out.rstrip('/')}/step={step}"
+        at = self.pointer()
+        if at is None or at["step"] != step:
+            name, schema = self.write(rows, h)
+            fresh = self._table(name, schema)
+            last = self.current()
+            found = self.changes(fresh if last is None else last, fresh).withColumns(extra or {})
+            found.write.mode("overwrite").parquet(path)
+            self.swap(name, schema, step)
+        return self.spark.read.parquet(path)

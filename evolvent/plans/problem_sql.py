@@ -17,9 +17,7 @@ refs AS (SELECT DISTINCT lib, ver, fqn, ref_field, target FROM (
          WHERE target <> ''),
 keys AS (SELECT DISTINCT lib, ver, fqn FROM latest)"""
 
-ORACLE = {
-    "p2_found": f"""
-WITH {_SNAPS},
+_MEMBERS = """
 members AS (
   SELECT lib, ver, owner, concat_ws('|', 'm', coalesce(name, '~'), coalesce(exec_kind, '~'), coalesce(visibility, '~'),
          CAST(list_sort(list_distinct(coalesce(modifiers, []))) AS VARCHAR), coalesce(return_ref, '~'),
@@ -31,7 +29,12 @@ members AS (
   SELECT lib, ver, owner, concat_ws('|', 'f', coalesce(name, '~'), coalesce(visibility, '~'),
          CAST(list_sort(list_distinct(coalesce(modifiers, []))) AS VARCHAR), coalesce(type_ref, '~'),
          coalesce(CAST(is_const AS VARCHAR), '~'))
-  FROM field_decl),
+  FROM field_decl),"""
+
+ORACLE = {
+    "p2_found": f"""
+WITH {_SNAPS},
+{_MEMBERS}
 sets AS (SELECT lib, ver, owner, string_agg(DISTINCT x, chr(10) ORDER BY x) AS v FROM members GROUP BY ALL),
 cur AS (SELECT DISTINCT t.lib, t.ver, t.fqn, o.seq, coalesce(sets.v, '') AS v
         FROM type_decl t JOIN o ON t.lib = o.lib AND t.ver = o.ver
@@ -82,3 +85,13 @@ every AS (SELECT lib, ver, fqn, ref_field, reason, 0 AS level FROM direct
           JOIN ml c ON c.lib = r.lib AND c.ver = r.ver AND c.fqn = r.fqn WHERE c.level = p.level + 1)
 SELECT e.ref_field, strftime(s.t, '%Y-%m') AS period, e.reason, CAST(e.level AS INTEGER) AS level, count(*) AS n_refs, count(DISTINCT [e.lib, e.ver, e.fqn]) AS n_types
 FROM every e LEFT JOIN s ON s.lib = e.lib AND s.ver = e.ver GROUP BY ALL"""
+
+# old and new members of changed types, those left out that both sides have
+ORACLE["p2_values"] = f"""
+WITH {_SNAPS},{_MEMBERS}
+named AS (SELECT DISTINCT lib, ver, owner, x, split_part(x, '|', 1) || ':' || split_part(x, '|', 2) AS member FROM members),
+c AS (SELECT c.lib, c.ver, c.fqn, p.ver AS old_ver FROM ({ORACLE["p2_found"]}) c JOIN o ON o.lib = c.lib AND o.ver = c.ver JOIN o p ON p.lib = o.lib AND p.seq = o.seq - 1 WHERE c.change = 'changed')
+SELECT c.lib, c.ver, c.fqn, 'new' AS side, n.member FROM c JOIN named n ON n.lib = c.lib AND n.ver = c.ver AND n.owner = c.fqn
+WHERE NOT EXISTS (SELECT 1 FROM named w WHERE w.lib = c.lib AND w.ver = c.old_ver AND w.owner = c.fqn AND w.x = n.x)
+UNION ALL SELECT c.lib, c.ver, c.fqn, 'old', n.member FROM c JOIN named n ON n.lib = c.lib AND n.ver = c.old_ver AND n.owner = c.fqn
+WHERE NOT EXISTS (SELECT 1 FROM named w WHERE w.lib = c.lib AND w.ver = c.ver AND w.owner = c.fqn AND w.x = n.x)"""

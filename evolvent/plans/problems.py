@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from evolvent.operators.nested_records import bounds_of_parameters, containers, flat_table, node_table
 from evolvent.operators.orphans import orphan_references, orphan_report
-from evolvent.operators.snapshot_diff import snapshot_changes
+from evolvent.operators.snapshot_diff import changed_values, field_fingerprint, method_fingerprint, snapshot_changes
 from evolvent.operators.type_hierarchy import type_ancestors, type_places
+from evolvent.session import Stages
 from evolvent.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +23,18 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return changes.select("lib", "ver", "fqn", "change")
 
 
+def p2_values(spark: SparkSession, d: str) -> DataFrame:
+    """The members in which changed types differ, fetched for these types only: the side that has each, and its name."""
+    t = lambda n: table(spark, d, n)
+    changes = Stages(spark, "changes").put(snapshot_changes(t("api_snapshot"), t("type_decl"), t("exec_decl"), t("field_decl")), "found")
+    methods = t("exec_decl").where("exec_kind IS NULL OR exec_kind <> 'CONSTRUCTOR'")
+    parts = [
+        changed_values(changes, t("api_snapshot"), m, "owner", h, F.concat(F.lit(f"{sort}:"), F.coalesce("name", F.lit("~"))))
+        for m, h, sort in ((methods, method_fingerprint(), "m"), (t("field_decl"), field_fingerprint(), "f"))
+    ]
+    return parts[0].unionByName(parts[1]).select("lib", "ver", "fqn", "side", F.col("value").alias("member"))
+
+
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     return orphan_references(table(spark, d, "type_decl"), table(spark, d, "known_type"), table(spark, d, "api_snapshot"))
 
@@ -57,6 +70,7 @@ def p5_methods(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
+    "p2_values": p2_values,
     "p3_found": p3_found,
     "p3_report": p3_report,
     "p4_found": p4_found,

@@ -20,6 +20,7 @@ from typing import Any
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(app: str = "evolvent", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -56,13 +57,18 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where that setting is absent."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one where that setting is absent and the master is local.
+
+    A cluster without the setting is an error: its executors share no folder of this machine.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     set_before = getattr(sc, "_evolvent_dir", None)
     if not set_before:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         set_before = "file://" + tempfile.mkdtemp(prefix="evolvent-")
         sc._evolvent_dir = set_before
         atexit.register(_delete, spark, set_before)
@@ -128,6 +134,12 @@ def together(*wanted: tuple[Any, str]) -> None:
             f.result()
 
 
-def small_enough(df: DataFrame, max_rows: int) -> bool:
-    """Whether a frame has at most ``max_rows`` rows: the check behind every broadcast of a side that can grow."""
-    return df.limit(max_rows + 1).count() <= max_rows
+#: Bytes that a side may have to be broadcast.
+BROADCAST_BYTES = 8_000_000
+
+
+def small_enough(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a frame has at most ``max_rows`` rows and ``max_bytes`` bytes: the check behind every broadcast of a side that can grow."""
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) if t == "string" else F.lit(8) for c, t in df.dtypes), F.lit(16))
+    n, held = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return n <= max_rows and held <= max_bytes

@@ -1,8 +1,9 @@
-"""Snapshots that arrive as files: a stream over a folder that advances the snapshot index batch by batch.
+"""Snapshots that arrive as files: a stream over a folder that advances the snapshot index snapshot by snapshot.
 
-An extension: the batch operators have no notion of time. Each micro-batch holds the rows of one delivered snapshot (or
-of several, which are then taken in the order of ``seq_col``); the index is swapped once its changes are written, so a
-batch that is replayed after a failure finds the same index.
+An extension: the batch operators have no notion of time. The rows of a snapshot may arrive in any number of files and
+micro-batches: they wait in ``pending`` until a later snapshot has begun, and are then taken whole, in the order of
+``seq_col``. Every step can be repeated: a micro-batch writes its rows under its own number, and the index is swapped
+only after its changes are written.
 """
 
 from __future__ import annotations
@@ -17,26 +18,47 @@ from pyspark.sql.types import StructType
 from evolvent.operators.snapshot_diff import SnapshotIndex
 
 
-def stream_changes(
-    spark: SparkSession, source: str, schema: StructType | str, index_dir: str, out_dir: str, checkpoint: str, keys: Sequence[str], h: Column, seq_col: str
-) -> StreamingQuery:
-    """Changes of each snapshot that appears below ``source`` (Parquet), appended to ``out_dir`` with its ``seq_col``.
+class SnapshotStream:
+    """Changes of each snapshot that appears below ``source`` (Parquet), written below ``out_dir`` with its ``seq_col``.
 
-    Runs until all files present are taken. A snapshot is taken whole: its rows must arrive in one file.
+    A snapshot is complete once a later one has begun; :meth:`close` says that the last one is complete too. Rows of a
+    snapshot that is already in force come too late and stay in ``pending``.
     """
-    index = SnapshotIndex(spark, index_dir, keys)
-
-    def batch(df: DataFrame, _: int) -> None:
-        df.persist()
-        try:
-            for r in sorted(x[0] for x in df.select(seq_col).distinct().collect()):  # snapshots of one batch: a handful
-                rows = df.where(F.col(seq_col) == r)
-                index.advance(rows, h).withColumn(seq_col, F.lit(r)).write.mode("append").parquet(out_dir)
-        finally:
-            df.unpersist()
-
-    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def __init__(
+        self, spark: SparkSession, source: str, schema: StructType | str, index_dir: str, out_dir: str, checkpoint: str, keys: Sequence[str], h: Column, seq_col: str
+    ):
+        self.spark, self.source, self.schema, self.out, self.checkpoint, self.h, self.seq = spark, source, schema, out_dir.rstrip("/"), checkpoint, h, seq_col
+        self.index = SnapshotIndex(spark, index_dir, keys)
+        self.pending_dir = f"{index_dir.rstrip('/')}/pending"
+
+    def _pending(self) -> DataFrame:
+        return self.spark.read.option("basePath", self.pending_dir).parquet(f"{self.pending_dir}/batch=*")
+
+    def _take(self, all_of_them: bool) -> None:
+        """Advance the index by every pending snapshot that is complete."""
+        at = self.index.pointer()
+        rows = self._pending()
+        done = F.lit(True) if at is None else F.col(self.seq) > F.lit(at["step"]).cast(rows.schema[self.seq].dataType)
+        waiting = sorted(r[0] for r in rows.where(done).select(self.seq).distinct().collect())  # snapshots not yet taken: a handful
+        for n in waiting if all_of_them else waiting[:-1]:
+            self.index.advance(rows.where(F.col(self.seq) == n).drop("batch"), self.h, self.out, str(n), {self.seq: F.lit(n)})
+
+    def _batch(self, df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.pending_dir}/batch={number}")
+        if not df.isEmpty():
+            self._take(False)
+
+    def start(self) -> StreamingQuery:
+        """Take all files that are present; the last snapshot waits for a later one or for :meth:`close`."""
+        files = self.spark.readStream.schema(self.schema).parquet(self.source)
+        return files.writeStream.foreachBatch(self._batch).option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start()
+
+    def close(self) -> None:
+        self._take(True)
+
+    def changes(self) -> DataFrame:
+        return self.spark.read.option("basePath", self.out).parquet(f"{self.out}/step=*").drop("step")
 
 
 def windowed_findings(spark: SparkSession, source: str, schema: StructType | str, late: str = "30 days", window: str = "7 days") -> DataFrame:

@@ -115,8 +115,34 @@ def test_changed_values_shows_both_sides(spark):
 def test_index_advances_and_swaps(spark, tmp_path):
     x = S.SnapshotIndex(spark, f"file://{tmp_path}/ix", ["key"], buckets=4)
     rows = lambda *r: spark.createDataFrame(list(r), "key string, v int")
-    h = F.xxhash64("v")
-    assert x.advance(rows(("a", 1), ("b", 1), (None, 5)), h).collect() == []
-    got = {r["key"]: r["change"] for r in x.advance(rows(("a", 2), ("a", 2), ("c", 1)), h).collect()}
+    h, out = F.xxhash64("v"), str(tmp_path / "out")
+    assert x.advance(rows(("a", 1), ("b", 1), (None, 5)), h, out, "1").collect() == []
+    got = {r["key"]: r["change"] for r in x.advance(rows(("a", 2), ("a", 2), ("c", 1)), h, out, "2").collect()}
     assert got == {"a": "changed", "b": "removed", "c": "added"}
-    assert x.advance(rows(("a", 2), ("c", 1)), h).collect() == []
+    assert x.advance(rows(("a", 2), ("c", 1)), h, out, "3").collect() == []
+    assert len([p for p in (tmp_path / "ix").iterdir() if p.name.startswith("index-")]) == 1
+
+
+def test_a_lost_run_loses_no_changes(spark, tmp_path, monkeypatch):
+    """A run that dies before its changes are written, or between them and the swap, is repeated with the same result."""
+    x = S.SnapshotIndex(spark, f"file://{tmp_path}/ix", ["key"], buckets=4)
+    rows = lambda *r: spark.createDataFrame(list(r), "key string, v int")
+    h, out = F.xxhash64("v"), str(tmp_path / "out")
+    x.advance(rows(("a", 1), ("b", 1)), h, out, "1")
+    new = rows(("a", 2), ("c", 1))
+    for what in ("changes", "swap"):
+        with monkeypatch.context() as m:
+            m.setattr(S.SnapshotIndex, what, lambda *_: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                x.advance(new, h, out, "2")
+    want = {"a": "changed", "b": "removed", "c": "added"}
+    assert {r["key"]: r["change"] for r in x.advance(new, h, out, "2").collect()} == want
+    # Once in force, the step is not done again.
+    assert {r["key"]: r["change"] for r in S.SnapshotIndex(spark, f"file://{tmp_path}/ix", ["key"], buckets=4).advance(new, h, out, "2").collect()} == want
+
+
+def test_the_index_is_probed_in_its_buckets(spark, tmp_path):
+    x = S.SnapshotIndex(spark, f"file://{tmp_path}/ix", ["key"], buckets=4)
+    a, b = (x._table(*x.write(spark.createDataFrame([(k, v)], "key string, v int"), F.xxhash64("v"))) for k, v in (("a", 1), ("b", 2)))
+    plan = x.changes(a.hint("merge"), b)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan

@@ -7,12 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from evolvent.__main__ import compare, main
-from evolvent.operators.snapshot_diff import SnapshotIndex
 from evolvent.sources import options as O
 from evolvent.sources.classfile import declaration_tables, scan_classes
 from evolvent.sources.javasource import read_unit, scan_sources, tokens
 from evolvent.sources.json_snapshot import decode_payloads, reference, to_json
-from evolvent.streaming.snapshots import stream_changes, windowed_findings
+from evolvent.streaming.snapshots import SnapshotStream, windowed_findings
 
 FILES = {
     "p/A.java": '''package p;
@@ -145,15 +144,24 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
 
 
 def test_stream_of_snapshots(spark, tmp_path):
+    """Snapshots in several files each, taken once a later one begins or the stream is closed."""
     schema = "seq int, fqn string, v int"
     src = str(tmp_path / "in")
-    for seq, rows in enumerate([[("A", 1), ("B", 1)], [("A", 2), ("C", 1)], [("A", 2)]]):
-        spark.createDataFrame([(seq, *r) for r in rows], schema).coalesce(1).write.mode("append").parquet(src)
-    q = stream_changes(spark, src, schema, f"file://{tmp_path}/ix", str(tmp_path / "out"), str(tmp_path / "cp"), ["fqn"], F.xxhash64("v"), "seq")
-    q.awaitTermination(120)
-    got = {(r["seq"], r["fqn"]): r["change"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {(1, "A"): "changed", (1, "B"): "removed", (1, "C"): "added", (2, "C"): "removed"}
-    assert SnapshotIndex(spark, f"file://{tmp_path}/ix", ["fqn"]).current().count() == 1
+    stream = SnapshotStream(spark, src, schema, f"file://{tmp_path}/ix", str(tmp_path / "out"), str(tmp_path / "cp"), ["fqn"], F.xxhash64("v"), "seq")
+    put = lambda seq, *rows: spark.createDataFrame([(seq, *r) for r in rows], schema).coalesce(1).write.mode("append").parquet(src)
+    put(0, ("A", 1))
+    put(0, ("B", 1), ("D", 4))
+    stream.start().awaitTermination(120)
+    put(0, ("E", 5))
+    put(1, ("A", 2), ("C", 1))
+    stream.start().awaitTermination(120)
+    put(1, ("D", 4))
+    put(2, ("A", 2))
+    stream.start().awaitTermination(120)
+    stream.close()
+    got = {(r["seq"], r["fqn"]): r["change"] for r in stream.changes().collect()}
+    assert got == {(1, "A"): "changed", (1, "B"): "removed", (1, "C"): "added", (1, "E"): "removed", (2, "C"): "removed", (2, "D"): "removed"}
+    assert stream.index.current().count() == 1
 
 
 def test_windowed_findings(spark, sf, tmp_path):
