@@ -95,3 +95,35 @@ SELECT c.lib, c.ver, c.fqn, 'new' AS side, n.member FROM c JOIN named n ON n.lib
 WHERE NOT EXISTS (SELECT 1 FROM named w WHERE w.lib = c.lib AND w.ver = c.old_ver AND w.owner = c.fqn AND w.x = n.x)
 UNION ALL SELECT c.lib, c.ver, c.fqn, 'old', n.member FROM c JOIN named n ON n.lib = c.lib AND n.ver = c.old_ver AND n.owner = c.fqn
 WHERE NOT EXISTS (SELECT 1 FROM named w WHERE w.lib = c.lib AND w.ver = c.ver AND w.owner = c.fqn AND w.x = n.x)"""
+
+ORACLE["p4_loops"] = f"SELECT lib, ver, link, ancestor AS fqn, depth AS length FROM ({ORACLE['p4_found']}) WHERE ancestor = descendant"
+
+# JSON: strings are read through; a list may be written as its bare element; null elements keep their place
+_ITEMS = "CASE json_type({0}) WHEN 'ARRAY' THEN CAST({0} AS JSON[]) WHEN 'NULL' THEN [] ELSE CASE WHEN {0} IS NULL THEN [] ELSE [{0}] END END"
+
+
+def _each(frm: str, items: str, cols: str) -> str:
+    """Elements of a list that are objects, with their places."""
+    return f"SELECT {cols}, x, i - 1 AS i FROM (SELECT {cols}, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT {cols}, {items} AS l FROM {frm})) WHERE json_type(x) = 'OBJECT'"
+
+
+_JSON = f"""
+raw AS (SELECT rec_id, payload FROM (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY written_at DESC NULLS LAST, payload DESC NULLS LAST) AS rn FROM api_json) WHERE rn = 1 AND json_valid(payload)),
+unwrap AS (SELECT rec_id, CAST(payload AS JSON) AS x FROM raw
+           UNION ALL SELECT rec_id, CAST(x->>'$' AS JSON) FROM (SELECT * FROM unwrap WHERE json_type(x) = 'VARCHAR') WHERE json_valid(x->>'$')),
+snap AS (SELECT rec_id, x FROM unwrap WHERE json_type(x) = 'OBJECT'),
+ty AS (SELECT rec_id, CAST(i AS VARCHAR) AS path, '' AS parent, x FROM ({_each("(SELECT rec_id, x->'allTypes' AS l0 FROM snap)", _ITEMS.format("l0"), "rec_id")})
+       UNION ALL SELECT rec_id, path || '.' || i, path, x FROM ({_each("(SELECT rec_id, path, x->'nestedTypes' AS l0 FROM ty)", _ITEMS.format("l0"), "rec_id, path")})),
+me AS ({_each("(SELECT rec_id, path, x->>'typeKind' AS kind, x->'methods' AS l0 FROM ty)", _ITEMS.format("l0"), "rec_id, path, kind")}),
+holder AS (SELECT rec_id, path, x->>'typeKind' AS kind, -1 AS method_no, x->'formalTypeParameters' AS l0 FROM ty UNION ALL SELECT rec_id, path, kind, i, x->'formalTypeParameters' FROM me),
+tp AS ({_each("holder", _ITEMS.format("l0"), "rec_id, path, kind, method_no")})"""
+ORACLE["p5_types"] = f"WITH RECURSIVE {_JSON} SELECT rec_id, path AS type_path, parent AS parent_path, coalesce(x->>'typeKind', '') AS type_kind, x->>'qualifiedName' AS qualified_name FROM ty"
+ORACLE["p5_parameters"] = (
+    f"WITH RECURSIVE {_JSON} SELECT rec_id, path AS type_path, coalesce(kind, '') AS type_kind, CAST(method_no AS INTEGER) AS method_no, CAST(i AS INTEGER) AS tp_no, x->>'name' AS name FROM tp"
+)
+# a bound is an object or a plain string
+ORACLE["p5_found"] = (
+    f"WITH RECURSIVE {_JSON} SELECT rec_id, path AS type_path, coalesce(kind, '') AS type_kind, CAST(method_no AS INTEGER) AS method_no, CAST(tp_no AS INTEGER) AS tp_no, CAST(j - 1 AS INTEGER) AS bound_no, "
+    "CASE json_type(b) WHEN 'VARCHAR' THEN split_part(b->>'$', '<', 1) ELSE b->>'qualifiedName' END AS bound FROM (SELECT rec_id, path, kind, method_no, tp_no, unnest(l) AS b, generate_subscripts(l, 1) AS j FROM "
+    f"(SELECT rec_id, path, kind, method_no, i AS tp_no, {_ITEMS.format('l0')} AS l FROM (SELECT *, x->'bounds' AS l0 FROM tp))) WHERE json_type(b) IN ('OBJECT', 'VARCHAR')"
+)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evolvent.operators.nested_records import bounds_of_parameters, containers, flat_table, node_table
+from evolvent.operators.nested_records import bounds_of_parameters, containers, flat_table, nested_types, node_table, type_parameters
 from evolvent.operators.orphans import orphan_references, orphan_report
 from evolvent.operators.snapshot_diff import changed_values, field_fingerprint, method_fingerprint, snapshot_changes
 from evolvent.operators.type_hierarchy import type_ancestors, type_places
@@ -61,13 +61,28 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_methods(spark: SparkSession, d: str) -> DataFrame:
     """The flat table of methods, each tied to its type's row."""
-    nodes = node_table(table(spark, d, "api_json"), ("type", "method"))
+    nodes = Stages(spark, "nested").put(node_table(table(spark, d, "api_json"), ("type", "method")), "nodes")
     types = flat_table(nodes, "type")
     rows = containers(flat_table(nodes, "method"), types)
     tied = rows.join(types.select("rec_id", F.col("pre").alias("outer_pre"), "type_path", "type_kind"), ["rec_id", "outer_pre"])
     return tied.select("rec_id", "type_path", "type_kind", "method_no", "qualified_name", "pre", "post", "parent_pre")
 
 
+def p5_types(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table of types, each tied to the type around it."""
+    return nested_types(table(spark, d, "api_json"))
+
+
+def p5_parameters(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table of formal type parameters, each tied to its type and method."""
+    return type_parameters(table(spark, d, "api_json"))
+
+
+def p4_loops(spark: SparkSession, d: str) -> DataFrame:
+    """The types that reach themselves, with the length of the shortest loop of each."""
+    return type_ancestors(table(spark, d, "type_decl")).where("ancestor = descendant").select("lib", "ver", "link", F.col("ancestor").alias("fqn"), F.col("depth").alias("length"))
+
+
 QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p2_values": p2_values,
@@ -75,6 +90,9 @@ QUERIES: dict[str, Query] = {
     "p3_report": p3_report,
     "p4_found": p4_found,
     "p4_trees": p4_trees,
+    "p4_loops": p4_loops,
     "p5_found": p5_found,
+    "p5_types": p5_types,
+    "p5_parameters": p5_parameters,
     "p5_methods": p5_methods,
 }

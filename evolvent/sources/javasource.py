@@ -8,6 +8,7 @@ to be of the file's own package. Two passes over the files: the first collects t
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -19,8 +20,8 @@ from evolvent.model import PLATFORM, WIDENING
 from evolvent.session import ship_package, small_enough
 from evolvent.sources.classfile import DECODED
 
-#: Declared types of one source tree up to which their names are sent to the tasks.
-MOST_NAMES = 2_000_000
+#: Declared types of one source tree, and bytes of their names, up to which these are sent to the tasks.
+MOST_NAMES, NAME_BYTES = 500_000, 32_000_000
 
 _TOKEN = re.compile(
     r"""\s+|//[^\n]*|/\*.*?\*/|(?P<lit>\"\"\".*?\"\"\"|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])+'|\d(?:[\w.]|(?<=[eEpP])[+-])*)"""
@@ -39,8 +40,9 @@ _LANG = frozenset(
 _SOURCE_ONLY = frozenset({"java.lang.Override", "java.lang.SuppressWarnings"})
 
 
-def tokens(text: str) -> list[str]:
-    return [m[0] for m in _TOKEN.finditer(text) if m.lastgroup]
+def tokens(text: str) -> list[tuple[str, int]]:
+    """Tokens and where they begin."""
+    return [(m[0], m.start()) for m in _TOKEN.finditer(text) if m.lastgroup]
 
 
 @dataclass
@@ -60,13 +62,16 @@ class Raw:
     nested: list[Raw] = field(default_factory=list)
     components: list[dict] = field(default_factory=list)
     bodies: bool = False
+    line: int = -1
 
 
 class Reader:
     """Recursive descent over the tokens of one file."""
 
     def __init__(self, text: str):
-        self.t, self.i = tokens(text), 0
+        found = tokens(text)
+        self.t, self.starts, self.i = [x for x, _ in found], [at for _, at in found], 0
+        self.breaks = [i for i, c in enumerate(text) if c == "\n"]
         self.package, self.imports, self.wild, self.types, self.module = "", {}, [], [], None
 
     def peek(self, k: int = 0) -> str:
@@ -76,6 +81,10 @@ class Reader:
         self.i += 1
         return self.t[self.i - 1]
 
+    def line(self) -> int:
+        """The line of the token taken last."""
+        return bisect_left(self.breaks, self.starts[self.i - 1]) + 1
+
     def ok(self, x: str) -> bool:
         if self.peek() == x:
             self.i += 1
@@ -241,6 +250,7 @@ class Reader:
             word = "@" + self.take()
         kind = {"class": "CLASS", "interface": "INTERFACE", "enum": "ENUM", "record": "RECORD", "@interface": "ANNOTATION"}[word]
         r = Raw(self.take(), kind, mods, notes)
+        r.line = self.line()
         r.tps = self.formals()
         if kind == "RECORD":
             r.components = self.params()
@@ -262,13 +272,13 @@ class Reader:
     def constants(self, r: Raw) -> None:
         while self.peek() not in (";", "}"):
             _, notes = self.modifiers()
-            name = self.take()
+            name, line = self.take(), self.line()
             if self.peek() == "(":
                 self.skip_group()
             if self.peek() == "{":
                 self.skip_group()
                 r.bodies = True
-            r.fields.append({"name": name, "mods": ["PUBLIC", "STATIC", "FINAL"], "ref": r.name, "init": ["new"], "line": -1})
+            r.fields.append({"name": name, "mods": ["PUBLIC", "STATIC", "FINAL"], "ref": r.name, "init": ["new"], "line": line})
             self.ok(",")
         self.ok(";")
 
@@ -300,13 +310,15 @@ class Reader:
         tps = self.formals()
         if self.peek() == r.name and self.peek(1) in ("(", "{"):
             self.take()
+            line = self.line()
             compact = self.peek() == "{"
             params = r.components if compact else self.params()
-            self.executable(r, "<init>", "CONSTRUCTOR", mods, "void", params, tps)
+            self.executable(r, "<init>", "CONSTRUCTOR", mods, "void", params, tps, line)
             return
         ref, name = self.ref(), self.take()
+        line = self.line()
         if self.peek() == "(":
-            self.executable(r, name, "ANNOTATION_METHOD" if r.kind == "ANNOTATION" else "METHOD", mods, ref, self.params(), tps)
+            self.executable(r, name, "ANNOTATION_METHOD" if r.kind == "ANNOTATION" else "METHOD", mods, ref, self.params(), tps, line)
             return
         while True:
             full, init = ref + self.dims(), []
@@ -319,13 +331,13 @@ class Reader:
                     if x == "<" and depth == 0 and "new" in init:  # type arguments may hold commas
                         while self.peek() not in (">", ";"):
                             init.append(self.take())
-            r.fields.append({"name": name, "mods": mods, "ref": full, "init": init, "line": -1})
+            r.fields.append({"name": name, "mods": mods, "ref": full, "init": init, "line": line})
             if not self.ok(","):
                 break
-            name = self.take()
+            name, line = self.take(), self.line()
         self.need(";")
 
-    def executable(self, r: Raw, name: str, kind: str, mods: list[str], ref: str, params: list[dict], tps: list) -> None:
+    def executable(self, r: Raw, name: str, kind: str, mods: list[str], ref: str, params: list[dict], tps: list, line: int) -> None:
         ref += self.dims()
         thrown = self.refs() if self.ok("throws") else []
         default = self.ok("default")
@@ -335,7 +347,7 @@ class Reader:
         else:
             while not self.ok(";"):
                 self.skip_group() if self.peek() in "({[" else self.take()
-        r.execs.append({"name": name, "kind": kind, "mods": mods, "ref": ref, "params": params, "tps": tps, "thrown": thrown, "default": default, "body": body})
+        r.execs.append({"name": name, "kind": kind, "mods": mods, "ref": ref, "params": params, "tps": tps, "thrown": thrown, "default": default, "body": body, "line": line})
 
 
 def declared(unit: Reader) -> Iterator[str]:
@@ -457,7 +469,7 @@ def decode_unit(unit: Reader, known: frozenset[str], file: str) -> Iterator[dict
             "type": {
                 "fqn": fqn, "kind": r.kind, "visibility": vis, "modifiers": mods, "super_ref": (put(r.sup) if r.sup else "java.lang.Object") if r.kind == "CLASS" else None,
                 "interface_refs": [put(x) for x in r.ifs] + ["java.lang.annotation.Annotation"] * (r.kind == "ANNOTATION"), "tps": tps_of(r.tps, names), "enclosing": outer.fqn if outer else None,
-                "permitted": permits, "annotations": notes, "targets": targets, "file": file, "line": -1,
+                "permitted": permits, "annotations": notes, "targets": targets, "file": file, "line": r.line,
             },
             "fields": [x for f in r.fields if (x := _field(f, r, res, names, around))],
             "execs": [e for e in execs if e],
@@ -475,7 +487,7 @@ def _field(f: dict, r: Raw, res: Resolver, names: frozenset[str], around: list[s
     plain = bool(f["init"]) and not any(x in ("new", "(", "null") for x in f["init"])
     const = plain and "FINAL" in mods and (ref in WIDENING or ref == "java.lang.String")
     shown = [m for m in ("STATIC", "FINAL", "VOLATILE", "TRANSIENT") if m in mods]
-    return {"name": f["name"], "visibility": vis, "modifiers": shown, "type_ref": ref, "is_const": const, "line": -1}
+    return {"name": f["name"], "visibility": vis, "modifiers": shown, "type_ref": ref, "is_const": const, "line": f["line"]}
 
 
 def _executable(e: dict, r: Raw, res: Resolver, names: frozenset[str], around: list[str]) -> dict | None:
@@ -495,7 +507,7 @@ def _executable(e: dict, r: Raw, res: Resolver, names: frozenset[str], around: l
         "name": e["name"], "exec_kind": e["kind"], "visibility": vis, "modifiers": mods, "return_ref": put(e["ref"]),
         "params": [{"name": p["name"], "ref": put(p["ref"]), "varargs": p["varargs"]} for p in e["params"]],
         "tps": [{"name": n, "bounds": [put(b) for b in bs] or ["java.lang.Object"]} for n, bs in e["tps"]],
-        "thrown": [put(t) for t in e["thrown"]], "has_default": e["default"], "line": -1,
+        "thrown": [put(t) for t in e["thrown"]], "has_default": e["default"], "line": e.get("line", r.line),
     }
 
 
@@ -517,16 +529,18 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["fqn"])
 
 
-def _scan(batches: Iterator[pa.RecordBatch], known, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], schema: pa.Schema, known=None) -> Iterator[pa.RecordBatch]:
+    """Decode files of ``path, text``; the names they may mean are ``known``, or in a third column."""
     for b in batches:
         rows: list[dict] = []
-        for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        own = [known.value] * b.num_rows if known is not None else [frozenset(x or ()) for x in b.column(2).to_pylist()]
+        for path, text, names in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), own):
             base = {"path": path, "entry": path}
             try:
                 unit = read_unit(text or "")
                 name = path.rsplit("/", 1)[-1]
                 file = f"{unit.package.replace('.', '/')}/{name}" if unit.package else name
-                rows += [base | d for d in decode_unit(unit, known.value, file)]
+                rows += [base | d for d in decode_unit(unit, names, file)]
                 if unit.module:
                     rows.append(base | {"module": unit.module})
             except ValueError as e:
@@ -546,8 +560,11 @@ def scan_sources(spark: SparkSession, path: str) -> DataFrame:
     ship_package(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.java").load(path)
     files = files.where(~F.col("path").endswith("/package-info.java")).select("path", F.decode("content", "UTF-8").alias("text"))
-    names = files.mapInArrow(_names, "fqn string")
-    if not small_enough(names, MOST_NAMES):
-        raise ValueError(f"more than {MOST_NAMES} types in one source tree")
-    known = spark.sparkContext.broadcast(frozenset(r[0] for r in names.toLocalIterator()))
-    return files.mapInArrow(lambda it: _scan(it, known, schema), DECODED)
+    names = files.mapInArrow(_names, "fqn string").distinct()
+    if small_enough(names, MOST_NAMES, NAME_BYTES):
+        known = spark.sparkContext.broadcast(frozenset(names.toArrow()["fqn"].to_pylist()))
+        return files.mapInArrow(lambda it: _scan(it, schema, known), DECODED)
+    # A file can only mean types whose own name is one of its words: these come to it by exchange.
+    words = files.select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z_$][\w$]*"), F.lit(0)))).alias("word"))
+    near = words.join(names.withColumn("word", F.regexp_extract("fqn", r"([^.$]*)$", 1)), "word").groupBy("path").agg(F.collect_set("fqn").alias("known"))
+    return files.join(near, "path", "left").mapInArrow(lambda it: _scan(it, schema), DECODED)

@@ -86,7 +86,7 @@ def test_unreadable_sources(spark, tmp_path):
 
 
 def test_tokens():
-    assert tokens('a /* b */ "c // d" // e\n\'"\' """x"y""" 1e-3f @interface ->') == ["a", '"c // d"', "'\"'", '"""x"y"""', "1e-3f", "@interface", "->"]
+    assert [x for x, _ in tokens('a /* b */ "c // d" // e\n\'"\' """x"y""" 1e-3f @interface ->')] == ["a", '"c // d"', "'\"'", '"""x"y"""', "1e-3f", "@interface", "->"]
     assert read_unit("class A { int a = 1 < 2 ? 3 : 4, b; Map<String, int[]> c = new M<A, B>(1, 2); }").types[0].fields[2]["ref"] == "Map<String,int[]>"
 
 
