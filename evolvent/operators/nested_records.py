@@ -282,8 +282,8 @@ def nested_types(records: DataFrame) -> DataFrame:
     """``rec_id, type_path, parent_path, type_kind, qualified_name`` of all types; ``parent_path`` is empty for the outermost."""
     nodes = Stages(records.sparkSession, "nested").put(node_table(records, ("type",)), "types")
     inner = flat_table(nodes, "type")
-    outer = inner.select("rec_id", F.col("pre").alias("outer_pre"), F.col("post").alias("outer_post"), F.col("type_path").alias("parent_path"))
-    j = inner.join(outer, (inner.rec_id == outer.rec_id) & (F.col("parent_pre") == F.col("outer_pre")) & (F.col("outer_post") > F.col("post")), "left").drop(outer.rec_id)
+    outer = inner.select("rec_id", F.col("pre").alias("parent_pre"), F.col("post").alias("outer_post"), F.col("type_path").alias("parent_path"))
+    j = inner.join(outer, ["rec_id", "parent_pre"], "left").where("outer_post IS NULL OR outer_post > post")
     return j.select("rec_id", "type_path", F.coalesce("parent_path", F.lit("")).alias("parent_path"), F.coalesce("type_kind", F.lit("")).alias("type_kind"), "qualified_name")
 
 

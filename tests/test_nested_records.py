@@ -1,6 +1,9 @@
 import datetime as dt
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from evolvent.operators import nested_records as N
 
 SCHEMA = "rec_id bigint, written_at timestamp, payload string, pre string"
@@ -67,3 +70,28 @@ def test_flat_tables_link_by_containment(spark):
 def test_lone_surrogates(spark):
     t = {"allTypes": [{"typeKind": "\ud800", "formalTypeParameters": [{"bounds": ["b\udfff"]}]}]}
     assert found(spark, [(1, T0, json.dumps(t), None)]) == [(1, "0", "?", -1, 0, 0, "b?")]
+
+
+def test_any_depth_and_any_number_of_wraps(spark):
+    """10 000 levels of nested types, deep values in names, and JSON in 12 JSON strings."""
+    deep = '{"typeKind":"C","qualifiedName":"a","nestedTypes":[' * 10_000 + "]}" * 10_000
+    name = "[" * 20_000 + "]" * 20_000
+    wrapped = '{"allTypes":{"qualifiedName":"w"}}'
+    for _ in range(12):
+        wrapped = json.dumps(wrapped)
+    rows = [(1, '{"allTypes":[' + deep + "]}", T0), (2, '{"allTypes":{"qualifiedName":' + name + "}}", T0), (3, wrapped, T0), (4, '{"allTypes":[' + deep, T0)]
+    n = N.node_table(spark.createDataFrame(rows, "rec_id bigint, payload string, written_at timestamp"), ("type",))
+    got = {r["rec_id"]: (r["n"], r["l"]) for r in n.groupBy("rec_id").agg(F.count("*").alias("n"), F.max("level").alias("l")).collect()}
+    assert got == {1: (10_000, 10_000), 2: (1, 1), 3: (1, 1)}
+    assert n.where("rec_id = 2").first()["name"] == name
+
+
+@pytest.mark.parametrize("text", ['{"a": [1, -2.5e3, true, null, "x\\u00e9\\n", {}, []], "b": {"c": [[[]]]}}', " [] ", '"s"', "12", "[1,]", "{,}", '{"a" 1}', '{"a":1,}', "[1 2]", "", "nul", "[1]]", '{"a":"\\ud800"}', "[01]", "NaN"])
+def test_the_reader_of_any_depth_reads_what_json_does(text):
+    try:
+        want = json.loads(text)
+    except ValueError:
+        with pytest.raises(ValueError):
+            N.read_json(text)
+    else:
+        assert repr(N.read_json(text)) == repr(want)
