@@ -8,6 +8,7 @@ function only for pairs whose written types differ.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 from evolvent.functions import typealg as A
 from evolvent.model import BC_KINDS
 from evolvent.operators.api_model import KEY, PLATFORM_ANCESTORS, ApiModel, bounds_text, has
+from evolvent.operators.report import has_annotation, matches_any
 from evolvent.session import once, together
 
 PAIR = ["lib", "ver"]
@@ -25,12 +27,12 @@ TOLD = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("kin
 o, n = (lambda c: F.col(f"o.{c}")), (lambda c: F.col(f"n.{c}"))
 
 
-def finding(kind: str, when: Column, impacted: Column, symbol: Column, new: Column | None = None, old_d=None, new_d=None, file=None, line=None) -> Column:
+def finding(kind: str, when: Column, impacted: Column, symbol: Column, new: Column | None = None, old_d=None, new_d=None, file=None, line=None, owner=None) -> Column:
     none = F.lit(None).cast("string")
     s = F.struct(
         F.lit(kind).alias("kind"), impacted.alias("impacted_type"), symbol.alias("impacted_symbol"), (none if new is None else new).alias("new_symbol"),
         (none if old_d is None else old_d).alias("detail_old"), (none if new_d is None else new_d).alias("detail_new"),
-        (none if file is None else file).alias("file"), (F.lit(None) if line is None else line).cast("int").alias("line"),
+        (none if file is None else file).alias("file"), (F.lit(None) if line is None else line).cast("int").alias("line"), (impacted if owner is None else owner).alias("owner"),
     )
     return F.when(when, s)
 
@@ -266,7 +268,7 @@ class ApiDiff:
     @once
     def type_match(self) -> DataFrame:
         """``lib, ver, fqn, status, o, n`` of exported types; status MATCHED, REMOVED, ADDED or KIND_CHANGED."""
-        old, new = self._sides(self.model.seen_types.where("exported"), ["fqn"])
+        old, new = self._sides(self.model.seen_types.where("exported AND NOT outside"), ["fqn"])
         status = (
             F.when(F.col("n").isNull(), "REMOVED").when(F.col("o").isNull(), "ADDED").when(o("kind") != n("kind"), "KIND_CHANGED").otherwise("MATCHED")
         )
@@ -336,7 +338,8 @@ class ApiDiff:
             symbol = o("symbol") if member else F.col("fqn")
             file, line = member_place() if member else (o("file"), o("line"))
             new = n("symbol") if member else None
-            out.append(finding(r.kind, F.coalesce(ok, F.lit(False)), F.col("fqn"), symbol, new, r.detail_old, r.detail_new, file, line))
+            out.append(finding(r.kind, F.coalesce(ok, F.lit(False)), F.col("fqn"), symbol, new, r.detail_old, r.detail_new, file, line, o("owner") if member else None))
+        out = out or [finding("", F.lit(False), F.col("fqn"), F.col("fqn"))]
         found = F.filter(F.array(*out, *more), lambda x: x.isNotNull())
         return match.select(*PAIR, F.explode(found).alias("f")).select(*PAIR, "f.*")
 
@@ -395,6 +398,7 @@ class ApiDiff:
             *both("tps", tps), *both("params", params), F.coalesce(final, F.lit(False)).alias("final"),
             (has(o("modifiers"), "FINAL") if role == "f" else F.lit(False)).alias("o_final"), (o("is_const") if role == "f" else F.lit(False)).alias("constant"),
             (o("symbol") if member else F.col("fqn")).alias("o_symbol"), (n("symbol") if member else F.lit(None).cast("string")).alias("n_symbol"), file.alias("file"), line.alias("line"),
+            (o("owner") if member else F.col("fqn")).alias("owner"),
         )
         differs = F.lit(False)
         for c in ("ref", "params", "tps", "scope"):
@@ -415,7 +419,7 @@ class ApiDiff:
         out = rows.join(answers, [*PAIR, *asked]).withColumn("f", F.explode("f"))
         return out.select(
             *PAIR, "f.kind", F.col("fqn").alias("impacted_type"), F.col("o_symbol").alias("impacted_symbol"), F.col("n_symbol").alias("new_symbol"),
-            "f.detail_old", "f.detail_new", "file", F.col("line").cast("int").alias("line"),
+            "f.detail_old", "f.detail_new", "file", F.col("line").cast("int").alias("line"), "owner",
         )
 
     @once
@@ -444,13 +448,13 @@ class ApiDiff:
         """Checked exceptions that an executable no longer throws, or throws now."""
         exc = self.exceptions
         sides = []
-        for match, key, role in ((self.method_match, "erasure", "m"), (self.constructor_match, "erasure", "c")):
+        for match, role in ((self.method_match, "m"), (self.constructor_match, "c")):
             final = F.coalesce(F.lit(True) if role == "c" else old_final(), F.lit(False))
             file, line = member_place()
             sides.append(
                 match.where("status = 'MATCHED'").where((F.size(o("thrown_types")) > 0) | (F.size(n("thrown_types")) > 0)).select(
-                    *PAIR, "fqn", F.concat(F.lit(role), F.col(key)).alias("key"), final.alias("final"), o("thrown_types").alias("t1"), n("thrown_types").alias("t2"),
-                    o("symbol").alias("o_symbol"), n("symbol").alias("n_symbol"), file.alias("file"), line.alias("line"),
+                    *PAIR, "fqn", F.concat_ws("\x00", F.lit(role), o("symbol"), n("symbol")).alias("key"), final.alias("final"), o("thrown_types").alias("t1"), n("thrown_types").alias("t2"),
+                    o("symbol").alias("o_symbol"), n("symbol").alias("n_symbol"), file.alias("file"), line.alias("line"), o("owner").alias("owner"),
                 )
             )
         every = sides[0].unionByName(sides[1])
@@ -478,7 +482,7 @@ class ApiDiff:
         )
         return x.withColumn("f", F.explode(told)).select(
             *PAIR, "f.kind", F.col("fqn").alias("impacted_type"), F.col("o_symbol").alias("impacted_symbol"), F.col("n_symbol").alias("new_symbol"),
-            "f.detail_old", "f.detail_new", "file", F.col("line").cast("int").alias("line"),
+            "f.detail_old", "f.detail_new", "file", F.col("line").cast("int").alias("line"), "owner",
         )
 
     def _added_methods(self) -> DataFrame:
@@ -486,7 +490,7 @@ class ApiDiff:
         abstract = has(n("modifiers"), "ABSTRACT") & (has(OLD("modifiers"), "SEALED") | ~has(NEW("modifiers"), "SEALED")) & F.col("o_concrete")
         cols = lambda kind: (
             *PAIR, F.lit(kind).alias("kind"), F.col("fqn").alias("impacted_type"), F.col("fqn").alias("impacted_symbol"), n("symbol").alias("new_symbol"),
-            F.lit(None).cast("string").alias("detail_old"), n("symbol").alias("detail_new"), NEW("file").alias("file"), NEW("line").alias("line"),
+            F.lit(None).cast("string").alias("detail_old"), n("symbol").alias("detail_new"), NEW("file").alias("file"), NEW("line").alias("line"), F.col("fqn").alias("owner"),
         )
         added = "status = 'ADDED'"
         m = self.method_match.where(added).where(abstract).select(*cols("TYPE_NEW_ABSTRACT_METHOD"))
@@ -499,7 +503,7 @@ class ApiDiff:
         null = F.lit(None).cast("string")
         at = lambda kind, new, old_d, new_d: (
             *PAIR, F.lit(kind).alias("kind"), F.col("fqn").alias("impacted_type"), F.col("fqn").alias("impacted_symbol"), new.alias("new_symbol"),
-            old_d.alias("detail_old"), new_d.alias("detail_new"), "file", "line",
+            old_d.alias("detail_old"), new_d.alias("detail_new"), "file", "line", F.col("fqn").alias("owner"),
         )
         place = [o("file").alias("file"), o("line").alias("line")]
         lost_ = self.supertypes_removed().join(t.select(*PAIR, "fqn", *place), [*PAIR, "fqn"]).select(*at("TYPE_SUPERTYPE_REMOVED", null, F.col("lost"), null))
@@ -514,7 +518,7 @@ class ApiDiff:
         """Every finding once, with its kind's place in the report, nature and what it breaks.
 
         ``lib, ver, kind, impacted_type, impacted_symbol, new_symbol, detail_old, detail_new, file, line, kind_ordinal,
-        nature, binary_breaking, source_breaking``. Members that Object declares are not reported.
+        nature, binary_breaking, source_breaking``, and ``owner``, the type that declares the symbol. Members that Object declares are not reported.
         """
         own, seen = ("ancestors", "order", "scopes", "props", "executables", "fields"), ("seen_types", "all_methods", "effective_fields")
         matches = ("type_match", "field_match", "method_match", "constructor_match", "annotation_method_match", "exceptions", "gone")
@@ -531,6 +535,21 @@ class ApiDiff:
         told = out.where(~F.startswith(F.col("impacted_symbol"), F.lit("java.lang.Object.")))
         return self.stages.put(told.dropDuplicates().join(F.broadcast(kinds), "kind"), "breaking_changes")
 
+    def reported(self, names: Sequence[str] = (), annotations: Sequence[tuple[str, dict[str, str]]] = ()) -> DataFrame:
+        """The breaking changes but those of excluded symbols, by the older version.
+
+        A type is excluded if a pattern of ``names`` matches its whole name, if it carries one of ``annotations`` (name,
+        values), or if a type around it is excluded; a member with the type that declares it, or by its own name.
+        """
+        hit = matches_any(F.col("fqn"), names)
+        for name, values in annotations:
+            hit = hit | has_annotation(F.col("annotations"), name, values)
+        own = self.model.types.where(hit).select(*KEY, "fqn")
+        inner = self.model.nesting().join(own.withColumnRenamed("fqn", "ancestor"), [*KEY, "ancestor"], "left_semi").select(*KEY, F.col("descendant").alias("fqn"))
+        out = own.unionByName(inner).join(self.model.order.where("next_ver IS NOT NULL").select(*KEY, "next_ver"), KEY)
+        out = out.select("lib", F.col("next_ver").alias("ver"), F.col("fqn").alias("owner")).distinct()
+        return self.breaking_changes.join(out, [*PAIR, "owner"], "left_anti").where(~matches_any(F.col("impacted_symbol"), names))
+
     def type_findings(self) -> DataFrame:
         return self._fire(self.type_match, self.rules.types, member=False)
 

@@ -30,7 +30,7 @@ from evolvent.operators.type_hierarchy import type_ancestors
 from evolvent.session import Stages, once
 
 KEY = ["lib", "ver"]
-VALUES = ("kind", "visibility", "modifiers", "super_ref", "interface_refs", "tps", "enclosing", "permitted", "annotations", "targets", "file", "line")
+VALUES = ("kind", "visibility", "modifiers", "super_ref", "interface_refs", "tps", "enclosing", "permitted", "annotations", "targets", "file", "line", "outside")
 EMPTY = "array<string>"
 
 
@@ -86,6 +86,7 @@ def type_rows(types: DataFrame) -> DataFrame:
         annotated("java.lang.annotation.Repeatable").alias("repeatable"),
         "file",
         "line",
+        "outside",
     )
 
 
@@ -275,13 +276,23 @@ class ApiModel:
 
     ``exports`` (lib, ver, pkg) lists the exported packages of snapshots that have a named module; a snapshot without
     rows there exports everything. ``snapshots`` orders the versions of a library. Snapshots of more than ``group_rows``
-    types are closed by distributed rounds (:mod:`api_rounds`).
+    types are closed by distributed rounds (:mod:`api_rounds`). ``outside`` are the same three tables of what else
+    resolves (a classpath), by the snapshot that it serves: its types are supertypes, exceptions and owners of members
+    like any others, but have no findings of their own; where a library declares a type itself, that one counts.
     """
 
     def __init__(
-        self, types: DataFrame, execs: DataFrame, fields: DataFrame, snapshots: DataFrame, exports: DataFrame | None = None, group_rows: int = GROUP_ROWS
-    ):
+        self, types: DataFrame, execs: DataFrame, fields: DataFrame, snapshots: DataFrame, exports: DataFrame | None = None, group_rows: int = GROUP_ROWS,
+        outside: tuple[DataFrame, DataFrame, DataFrame] | None = None,
+    ):
         self.group_rows = group_rows
+        types = types.withColumn("outside", F.lit(False))
+        if outside is not None:
+            own = types.select(*KEY, "fqn").distinct()
+            more = outside[0].join(own, [*KEY, "fqn"], "left_anti").withColumns({"outside": F.lit(True), "file": F.lit(None).cast("string"), "line": F.lit(None).cast("int")})
+            owned = [d.join(own.withColumnRenamed("fqn", "owner"), [*KEY, "owner"], "left_anti").withColumn("line", F.lit(None).cast("int")) for d in outside[1:]]
+            types, execs = types.unionByName(more, True), execs.unionByName(owned[0], True)
+            fields = fields.unionByName(owned[1].withColumn("file", F.lit(None).cast("string")), True)
         self._types, self._execs, self._fields, self._snapshots, self._exports = types, execs, fields, snapshots, exports
         self.spark = types.sparkSession
         self.stages = Stages(self.spark, "api")
@@ -386,6 +397,14 @@ class ApiModel:
         x = self._execs.where("exec_kind = 'CONSTRUCTOR' AND visibility IN ('PUBLIC', 'PROTECTED') AND name IS NOT NULL")
         return x.select(*KEY, F.col("owner").alias("fqn")).distinct()
 
+    def nesting(self) -> DataFrame:
+        """``lib, ver, link, ancestor, descendant, depth``: the types around each type."""
+        none = F.lit(None)
+        rows = self.types.select(
+            *KEY, "fqn", none.cast("string").alias("super_ref"), none.cast(EMPTY).alias("interface_refs"), "enclosing", none.cast("timestamp").alias("loaded_at")
+        )
+        return type_ancestors(rows, self.group_rows, ("enclosing",))
+
     @once
     def scopes(self) -> DataFrame:
         """``lib, ver, owner, owner_kind, owner_file, type_tps, scope``: ``scope`` are the type parameters in view of a
@@ -393,11 +412,7 @@ class ApiModel:
         t = self.types.select(*KEY, F.col("fqn").alias("owner"), F.col("kind").alias("owner_kind"), F.col("file").alias("owner_file"), F.col("tps").alias("type_tps"))
         # Only what is nested in a generic type sees more than its own.
         generic = self.types.where("size(tps) > 0").select(*KEY, F.col("fqn").alias("ancestor"), F.col("tps").alias("outer"))
-        none = F.lit(None)
-        rows = self.types.select(
-            *KEY, "fqn", none.cast("string").alias("super_ref"), none.cast(EMPTY).alias("interface_refs"), "enclosing", none.cast("timestamp").alias("loaded_at")
-        )
-        around = type_ancestors(rows, self.group_rows, ("enclosing",)).where("ancestor <> descendant").join(generic, [*KEY, "ancestor"])
+        around = self.nesting().where("ancestor <> descendant").join(generic, [*KEY, "ancestor"])
         # One element for each level of nesting.
         outer = around.groupBy(*KEY, F.col("descendant").alias("owner")).agg(F.array_sort(F.collect_list(F.struct("depth", "ancestor", "outer"))).alias("o"))
         seen = F.flatten(F.transform(F.coalesce("o", F.array().cast(outer.schema["o"].dataType)), lambda x: x["outer"]))
@@ -611,9 +626,10 @@ class ApiModel:
 
     def api_card(self) -> DataFrame:
         """Per snapshot: types, exported types, exported methods and declared fields of exported types."""
-        t = self.seen_types.groupBy(*KEY).agg(F.count("*").alias("n_types"), F.count_if("exported").alias("n_exported"))
-        m = self.effective_methods.groupBy(*KEY).agg(F.count("*").alias("n_methods"))
-        shown = self.seen_types.where("exported").select(*KEY, F.col("fqn").alias("owner"))
+        t = self.seen_types.where("NOT outside").groupBy(*KEY).agg(F.count("*").alias("n_types"), F.count_if("exported").alias("n_exported"))
+        mine = self.types.where("NOT outside").select(*KEY, "fqn")
+        m = self.effective_methods.join(mine, [*KEY, "fqn"], "left_semi").groupBy(*KEY).agg(F.count("*").alias("n_methods"))
+        shown = self.seen_types.where("exported AND NOT outside").select(*KEY, F.col("fqn").alias("owner"))
         f = self.fields.join(shown, [*KEY, "owner"], "left_semi").groupBy(*KEY).agg(F.count("*").alias("n_fields"))
         zero = {"n_methods": F.coalesce("n_methods", F.lit(0)), "n_fields": F.coalesce("n_fields", F.lit(0))}
         return t.join(m, KEY, "left").join(f, KEY, "left").withColumns(zero)

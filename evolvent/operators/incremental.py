@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evolvent.operators.declarations import latest_types
 from evolvent.operators.snapshot_diff import field_fingerprint, fingerprint, list_key, method_fingerprint, set_key, snapshot_order, tps_key
+from evolvent.session import Stages
 
 #: What a type says of itself, with its file.
 TYPE_VALUES = ("kind", "visibility", "modifiers", "super_ref", "interface_refs", "tps", "enclosing", "permitted", "annotations", "targets", "file")
@@ -17,10 +20,21 @@ FILE_VALUES = ("kind", "visibility", "super_ref", "line", "file")
 def scan_files(spark: SparkSession, path: str, pattern: str = "*.java") -> DataFrame:
     """``path, hash, modified`` of the files below a folder; a file that cannot be read has a null hash."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    relative = F.regexp_replace(F.col("path"), f"^.*{path.rstrip('/').rsplit('/', 1)[-1]}/", "")
+    relative = relative_path(spark, path)
     return files.where(~F.col("path").endswith("/package-info.java")).select(relative.alias("path"), F.xxhash64("content").alias("hash"), F.col("modificationTime").alias("modified"))
 
 
+def relative_path(spark: SparkSession, root: str) -> Column:
+    """A file's ``path`` below ``root``: the qualified root is cut off by its length, whatever characters it holds."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    whole = fs.makeQualified(p).toString().rstrip("/") + "/"
+    # Listings write a local root with one slash or three.
+    bare = F.regexp_replace("path", "^file:/+", "file:/")
+    cut = re.sub("^file:/+", "file:/", whole)
+    return F.when(F.startswith(bare, F.lit(cut)), F.substring(bare, len(cut) + 1, 1 << 30)).otherwise(F.col("path"))
+
+
 def changed_files(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, status`` of files that are deleted, created or updated; a missing hash on either side counts as updated."""
     o, n = old.select(*keys, F.col("hash").alias("h1"), F.lit(True).alias("in_old")), new.select(*keys, F.col("hash").alias("h2"), F.lit(True).alias("in_new"))
@@ -121,3 +135,21 @@ def rebuilt_members(types: DataFrame, execs: DataFrame, fields: DataFrame, snaps
     rows = (d.drop("line", "file", "org").join(of, ["lib", "ver", "owner"]) for d in (execs, fields))
     methods, members = (_rebuilt(r, changes, snapshots).drop("file").distinct() for r in rows)
     return methods, members
+
+
+def incremental_sources(spark: SparkSession, old: str, new: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(decoded types of ``old``, those of ``new``, changed files): of the newer tree only new and changed files are decoded.
+
+    What the other files declare is taken over from the older tree. Both results have the schema of ``scan_sources``.
+    """
+    from evolvent.sources.javasource import scan_sources
+
+    changes = changed_files(scan_files(spark, old), scan_files(spark, new), ["path"])
+    stages = Stages(spark, "incremental")
+    changes = stages.put(changes, "changes")
+    before = stages.put(scan_sources(spark, old).withColumn("at", relative_path(spark, old)), "old")
+    dropped = changes.where("status IN ('deleted', 'updated')").select(F.col("path").alias("at"))
+    kept = before.join(dropped, "at", "left_anti")
+    fresh = changes.where("status IN ('created', 'updated')").select("path")
+    parsed = scan_sources(spark, new, only=fresh, more=kept.where("type IS NOT NULL").select("type.fqn"))
+    return before.drop("at"), kept.drop("at").unionByName(parsed), changes

@@ -221,12 +221,34 @@ def as_text(report: DataFrame) -> Iterator[str]:
         yield f"{mark} {r['symbol']} {r['kind']}" + ("" if local else f" in {r['type']}") + (f" ({r['location']})" if r["location"] else "") + "\n"
 
 
-def as_html(report: DataFrame) -> Iterator[str]:
+def as_html(report: DataFrame, cards: DataFrame | None = None) -> Iterator[str]:
+    """A page: totals, the APIs that were compared (``cards``: label, n_types, n_exported, n_methods, n_fields), impacted types by
+    package with their numbers of findings, then each type's findings by symbol."""
+    e = lambda x: html.escape(str(x or ""))
     total, binary, source = _counts(report)
-    yield f"<!doctype html><meta charset=utf-8><title>Breaking changes</title><h1>Breaking changes</h1><p>{total} in all, {binary} binary, {source} source.</p>\n<table>\n<tr>"
-    yield "".join(f"<th>{c}</th>" for c in REPORT_COLUMNS) + "</tr>\n"
+    yield "<!doctype html><meta charset=utf-8><title>Breaking changes</title>\n<h1>Breaking changes</h1>\n"
+    yield f"<p>{total} in all, {binary} binary, {source} source.</p>\n"
+    for c in cards.toLocalIterator() if cards is not None else ():
+        yield f"<section class=api><h3>{e(c['label'])}</h3><p>{c['n_exported']} of {c['n_types']} types exported, {c['n_methods']} methods, {c['n_fields']} fields</p></section>\n"
+    if not total:
+        yield "<p>None.</p>\n"
+        return
+    types = report.groupBy("impacted_type").agg(F.count("*").alias("n"), F.bool_or("binary_breaking").alias("b"), F.bool_or("source_breaking").alias("s"))
+    last = None
+    for t in types.withColumn("pkg", package_name(F.col("impacted_type"))).orderBy("pkg", "impacted_type").toLocalIterator():
+        if t["pkg"] != last:
+            yield ("</ul>\n" if last is not None else "") + f"<h2>{e(t['pkg'])}</h2>\n<ul>\n"
+            last = t["pkg"]
+        yield f"<li><a href='#{e(t['impacted_type'])}'>{e(t['impacted_type'])}</a> {t['n']}{' binary' if t['b'] else ''}{' source' if t['s'] else ''}</li>\n"
+    yield "</ul>\n"
+    shown = None, None
     for r in _rows(report):
-        yield "<tr>" + "".join(f"<td>{html.escape(r[c] or '')}</td>" for c in REPORT_COLUMNS) + "</tr>\n"
+        if r["type"] != shown[0]:
+            yield ("</table>\n" if shown[0] is not None else "") + f"<h2 id='{e(r['type'])}'>{e(r['type'])}</h2>\n<table>\n"
+        if (r["type"], r["symbol"]) != shown:
+            yield f"<tr><th colspan=8>{e(r['symbol'])}</th></tr>\n"
+        shown = r["type"], r["symbol"]
+        yield "<tr>" + "".join(f"<td>{e(r[c])}</td>" for c in REPORT_COLUMNS) + "</tr>\n"
     yield "</table>\n"
 
 

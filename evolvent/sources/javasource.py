@@ -549,9 +549,11 @@ def _scan(batches: Iterator[pa.RecordBatch], schema: pa.Schema, known=None) -> I
             yield pa.RecordBatch.from_pylist(rows[i : i + 2_000], schema=schema)
 
 
-def scan_sources(spark: SparkSession, path: str) -> DataFrame:
+def scan_sources(spark: SparkSession, path: str, only: DataFrame | None = None, more: DataFrame | None = None) -> DataFrame:
     """One row for each type or module of the ``.java`` files below ``path``, in the schema of decoded class files.
 
+    ``only`` chooses files by their ``path`` below that folder; ``more`` are names (``fqn``) declared elsewhere.
+
     Files that cannot be read give a row with ``error``; ``package-info.java`` is left out.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -560,7 +562,12 @@ def scan_sources(spark: SparkSession, path: str) -> DataFrame:
     ship_package(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.java").load(path)
     files = files.where(~F.col("path").endswith("/package-info.java")).select("path", F.decode("content", "UTF-8").alias("text"))
-    names = files.mapInArrow(_names, "fqn string").distinct()
+    if only is not None:
+        from evolvent.operators.incremental import relative_path
+
+        files = files.withColumn("below", relative_path(spark, path)).join(only.select(F.col("path").alias("below")), "below", "left_semi").drop("below")
+    names = files.mapInArrow(_names, "fqn string")
+    names = (names if more is None else names.unionByName(more.select("fqn"))).distinct()
     if small_enough(names, MOST_NAMES, NAME_BYTES):
         known = spark.sparkContext.broadcast(frozenset(names.toArrow()["fqn"].to_pylist()))
         return files.mapInArrow(lambda it: _scan(it, schema, known), DECODED)

@@ -7,6 +7,7 @@ out with references as written text.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -128,7 +129,7 @@ def decode_payloads(records: DataFrame, key_col: str, payload_col: str) -> DataF
 def read_snapshots(spark, path: str) -> DataFrame:
     """Snapshot files, one to a file."""
     ship_package(spark)
-    files = spark.read.option("wholetext", True).text(path).withColumn("at", F.input_file_name())
+    files = spark.read.text(path, wholetext=True).withColumn("at", F.input_file_name())
     return decode_payloads(files, "at", "value")
 
 
@@ -141,18 +142,39 @@ def to_json(types: DataFrame, execs: DataFrame, fields: DataFrame) -> DataFrame:
     kinds = F.create_map(*[F.lit(x) for k, v in TYPE_KINDS.items() for x in (v, k)])
     tps = lambda c: F.transform(c, lambda t: F.struct(t["name"].alias("name"), t["bounds"].alias("bounds")))
     params = F.transform("params", lambda p: F.struct(p["name"].alias("name"), p["ref"].alias("type"), p["varargs"].alias("isVarargs")))
+    at = lambda file, line: F.struct(file.alias("path"), line.alias("line")).alias("location")
     x = F.struct(
         F.concat_ws(".", "owner", "name").alias("qualifiedName"), "visibility", "modifiers", F.col("return_ref").alias("type"), params.alias("parameters"),
-        tps("tps").alias("formalTypeParameters"), F.col("thrown").alias("thrownExceptions"), F.col("has_default").alias("hasDefault"), "exec_kind",
+        tps("tps").alias("formalTypeParameters"), F.col("thrown").alias("thrownExceptions"), F.col("has_default").alias("hasDefault"), "exec_kind", at(F.lit(None).cast("string"), F.col("line")),
     )
-    f = F.struct(F.concat_ws(".", "owner", "name").alias("qualifiedName"), "visibility", "modifiers", F.col("type_ref").alias("type"), F.col("is_const").alias("compileTimeConstant"))
+    f = F.struct(F.concat_ws(".", "owner", "name").alias("qualifiedName"), "visibility", "modifiers", F.col("type_ref").alias("type"), F.col("is_const").alias("compileTimeConstant"), at(F.col("file"), F.col("line")))
+    notes = F.transform("annotations", lambda a: F.struct(a["fqn"].alias("annotation"), a["values"].alias("values"))).alias("annotations")
     es, fs = execs.groupBy(*key).agg(F.collect_list(x).alias("es")), fields.groupBy(*key).agg(F.collect_list(f).alias("fs"))
-    j = types.withColumnRenamed("fqn", "owner").drop("file", "line").join(es, key, "left").join(fs, key, "left")
+    j = types.withColumnRenamed("fqn", "owner").join(es, key, "left").join(fs, key, "left")
     of = lambda k: F.transform(F.filter("es", lambda e: e["exec_kind"] == k), lambda e: e.dropFields("exec_kind"))
     body = F.struct(
         F.element_at(kinds, F.col("kind")).alias("typeKind"), F.col("owner").alias("qualifiedName"), "visibility", "modifiers", F.col("super_ref").alias("superClass"),
         F.col("interface_refs").alias("implementedInterfaces"), tps("tps").alias("formalTypeParameters"), F.col("enclosing").alias("enclosingType"),
-        F.col("permitted").alias("permittedTypes"), "targets", of("METHOD").alias("methods"), of("CONSTRUCTOR").alias("constructors"),
+        F.col("permitted").alias("permittedTypes"), "targets", notes, at(F.col("file"), F.col("line")), of("METHOD").alias("methods"), of("CONSTRUCTOR").alias("constructors"),
         of("ANNOTATION_METHOD").alias("annotationMethods"), F.col("fs").alias("fields"),
     )
     return j.select("lib", "ver", F.col("owner").alias("fqn"), F.to_json(body).alias("json"))
+
+
+def write_snapshots(tables: dict[str, DataFrame], path: str) -> None:
+    """A library's types as JSON lines, one type with its members to a line, sorted by name, in parallel files."""
+    to_json(tables["type_decl"], tables["exec_decl"], tables["field_decl"]).orderBy("lib", "ver", "fqn").select("json").write.mode("overwrite").text(path)
+
+
+def write_snapshot(tables: dict[str, DataFrame], library: str, file: str) -> None:
+    """A library as one snapshot file of all its types, sorted by name; it is written one partition at a time.
+
+    :func:`read_snapshots` reads it back."""
+    modules = sorted(r[0] for r in tables["module_export"].select("pkg").distinct().toLocalIterator()) if "module_export" in tables else []
+    head = {"library": library, "module": {"qualifiedName": None, "exports": modules}}
+    rows = to_json(tables["type_decl"], tables["exec_decl"], tables["field_decl"]).orderBy("lib", "ver", "fqn").select("json")
+    with open(file, "w", encoding="utf-8") as f:
+        f.write(json.dumps(head)[:-1] + ', "allTypes": [')
+        for i, r in enumerate(rows.toLocalIterator()):
+            f.write((",\n" if i else "\n") + r[0])
+        f.write("\n]}\n")
