@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from operator import itemgetter
@@ -129,9 +130,12 @@ def measures(segment: str, ids: list[int], flags: int) -> tuple[float, ...]:
     ``ids`` are the hashes of its words, ``flags`` the sum of their flags.
     """
     n, size = max(1, len(ids)), max(1, len(segment))
-    pairs = Counter(zip(ids, ids[1:]))
-    pairs.pop((_NUMBER, _NUMBER), None)
-    repeat = sum(c for c in pairs.values() if c > 1) / max(1, len(ids) - 1)
+    pairs = list(zip(ids, ids[1:]))
+    repeat = 0.0
+    if len(set(pairs)) < len(pairs):
+        counts = Counter(pairs)
+        counts.pop((_NUMBER, _NUMBER), None)
+        repeat = sum(c for c in counts.values() if c > 1) / len(pairs)
     brief = min(1.0, sum(k for p in _PHRASE.split(segment) if (k := len(p.split())) < 6) / n)
     link = 0.0
     if "://" in segment or "<" in segment or "](" in segment:
@@ -176,21 +180,35 @@ def _segment_rows(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> It
     """The one pass over the texts: each segment with the measures of its own and the hashes of its words."""
     words, first, second = _Words(), itemgetter(0), itemgetter(1)
     names = ["doc", "seg", "size", *_BASE, "words"]
-    types = [id_type, pa.int32(), pa.int64(), *[pa.float32()] * len(_BASE), pa.list_(pa.int64())]
+    docs: list = []
+    numbers: list[tuple[int, int]] = []
+    told: list[tuple[float, ...]] = []
+    flat, lengths = array("q"), array("i")
+
+    def flush() -> pa.RecordBatch:
+        at, base = np.array(numbers, dtype=np.int64), np.array(told, dtype=np.float32)
+        ends = np.concatenate([[0], np.cumsum(np.frombuffer(lengths, dtype=np.int32))]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(flat, dtype=np.int64).copy() if flat else np.empty(0, dtype=np.int64)))
+        cols = [pa.array(docs, id_type), pa.array(at[:, 0].astype(np.int32)), pa.array(at[:, 1]), *(pa.array(base[:, i]) for i in range(len(_BASE))), ids]
+        return pa.RecordBatch.from_arrays(cols, names=names)
+
     for b in batches:
         if len(words) > KNOWN_WORDS:
             words.clear()
-        rows: list[tuple] = []
         for doc, t in zip(b.column(0).to_pylist(), b.column(1)):
             for no, (s, w) in enumerate(segments(t.as_py() or "")):
                 known = list(map(words.__getitem__, w))
                 ids = list(map(first, known))
-                rows.append((doc, no, len(s), *measures(s, ids, sum(map(second, known))), ids))
-                if len(rows) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-                    rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                docs.append(doc)
+                numbers.append((no, len(s)))
+                told.append(measures(s, ids, sum(map(second, known))))
+                flat.extend(ids)
+                lengths.append(len(ids))
+                if len(docs) >= 20_000:
+                    yield flush()
+                    docs, numbers, told, flat, lengths = [], [], [], array("q"), array("i")
+    if docs:
+        yield flush()
 
 
 def _lookup(sorted_keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
