@@ -40,6 +40,16 @@ def terms_of(value: Column, separators: str = "[;|,]") -> Column:
     return F.filter(pieces, lambda p: p != "")
 
 
+#: Hadoop's names of object stores by those of Arrow. Fixed values.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
+def shared_filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system and path of the shared folder as a task sees them, whichever of its names the store is called by."""
+    scheme, colon, rest = uri.partition("://")
+    return pyarrow.fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}{colon}{rest}" if colon else uri)
+
+
 class _Spill:
     """Files of one level, one for each value of the next hash bits, in the shared folder."""
 
@@ -98,39 +108,37 @@ def _aggregate(tables: Iterator[pa.Table], rows: int, fs, root: str, shift: int,
     level = _Spill(fs, f"{root}/{shift}-{uuid.uuid4().hex[:8]}", shift)
     try:
         for t in tables:
-            level.add(t)
+            level.add(_duckdb_sums(t, scratch))  # a term has one row of a block, so one hot term does not fill its file
         level.close()
         for b, n in sorted(level.rows.items()):
-            # A file that took every row may be one term: sum it up by blocks first, which also shrinks it.
-            part = level.read(b)
-            if n == rows:
-                summed = pa.concat_tables([_duckdb_sums(t, scratch) for t in part])
-                part, n = iter([summed]), summed.num_rows
-            yield from _aggregate(part, n, fs, f"{root}/{b}", shift - RADIX_BITS, scratch, limit)
+            yield from _aggregate(level.read(b), n, fs, f"{root}/{b}", shift - RADIX_BITS, scratch, limit)
     finally:
         fs.delete_dir(level.root)
 
 
 def _task(batches: Iterator[pa.RecordBatch], uri: str, limit: int, hold: int) -> Iterator[pa.RecordBatch]:
-    fs, base = pyarrow.fs.FileSystem.from_uri(uri)
-    root = f"{base}/terms-{uuid.uuid4().hex}"
-    scratch = f"{root}/duckdb" if isinstance(fs, pyarrow.fs.LocalFileSystem) else None
+    """Sums of a task's rows by term. The shared folder is opened only by a task that holds more than ``hold`` rows."""
     held: list[pa.RecordBatch] = []
-    n, spill = 0, None
+    n, spill, fs, root, scratch = 0, None, None, "", None
     top = 64 - RADIX_BITS
     try:
         for b in batches:
             held.append(b)
             n += b.num_rows
             if n > hold:
-                spill = spill or _Spill(fs, f"{root}/top", top)
-                spill.add(pa.Table.from_batches(held))
+                if spill is None:
+                    fs, base = shared_filesystem(uri)
+                    root = f"{base}/terms-{uuid.uuid4().hex}"
+                    # Elsewhere DuckDB keeps to memory: what it sums at once is at most a file of ``limit`` rows.
+                    scratch = f"{root}/duckdb" if isinstance(fs, pyarrow.fs.LocalFileSystem) else None
+                    spill = _Spill(fs, f"{root}/top", top)
+                spill.add(_duckdb_sums(pa.Table.from_batches(held), scratch))
                 held, n = [], 0
         if spill is None:
             outs = iter([_duckdb_sums(pa.Table.from_batches(held), scratch)] if held else [])
         else:
             if held:
-                spill.add(pa.Table.from_batches(held))
+                spill.add(_duckdb_sums(pa.Table.from_batches(held), scratch))
             spill.close()
             outs = (
                 o
@@ -140,7 +148,7 @@ def _task(batches: Iterator[pa.RecordBatch], uri: str, limit: int, hold: int) ->
         for o in outs:
             yield from o.select(["term", "n", "g"]).cast(pa.schema([("term", pa.string()), ("n", pa.int64()), ("g", pa.int64())])).to_batches()
     finally:
-        if fs.get_file_info(root).type != pyarrow.fs.FileType.NotFound:
+        if fs is not None and fs.get_file_info(root).type != pyarrow.fs.FileType.NotFound:
             fs.delete_dir(root)
 
 

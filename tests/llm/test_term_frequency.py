@@ -48,3 +48,19 @@ def test_against_counter_when_spilling_and_with_a_hot_term(spark, kw):
             groups[t].add(g)
     got = run(spark, rows(*data), **kw)
     assert {t: x[:2] for t, x in got.items()} == {t: (n[t], len(groups[t])) for t in n}
+
+
+def test_object_stores_by_their_hadoop_names(monkeypatch):
+    """A task that does not spill never opens the shared folder; one that does maps the store's name."""
+    import pyarrow as pa
+
+    import evolvent.llm.term_frequency as TF
+
+    asked = []
+    rows = pa.RecordBatch.from_pydict({"th": pa.array([1, 1, 2], pa.int64()), "term": ["a", "a", "b"], "n": pa.array([1, 2, 3], pa.int64()), "g": pa.array([1, 1, 1], pa.int64())})
+    got = {r["term"]: (r["n"], r["g"]) for b in TF._task(iter([rows]), "s3a://nowhere/x", 10, 10) for r in b.to_pylist()}
+    assert got == {"a": (3, 2), "b": (3, 1)}
+    monkeypatch.setattr(TF, "pyarrow", type("P", (), {"fs": type("F", (), {"FileSystem": type("S", (), {"from_uri": staticmethod(lambda u: asked.append(u))})})}))
+    for uri in ("s3a://b/x", "wasbs://c@a/x", "hdfs://n/x", "file:///x", "/x"):
+        TF.shared_filesystem(uri)
+    assert asked == ["s3://b/x", "abfss://c@a/x", "hdfs://n/x", "file:///x", "/x"]
