@@ -50,8 +50,118 @@ STRATEGIES: list[tuple[str, str, str]] = [
     ("field", "RemoveModifierFinalField", "array_contains(modifiers, 'FINAL')"),
     ("field", "RemoveModifierStaticField", "array_contains(modifiers, 'STATIC')"),
     ("field", "ChangeTypeField", "type_ref <> 'java.lang.Thread'"),
+    ("field", "RemoveEnumValue", "of_enum AND type_ref = owner AND array_contains(modifiers, 'STATIC') AND array_contains(modifiers, 'FINAL')"),
 ]
 
+# The long name of each change of a symbol; {0} is the symbol, {1} what declares it. "Thread" and the like are what the change brings.
+LONG_NAMES: dict[str, str] = {
+    "RemoveType": "RemoveType{0}",
+    "ReduceVisibilityType": "Reduce{0}VisibilityToPackagePrivate",
+    "AddModifierAbstractType": "AddAbstractModifierTo{0}",
+    "AddModifierFinalType": "AddFinalModifierTo{0}",
+    "RemoveModifierFinalType": "RemoveFinalModifierIn{0}",
+    "RemoveModifierAbstractType": "RemoveAbstractModifierIn{0}",
+    "AddAbstractMethodType": "AddMethodToType{0}",
+    "AddImplementedInterfaceType": "AddImplementedInterfaceToType{0}",
+    "RemoveImplementedInterfaceType": "RemoveImplementedInterfaceRunnableFromType{0}",
+    "AddSuperClassClass": "AddSuperClassToClass{0}",
+    "RemoveSuperClassClass": "RemoveSuperClassFromClass{0}",
+    "AddRecordComponent": "AddRecordComponentIntToRecord{0}",
+    "ChangeRecordComponent": "ChangeRecordComponentP0ToThreadFromRecord{0}",
+    "RemoveRecordComponent": "RemoveRecordComponentP0FromRecord{0}",
+    "RemoveConstructor": "RemoveConstructor{0}In{1}",
+    "ChangeVisibilityConstructor": "ReduceConstructor{0}In{1}VisibilityToPackagePrivate",
+    "AddParameterConstructor": "AddParameterIntToConstructor{0}In{1}",
+    "ChangeParameterConstructor": "ChangeParameterP0ToThreadFromConstructor{0}In{1}",
+    "RemoveParameterConstructor": "RemoveParameterP0FromConstructor{0}In{1}",
+    "AddExceptionConstructor": "AddExceptionInterruptedExceptionToConstructor{0}In{1}",
+    "RemoveExceptionConstructor": "RemoveExceptionFirstFromConstructor{0}In{1}",
+    "RemoveMethod": "RemoveMethod{0}In{1}",
+    "ChangeVisibilityMethod": "ReduceMethod{0}In{1}VisibilityToPackagePrivate",
+    "AddModifierFinalMethod": "AddModifierFinalToMethod{0}In{1}",
+    "AddModifierStaticMethod": "AddModifierStaticToMethod{0}In{1}",
+    "RemoveModifierFinalMethod": "RemoveModifierFinalToMethod{0}In{1}",
+    "RemoveModifierStaticMethod": "RemoveModifierStaticToMethod{0}In{1}",
+    "ChangeTypeMethod": "ChangeMethod{0}In{1}TypeToThread",
+    "AddParameterMethod": "AddParameterIntToMethod{0}In{1}",
+    "ChangeParameterMethod": "ChangeParameterP0ToThreadFromMethod{0}In{1}",
+    "RemoveParameterMethod": "RemoveParameterP0FromMethod{0}In{1}",
+    "AddExceptionMethod": "AddExceptionInterruptedExceptionToMethod{0}In{1}",
+    "RemoveExceptionMethod": "RemoveExceptionFirstFromMethod{0}In{1}",
+    "RemoveField": "RemoveField{0}In{1}",
+    "ChangeVisibilityField": "ReduceField{0}In{1}VisibilityToPackagePrivate",
+    "AddModifierFinalField": "AddModifierFinalToField{0}In{1}",
+    "AddModifierStaticField": "AddModifierStaticToField{0}In{1}",
+    "RemoveModifierFinalField": "RemoveModifierFinalToField{0}In{1}",
+    "RemoveModifierStaticField": "RemoveModifierStaticToField{0}In{1}",
+    "ChangeTypeField": "ChangeField{0}In{1}TypeToThread",
+    "RemoveEnumValue": "RemoveEnumValue{0}In{1}",
+}
+
+# Patterns of long names; the first that a name matches is its uniform name.
+PATTERNS: list[str] = [
+    "^Add.+ModifierTo.+$",
+    "^AddException.+ToConstructor.+In.+$",
+    "^AddException.+ToMethod.+In.+$",
+    "^AddImplementedInterfaceToType.+$",
+    "^AddMethodToType.+$",
+    "^AddModifier.+ToField.+In.+$",
+    "^AddModifier.+ToMethod.+In.+$",
+    "^AddParameter.+ToConstructor.+In.+$",
+    "^AddParameter.+ToMethod.+In.+$",
+    "^AddRecordComponent.+ToRecord.+$",
+    "^AddSuperClassToClass.+$",
+    "^ChangeField.+In.+TypeTo.+$",
+    "^ChangeMethod.+In.+TypeTo.+$",
+    "^ChangeParameter.+To.+FromConstructor.+In.+$",
+    "^ChangeParameter.+To.+FromMethod.+In.+$",
+    "^ChangeRecordComponent.+To.+FromRecord.+$",
+    "^ReduceConstructor.+In.+VisibilityTo.+$",
+    "^ReduceField.+In.+VisibilityTo.+$",
+    "^ReduceMethod.+In.+VisibilityTo.+$",
+    "^Reduce.+VisibilityTo.+$",
+    "^Remove.+ModifierIn.+$",
+    "^RemoveConstructor.+In.+$",
+    "^RemoveEnumValue.+In.+$",
+    "^RemoveException.+FromConstructor.+In.+$",
+    "^RemoveException.+FromMethod.+In.+$",
+    "^RemoveField.+In.+$",
+    "^RemoveImplementedInterface.+FromType.+$",
+    "^RemoveMethod.+In.+$",
+    "^RemoveModifier.+ToField.+In.+$",
+    "^RemoveModifier.+ToMethod.+In.+$",
+    "^RemoveParameter.+FromConstructor.+In.+$",
+    "^RemoveParameter.+FromMethod.+In.+$",
+    "^RemoveRecordComponent.+FromRecord.+$",
+    "^RemoveSuperClassFromClass.+$",
+    "^RemoveType.+$",
+]
+
+
+def long_name(strategy, symbol):
+    """The name of a change of one symbol: letters and digits of the symbol and of what declares it."""
+    bare = lambda c: F.regexp_replace(c, "[^A-Za-z0-9]", "")
+    name = F.regexp_replace(symbol, r"\(.*$", "")
+    own, owner = bare(F.substring_index(name, ".", -1)), bare(F.regexp_replace(name, r"\.[^.]*$", ""))
+    parts = {}
+    for s, text in LONG_NAMES.items():
+        head, _, rest = text.partition("{0}")
+        mid, _, tail = rest.partition("{1}")
+        parts[s] = (head, mid, "{1}" if "{1}" in text else "", tail)
+    known = F.create_map(*[x for s, p in parts.items() for x in (F.lit(s), F.array(*[F.lit(v) for v in p]))])
+    p = F.element_at(known, strategy)
+    return F.concat(p[0], own, p[1], F.when(p[2] != "", owner).otherwise(""), p[3])
+
+
+def uniform_name(name):
+    """The first of the patterns that a long name matches, null if none does."""
+    out = None
+    for p in PATTERNS:
+        # The letters that a pattern begins with rule out most names before it is tried.
+        fits = F.startswith(name, F.lit(p[1 : p.index(".")])) & name.rlike(p)
+        out = F.when(fits, p) if out is None else out.when(fits, p)
+    return out
+
 
 def _outcomes(symbols: DataFrame, of: str) -> DataFrame:
     """Each symbol with each change of its sort: one pass, one row for each pair, no join."""
@@ -72,7 +182,9 @@ def mutation_space(types: DataFrame, execs: DataFrame, fields: DataFrame) -> Dat
     x = execs.withColumns(
         lists | {"thrown": F.coalesce("thrown", none), "params": F.coalesce("params", F.array().cast(execs.schema["params"].dataType)), "symbol": F.concat("owner", F.lit("."), "name", F.lit("("), shape, F.lit(")"))}
     )
-    f = fields.withColumns(lists | {"symbol": F.concat("owner", F.lit("."), "name")})
+    enums = types.where("kind = 'ENUM' AND fqn IS NOT NULL").select("lib", "ver", F.col("fqn").alias("owner"), F.lit(True).alias("of_enum")).distinct()
+    f = fields.withColumns(lists | {"symbol": F.concat("owner", F.lit("."), "name")}).join(enums, ["lib", "ver", "owner"], "left")
+    f = f.withColumn("of_enum", F.coalesce("of_enum", F.lit(False)))
     parts = [
         _outcomes(t, "type"),
         _outcomes(x.where("exec_kind = 'CONSTRUCTOR'"), "constructor"),
@@ -169,7 +281,9 @@ def small_api(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
     classes = types.where("kind IN ('CLASS', 'RECORD')").select("org", "lib", "ver", F.col("fqn").alias("owner"))
     ctor = {"name": F.lit("<init>"), "exec_kind": F.lit("CONSTRUCTOR"), "visibility": F.lit("PUBLIC"), "return_ref": F.lit("void"), "params": param, "thrown": F.array(F.lit("java.io.IOException")), "line": F.lit(1)}
     both = full(methods, EXEC_SCHEMA).unionByName(full(classes.withColumns(ctor), EXEC_SCHEMA))
-    shown = fields.where("visibility = 'PUBLIC'")
+    on = {"name": F.lit("ON"), "visibility": F.lit("PUBLIC"), "modifiers": F.array(F.lit("STATIC"), F.lit("FINAL")), "type_ref": F.col("owner")}
+    constants = types.where("kind = 'ENUM'").select("org", "lib", "ver", F.col("fqn").alias("owner")).withColumns(on)
+    shown = fields.where("visibility = 'PUBLIC'").unionByName(constants)
     return full(types.withColumn("interface_refs", F.array(F.lit("java.lang.Cloneable"))), TYPE_SCHEMA), both, full(shown, FIELD_SCHEMA)
 
 
@@ -214,7 +328,7 @@ def mutated_libraries(types: DataFrame, execs: DataFrame, fields: DataFrame) ->
         j = rows.join(cases.withColumnRenamed("owner", "at"), rows["fqn" if "fqn" in rows.columns else "owner"] == F.col("at")).drop("at")
         hit = F.col(symbol) == F.col("changed")
         after = {c: F.when(hit, e).otherwise(F.col(c)) for c, e in change.items()}
-        gone = hit & s.isin("RemoveType", "RemoveMethod", "RemoveConstructor", "RemoveField")
+        gone = hit & s.isin("RemoveType", "RemoveMethod", "RemoveConstructor", "RemoveField", "RemoveEnumValue")
         cols = [c for c in rows.columns if c != "symbol"]
         old = j.withColumns({"lib": F.col("case"), "ver": F.lit("1")}).select(*cols)
         return old.unionByName(j.where(~gone).withColumns(after).withColumns({"lib": F.col("case"), "ver": F.lit("2")}).select(*cols))

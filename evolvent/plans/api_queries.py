@@ -481,6 +481,14 @@ def strategy_outcomes(spark, d):
     return mutations.strategy_outcomes(mutations.mutation_space(table(spark, d, "type_decl"), table(spark, d, "exec_decl"), table(spark, d, "field_decl")))
 
 
+@query
+def strategy_uniform(spark, d):
+    """Possible changes by the pattern of their long names."""
+    space = mutations.mutation_space(table(spark, d, "type_decl"), table(spark, d, "exec_decl"), table(spark, d, "field_decl")).where("outcome = 'ok'")
+    named = space.select(mutations.long_name(F.col("strategy"), F.col("symbol")).alias("name"))
+    return named.withColumn("pattern", mutations.uniform_name(F.col("name"))).groupBy("pattern").agg(F.count("*").alias("n"))
+
+
 @query
 def tool_metrics(spark, d):
     """How well the stored binary flags agree with what each kind breaks, by nature."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from evolvent.model import BC_KINDS, BOXES, DEFAULT_TARGETS, PLATFORM, WIDENING
-from evolvent.operators.mutations import STRATEGIES, THEMES
+from evolvent.operators.mutations import LONG_NAMES, PATTERNS, STRATEGIES, THEMES
 from evolvent.plans.problem_sql import ORACLE as PROBLEMS
 from evolvent.plans.problem_sql import _REFS, _SNAPS
 
@@ -292,7 +292,8 @@ tt AS (SELECT DISTINCT lib, ver, fqn AS symbol, kind, visibility, coalesce(modif
          coalesce(%s, 'java.lang.Object') AS super_name FROM type_decl WHERE fqn IS NOT NULL),
 xx AS (SELECT lib, ver, exec_kind, visibility, coalesce(modifiers, []) AS modifiers, return_ref, coalesce(params, []) AS params, coalesce(thrown, []) AS thrown,
          owner || '.' || name || '(' || coalesce(array_to_string(list_transform(coalesce(params, []), lambda p: p.ref), ','), '') || ')' AS symbol FROM exec_decl),
-ff AS (SELECT lib, ver, visibility, coalesce(modifiers, []) AS modifiers, type_ref, owner || '.' || name AS symbol FROM field_decl),
+ff AS (SELECT f.lib, f.ver, f.owner, f.visibility, coalesce(f.modifiers, []) AS modifiers, f.type_ref, f.owner || '.' || f.name AS symbol,
+         EXISTS (SELECT 1 FROM type_decl e WHERE e.kind = 'ENUM' AND e.lib = f.lib AND e.ver = f.ver AND e.fqn = f.owner) AS of_enum FROM field_decl f),
 space AS (%s)"""
 _SOURCE = {"type": "tt", "constructor": "(SELECT * FROM xx WHERE exec_kind = 'CONSTRUCTOR')", "method": "(SELECT * FROM xx WHERE exec_kind = 'METHOD')", "field": "ff"}
 _SPACE = _SPACE % (
@@ -418,6 +419,10 @@ ORACLE = {
     "(SELECT f.lib, f.ver, f.file, f.modified, true AS in_new FROM f JOIN o ON o.lib = f.lib AND o.ver = f.ver WHERE o.seq > 1) USING (lib, ver, file)) WHERE status IS NOT NULL",
     "incremental_rebuild": f"WITH {_LAST},{_MORDER} SELECT l.lib, l.ver, l.fqn, l.kind, l.visibility FROM last l JOIN o ON o.lib = l.lib AND o.ver = l.ver WHERE o.seq > 1 AND l.file IS NOT NULL",
     "strategy_outcomes": f"WITH {_SPACE.lstrip()} SELECT strategy, count(*) FILTER (outcome = 'ok') AS n_ok, count(*) FILTER (outcome = 'impossible') AS n_impossible FROM space GROUP BY strategy",
+    "strategy_uniform": f"WITH {_SPACE.lstrip()}, long AS (SELECT strategy, regexp_replace(list_last(string_split(regexp_replace(symbol, '\\(.*$', ''), '.')), '[^A-Za-z0-9]', '', 'g') AS own, "
+    "regexp_replace(regexp_replace(regexp_replace(symbol, '\\(.*$', ''), '\\.[^.]*$', ''), '[^A-Za-z0-9]', '', 'g') AS owner FROM space WHERE outcome = 'ok'), "
+    "named AS (SELECT CASE strategy " + " ".join("WHEN '" + s + "' THEN '" + t.replace("{0}", "' || own || '").replace("{1}", "' || owner || '") + "'" for s, t in LONG_NAMES.items()) + " END AS name FROM long) "
+    "SELECT pattern, count(*) AS n FROM (SELECT CASE " + " ".join(f"WHEN regexp_matches(name, '{p}') THEN '{p}'" for p in PATTERNS) + " END AS pattern FROM named) GROUP BY pattern",
     "tool_metrics": f"WITH {_REPORT}, c AS (SELECT r.nature, count(*) FILTER (r.binary_breaking AND b.said) AS tp, count(*) FILTER (NOT r.binary_breaking AND b.said) AS fp, "
     "count(*) FILTER (r.binary_breaking AND NOT b.said) AS fn, count(*) FILTER (NOT r.binary_breaking AND NOT b.said) AS tn FROM rep r "
     "JOIN (SELECT bc_id, coalesce(binary_breaking, false) AS said FROM one) b USING (bc_id) GROUP BY r.nature) "

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from evolvent.operators import mutations
 from evolvent.plans.api_queries import mutation_benchmark
 
@@ -13,9 +15,21 @@ def test_every_change_made_is_judged(spark):
         assert (binary, source) == (0, n // 2), s
     for s in ("AddImplementedInterfaceType", "AddSuperClassClass", "RemoveModifierFinalMethod", "RemoveModifierFinalField", "RemoveModifierAbstractType"):
         assert got[s][1:] == (0, 0), s
+    assert got["RemoveEnumValue"] == (2, 1, 1)
     assert got["RemoveModifierStaticField"][1] == got["RemoveModifierStaticField"][0] // 2 and got["AddModifierStaticField"][2] == 0
 
 
 def test_names_of_changes_are_distinct():
     names = [n for _, n, _ in mutations.STRATEGIES]
-    assert len(names) == len(set(names)) == 40
+    assert len(names) == len(set(names)) == 41 and set(names) == set(mutations.LONG_NAMES)
+
+
+def test_uniform_names(spark):
+    assert len(mutations.PATTERNS) == 35
+    rows = [("RemoveEnumValue", "p.Color.RED"), ("ChangeTypeMethod", "p.q.Dial.turn(int,p.X)"), ("RemoveModifierFinalType", "p.A$B"), (None, "p.A")]
+    df = spark.createDataFrame(rows, "strategy string, symbol string").withColumn("name", mutations.long_name(F.col("strategy"), F.col("symbol")))
+    got = [tuple(r) for r in df.select("name", mutations.uniform_name(F.col("name"))).collect()]
+    assert got == [
+        ("RemoveEnumValueREDInpColor", "^RemoveEnumValue.+In.+$"), ("ChangeMethodturnInpqDialTypeToThread", "^ChangeMethod.+In.+TypeTo.+$"),
+        ("RemoveFinalModifierInAB", "^Remove.+ModifierIn.+$"), (None, None),
+    ]
