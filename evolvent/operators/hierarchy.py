@@ -131,14 +131,16 @@ def _frontier_closure(stages: Stages, edges: DataFrame) -> DataFrame | None:
     front = stages.put(
         edges.select(*G, F.col("parent").alias("ancestor"), F.col("node").alias("descendant")).distinct(), "front"
     )
-    seen, out, depth = front, [], 1
+    seen, path, depth = None, None, 1
     while not front.isEmpty():
-        out.append(front.withColumn("depth", F.lit(depth)))
+        # What is reached is one growing table, whatever the number of rounds.
+        seen, path = stages.grow(front.withColumn("depth", F.lit(depth)), path)
         depth += 1
         nxt = front.join(step, [*G, "ancestor"]).select(*G, F.col("up").alias("ancestor"), "descendant").distinct()
-        front = stages.put(nxt.join(seen, [*G, "ancestor", "descendant"], "left_anti"), "front")
-        seen = seen.unionByName(front)
-    return _union(out) if out else None
+        new = stages.put(nxt.join(seen, [*G, "ancestor", "descendant"], "left_anti"), "front")
+        stages.drop(front)
+        front = new
+    return seen
 
 
 def hierarchy(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -105,6 +105,12 @@ class Stages:
         back._evolvent_path = path
         return back
 
+    def grow(self, df: DataFrame, path: str | None = None) -> tuple[DataFrame, str]:
+        """Append a frame to a stage table of its own, a new one without ``path``: (the whole table as read back, its path)."""
+        path = path or f"{self.root}/{next(self.n):04d}-grown"
+        df.write.mode("append").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), path
+
     def drop(self, *frames: DataFrame) -> None:
         for f in frames:
             if path := getattr(f, "_evolvent_path", None):
