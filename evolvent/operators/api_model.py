@@ -27,7 +27,7 @@ from evolvent.operators.forest import closure
 from evolvent.operators.snapshot_diff import field_fingerprint, fingerprint, list_key, set_key, snapshot_order, tps_key
 from evolvent.operators.snapshot_graph import GROUP_ROWS, Chunk, chunks, split_large
 from evolvent.operators.type_hierarchy import type_ancestors
-from evolvent.session import Stages, once
+from evolvent.session import Stages, once, together
 
 KEY = ["lib", "ver"]
 VALUES = ("kind", "visibility", "modifiers", "super_ref", "interface_refs", "tps", "enclosing", "permitted", "annotations", "targets", "file", "line", "outside")
@@ -540,6 +540,7 @@ class ApiModel:
     @once
     def effective_fields(self) -> DataFrame:
         """Fields that can be reached through each type, inherited ones included: exported first, then reduced by name."""
+        together((self, "ancestors"), (self, "fields"), (self, "props"))
         p = self.props.where("exported").select(*KEY, "fqn", "subtypable")
         hides = lambda a, x: F.array_contains(a["anc"], x["owner"]) | (a["owner"] == x["owner"])
         none = F.array().cast(self.fields.schema["type_tps"].dataType)
@@ -573,6 +574,7 @@ class ApiModel:
     @once
     def effective_methods(self) -> DataFrame:
         """The exported of ``all_methods``."""
+        together((self, "ancestors"), (self, "executables"), (self, "props"))
         p = self.props.where("exported").select(*KEY, "fqn", "subtypable")
         return self.all_methods.join(p, [*KEY, "fqn"]).where("visibility = 'PUBLIC' OR (visibility = 'PROTECTED' AND subtypable)").drop("subtypable")
 
