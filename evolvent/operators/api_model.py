@@ -250,25 +250,35 @@ def bounds_text(tps: Column) -> Column:
     return F.array_join(F.flatten(F.transform(tps, lambda t: F.coalesce(t["bounds"], no_list()))), " ")
 
 
-@F.pandas_udf(T.StructType([T.StructField(c, T.ArrayType(T.StringType())) for c in ("refs", "erased")]))
-def instantiate(x: pd.DataFrame) -> pd.DataFrame:
+def instantiated(refs, tps, type_tps, scope, args, heir_scope) -> tuple[list[str], list[str]]:
     """A member's references with its owner's type variables replaced by the heir's arguments, and their erasures.
 
-    It is asked once for each distinct question. ``tps`` are the member's own type parameters, ``type_tps`` its owner's,
-    ``scope`` all in view of the owner's members, ``args`` and ``heir_scope`` what the heir gives and has in view.
+    ``tps`` are the member's own type parameters, ``type_tps`` its owner's, ``scope`` all in view of the owner's members,
+    ``args`` and ``heir_scope`` what the heir gives and has in view.
     """
     read = lambda tps: [(t["name"], list(t["bounds"]) if t["bounds"] is not None else []) for t in tps]
-    out: dict[str, list] = {"refs": [], "erased": []}
-    for refs, tps, type_tps, scope, args, heir in zip(*(x[c] for c in ("refs", "tps", "type_tps", "scope", "args", "heir_scope"))):
-        own, around, heir_tps = read(tps), read(scope), read(heir)
-        names, inner = names_of(own, around), names_of(own)
-        by = {t["name"]: parse(str(a), names_of(heir_tps)) for t, a in zip(type_tps, args) if t["name"] not in inner}
-        bound = [(n, [render(substitute(parse(b, names), by)) for b in bs]) for n, bs in own]
-        view = Scope(bound, heir_tps, around)
-        given = [substitute(parse(str(t), names), by) for t in refs]
-        out["refs"].append([render(g) for g in given])
-        out["erased"].append([render(erased_reference(view, g)) for g in given])
-    return pd.DataFrame(out)
+    own, around, heir_tps = read(tps), read(scope), read(heir_scope)
+    names, inner = names_of(own, around), names_of(own)
+    by = {t["name"]: parse(str(a), names_of(heir_tps)) for t, a in zip(type_tps, args) if t["name"] not in inner}
+    bound = [(n, [render(substitute(parse(b, names), by)) for b in bs]) for n, bs in own]
+    view = Scope(bound, heir_tps, around)
+    given = [substitute(parse(str(t), names), by) for t in refs]
+    return [render(g) for g in given], [render(erased_reference(view, g)) for g in given]
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.ArrayType(T.StringType())) for c in ("refs", "erased")]))
+def instantiate(x: pd.DataFrame) -> pd.DataFrame:
+    """:func:`instantiated`, asked once for each distinct question."""
+    told = [instantiated(*q) for q in zip(*(x[c] for c in ("refs", "tps", "type_tps", "scope", "args", "heir_scope")))]
+    return pd.DataFrame({"refs": [r for r, _ in told], "erased": [e for _, e in told]})
+
+
+def executable_fingerprint() -> Column:
+    """An executable by all that counts: not its line and not the names of its parameters."""
+    return fingerprint(
+        F.col("name"), F.col("exec_kind"), F.col("visibility"), set_key("modifiers"), F.col("return_ref"),
+        list_key("params", lambda p: F.concat_ws("\x03", p["ref"], p["varargs"].cast("string"))), tps_key("tps"), set_key("thrown"), F.col("has_default"),
+    )
 
 
 class ApiModel:
@@ -421,14 +431,10 @@ class ApiModel:
     @once
     def executables(self) -> DataFrame:
         """Methods, constructors and annotation elements, repeated rows once, with erasure, symbol and completed modifiers."""
-        whole = fingerprint(
-            F.col("name"), F.col("exec_kind"), F.col("visibility"), set_key("modifiers"), F.col("return_ref"),
-            list_key("params", lambda p: F.concat_ws("\x03", p["ref"], p["varargs"].cast("string"))), tps_key("tps"), set_key("thrown"), F.col("has_default"),
-        )
         value = F.struct("line", "name", "exec_kind", "visibility", "modifiers", "return_ref", "params", "tps", "thrown", "has_default")
         x = (
             self._execs.where("lib IS NOT NULL AND ver IS NOT NULL AND owner IS NOT NULL AND name IS NOT NULL")
-            .groupBy(*KEY, "owner", whole.alias("h"))
+            .groupBy(*KEY, "owner", executable_fingerprint().alias("h"))
             .agg(F.min(value).alias("v"))
             .select(*KEY, "owner", F.col("h").alias("mid"), "v.*")
             .join(self.scopes, [*KEY, "owner"])

@@ -14,6 +14,7 @@ from evolvent.operators import incremental, mutations, report
 from evolvent.operators.api_diff import ApiDiff
 from evolvent.operators.api_model import KEY, ApiModel, has
 from evolvent.operators.declarations import references
+from evolvent.operators.library_diff import LibraryDiff
 from evolvent.operators.snapshot_diff import snapshot_order
 from evolvent.operators.type_hierarchy import type_ancestors
 from evolvent.sources.tables import table
@@ -35,6 +36,10 @@ def diff(spark: SparkSession, d: str) -> ApiDiff:
     return ApiDiff(model(spark, d))
 
 
+def libraries(spark: SparkSession, d: str) -> LibraryDiff:
+    return LibraryDiff(table(spark, d, "type_decl"), table(spark, d, "exec_decl"), table(spark, d, "field_decl"), table(spark, d, "api_snapshot"))
+
+
 # -- model and closures -------------------------------------------------------------------------------------------
 
 
@@ -268,7 +273,7 @@ def formal_parameter_counts(spark, d):
 
 @query
 def method_match(spark, d):
-    return diff(spark, d).method_match.select("lib", "ver", "fqn", "erasure", "status")
+    return libraries(spark, d).method_match()
 
 
 def _told(found: DataFrame) -> DataFrame:
