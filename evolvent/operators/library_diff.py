@@ -8,6 +8,7 @@ then come from :class:`ApiDiff`, and tests hold both forms against each other.
 
 from __future__ import annotations
 
+import gc
 import io
 import json
 import re
@@ -121,6 +122,13 @@ def _tasks(work: Callable[..., Iterator[tuple]], columns: Sequence[str], types:
             yield emit(rows)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # snapshots hold no cycles; the collector would walk their members again and again
+        try:
+            yield from taken(batches)
+        finally:
+            gc.enable()
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for b in batches:
             for at, kind, block in zip(b["bucket"].to_pylist(), b["kind"].to_pylist(), b["block"].to_pylist()):
@@ -346,10 +354,13 @@ class Snapshot:
             # owner, mid, name, exec_kind, visibility, modifiers, return_ref, params, tps, thrown, has_default, line
             r = rows[0] if len(rows) == 1 else min(rows, key=lambda x: [_rank(x[11]), *map(_rank, x[2:5]), _rank(_read(x[5]) if x[5] else None), *map(_rank, x[6:11])])
             t = self.types[owner]
-            key = (tuple(r), t.kind, t.file)
+            key = (r[2:11], t.kind, t.file)
             m = known.get((owner, mid))
             if m is None or m.key != key or m.type_tps != t.tps or m.type_scope != t.scope:
                 m = self._executable(t, key, *r)
+            elif m.line != r[11]:
+                m = Row(**m.__dict__)
+                m.line = r[11]
             self.made[owner, mid] = m
             if m.exec_kind == "CONSTRUCTOR":
                 self.constructors.setdefault(owner, []).append(m)

@@ -334,7 +334,7 @@ def breaking_changes_plain(spark, d):
 @query
 def breaking_changes(spark, d):
     """All rules over all pairs of consecutive snapshots."""
-    return diff(spark, d).breaking_changes.drop("kind_ordinal")
+    return libraries(spark, d).breaking_changes().drop("kind_ordinal")
 
 
 @query
