@@ -339,7 +339,7 @@ def breaking_changes(spark, d):
 
 @query
 def breaking_summary(spark, d):
-    b = diff(spark, d).breaking_changes
+    b = libraries(spark, d).breaking_changes()
     return b.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("lib").alias("n_libs"))
 
 
