@@ -66,7 +66,7 @@ def test_both_forms_find_the_same_of_all_kinds(spark):
     assert rows(LibraryDiff(*tables).breaking_changes(), whole.columns) == rows(whole)
 
 
-IN_TASKS = ["method_match", "breaking_changes", "breaking_changes_plain", "formal_parameter_counts", "new_obligations", "thrown_changes", "breaking_summary"]
+IN_TASKS = ["method_match", "breaking_changes", "breaking_changes_plain", "formal_parameter_counts", "new_obligations", "thrown_changes", "breaking_summary", "method_changes"]
 
 
 @pytest.mark.parametrize("name", IN_TASKS)
